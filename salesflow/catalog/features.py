@@ -158,8 +158,8 @@ def _(s):
 
 @query("missing_columns", """
     SELECT user_id, sku FROM products EXCEPT ALL SELECT DISTINCT user_id, sku FROM sales_raw
-    WHERE date > (SELECT d FROM as_of) - 400""")
+    WHERE date > (SELECT d FROM as_of) - 3""")
 def _(s):
-    """Requested minus found: series without a sale in the lookback."""
-    recent = s.sales_raw().filter(F.col("date") > F.date_sub(s.as_of(), 400))
+    """Requested minus found: series without a sale in the last three days."""
+    recent = s.sales_raw().filter(F.col("date") > F.date_sub(s.as_of(), 3))
     return keyed.missing_keys(s.products().select(*SERIES), recent, SERIES)

@@ -1 +1,279 @@
-"""Queries."""
+"""Queries: serving reads for all tenants at once, pages, flags and configuration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from salesflow.catalog.registry import query
+from salesflow.operators import health, keyed, merge
+from salesflow.plans import serving
+from salesflow.schemas import SERIES
+
+NEWEST = {
+    "newest": """
+        SELECT user_id, arg_max(model_run_id, generated_at) AS model_run_id, max(generated_at) AS generated_at
+        FROM forecasts GROUP BY user_id""",
+    "requests": """
+        SELECT user_id, sku, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sku) AS INTEGER) AS position,
+               CASE WHEN sku LIKE '%1' THEN 7 WHEN sku LIKE '%2' THEN 14 ELSE 30 END AS horizon
+        FROM (SELECT user_id, sku FROM products UNION ALL SELECT id, 'Brand#99' FROM profiles)""",
+    "outage": "SELECT coalesce(bool_or(status IN ('stale', 'degraded')), false) AS o FROM signal_status",
+    "flat": """
+        SELECT q.user_id, q.position, q.sku, n.model_run_id, coalesce(f.model_version, 'seasonal-naive') AS model_version,
+               f.mape_backtest,
+               (SELECT o FROM outage) OR starts_with(coalesce(f.model_version, 'seasonal-naive'), 'seasonal-naive')
+               AS degraded, f.forecast_date, f.yhat, f.yhat_lower, f.yhat_upper
+        FROM requests q JOIN newest n USING (user_id)
+        LEFT JOIN forecasts f ON f.user_id = q.user_id AND f.sku = q.sku AND f.model_run_id = n.model_run_id
+             AND f.forecast_date <= (SELECT d FROM as_of) + q.horizon""",
+}
+
+
+def requests(s):
+    """Every product of every tenant, and one unknown SKU per tenant."""
+    skus = s.products().select(*SERIES).unionByName(
+        s.profiles().select(F.col("id").alias("user_id"), F.lit("Brand#99").alias("sku")))
+    horizon = F.when(F.endswith("sku", F.lit("1")), 7).when(F.endswith("sku", F.lit("2")), 14).otherwise(30)
+    ranked = keyed.top_n(skus, ["user_id"], [F.col("sku")], 1000, position="position")
+    return ranked.withColumn("horizon", horizon)
+
+
+@query("latest_run", "SELECT user_id, model_run_id, generated_at FROM newest", NEWEST)
+def _(s):
+    return serving.latest_run(s.forecasts())
+
+
+@query("forecasts_api", "SELECT * FROM flat", NEWEST)
+def _(s):
+    return serving.series_flat(requests(s), s.forecasts(), s.signal_status(), s.as_of())
+
+
+@query("forecast_serving", """
+    SELECT user_id, position, sku, model_run_id, max(model_version) AS model_version, bool_or(degraded) AS degraded,
+           count(forecast_date) AS points, min(forecast_date) AS first_day, max(forecast_date) AS last_day
+    FROM flat GROUP BY user_id, position, sku, model_run_id""", NEWEST)
+def _(s):
+    factors = s.forecasts().select(*SERIES, "model_run_id", F.lit("temp_avg").alias("factor"),
+                                   F.lit(1.0).alias("importance"), F.lit("up").alias("direction")).limit(0)
+    rows = serving.assemble_series(requests(s), s.forecasts(), factors, s.signal_status(), s.as_of())
+    days = F.transform("points", lambda p: p["date"])
+    return rows.select("user_id", "position", "sku", "model_run_id", "model_version", "degraded",
+                       F.size("points").cast("bigint").alias("points"),
+                       F.array_min(days).alias("first_day"), F.array_max(days).alias("last_day"))
+
+
+@query("degraded_flag", """
+    SELECT DISTINCT f.user_id, f.sku, f.model_version,
+           (SELECT o FROM outage) OR starts_with(f.model_version, 'seasonal-naive') AS degraded FROM forecasts f""", NEWEST)
+def _(s):
+    rows = s.forecasts().select(*SERIES, "model_version").distinct()
+    return rows.withColumn("_o", serving.any_degraded(s.signal_status())).select(
+        *SERIES, "model_version", (F.col("_o") | F.startswith("model_version", F.lit("seasonal-naive"))).alias("degraded"))
+
+
+@query("missing_skus", """
+    SELECT user_id, sku FROM requests q WHERE NOT EXISTS (
+        SELECT 1 FROM products p WHERE p.user_id = q.user_id AND p.sku = q.sku)""", NEWEST)
+def _(s):
+    return keyed.missing_keys(requests(s).select(*SERIES), s.products(), SERIES)
+
+
+@query("insufficient_history", "SELECT user_id, sku, sales_days FROM products WHERE coalesce(sales_days, 0) < 450")
+def _(s):
+    return serving.insufficient(s.products(), 450).select(*SERIES, "sales_days")
+
+
+@query("has_forecast", """
+    SELECT p.user_id, p.sku, EXISTS (SELECT 1 FROM forecasts f WHERE f.user_id = p.user_id AND f.sku = p.sku
+           AND f.yhat > 45) AS has_forecast FROM products p""")
+def _(s):
+    return keyed.flag_exists(s.products().select(*SERIES), s.forecasts().filter("yhat > 45"), SERIES, "has_forecast")
+
+
+@query("products_list", """
+    SELECT user_id, sku, product_name, sales_days, last_sale_date, CAST(rn AS INTEGER) AS position, true AS has_forecast FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sku) AS rn FROM products
+        WHERE contains(lower(product_name), 'b')) WHERE rn > 3 AND rn <= 13""")
+def _(s):
+    rows = serving.products_all(s.products(), s.forecasts(), search="B", limit=10, offset=3)
+    return rows.drop("category")
+
+
+@query("ilike_search", "SELECT user_id, sku, product_name FROM products WHERE product_name ILIKE '%LU%'")
+def _(s):
+    return serving.search_products(s.products(), "LU").select(*SERIES, "product_name")
+
+
+@query("sales_history", """
+    SELECT user_id, sku, date, quantity, round(revenue, 4) AS revenue, promo_flag FROM silver
+    WHERE date BETWEEN (SELECT d FROM as_of) - 90 AND (SELECT d FROM as_of) - 10""")
+def _(s):
+    rows = serving.sales_between(s.sales_daily(), F.date_sub(s.as_of(), 90), F.date_sub(s.as_of(), 10))
+    return rows.select(*SERIES, "date", "quantity", F.round("revenue", 4).alias("revenue"), "promo_flag")
+
+
+@query("sales_range", """
+    SELECT user_id, sku, date, quantity FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, sku ORDER BY date) AS rn FROM silver
+        WHERE date >= (SELECT d FROM as_of) - 700) WHERE rn <= 20""")
+def _(s):
+    """First twenty days of the range of every series."""
+    rows = serving.sales_between(s.sales_daily(), start=F.date_sub(s.as_of(), 700))
+    return keyed.top_n(rows.select(*SERIES, "date", "quantity"), SERIES, [F.col("date")], 20)
+
+
+@query("tenant_filter", """
+    SELECT user_id, count(*) AS rows, sum(quantity) AS quantity FROM sales_raw
+    WHERE user_id IN (SELECT id FROM profiles WHERE latitude IS NOT NULL) GROUP BY user_id""")
+def _(s):
+    viewers = s.profiles().filter("latitude is not null")
+    return serving.visible_to(s.sales_raw(), viewers).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("quantity"))
+
+
+@query("uploads_list", """
+    SELECT user_id, id, created_at, CAST(rn AS INTEGER) AS position FROM (
+        SELECT concat('r', o_custkey % 5) AS user_id, concat('u', o_orderkey) AS id, o_orderdate AS created_at,
+               row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
+    WHERE rn <= 50""")
+def _(s):
+    rows = s.table("orders").select(
+        F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("user_id"),
+        F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("_k"))
+    return keyed.page_per_key(rows, ["user_id"], [F.desc("created_at"), F.desc("_k")], 0, 50).drop("_k")
+
+
+@query("list_page", """
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100""")
+def _(s):
+    rows = s.table("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return keyed.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], offset=100, limit=50)
+
+
+@query("page_scan", """
+    SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 1000 OFFSET 1000""")
+def _(s):
+    rows = s.table("events").select("event_id", "ts", "event_type")
+    return keyed.page(rows, [F.col("event_id")], offset=1000, limit=1000)
+
+
+@query("ordered_lists", "SELECT user_id, label, start_date, end_date FROM calendar_events ORDER BY start_date, id")
+def _(s):
+    return s.calendar_events().orderBy("start_date", "id").drop("id")
+
+
+@query("sku_picker", """
+    SELECT user_id, sku, product_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sku) AS rn FROM products
+        WHERE (contains(lower(sku), '1') OR contains(lower(product_name), '1')) AND sales_days % 3 <> 0) WHERE rn <= 20""")
+def _(s):
+    return serving.sku_picker(s.products(), s.products().filter("sales_days % 3 = 0"), "1").select(*SERIES, "product_name")
+
+
+@query("signal_settings_view", """
+    SELECT user_id, signal, CASE WHEN signal = 'trends' THEN true ELSE enabled END AS enabled FROM settings
+    UNION ALL SELECT p.id, 'trends', true FROM profiles p
+    WHERE NOT EXISTS (SELECT 1 FROM settings s WHERE s.user_id = p.id AND s.signal = 'trends')""")
+def _(s):
+    patch = s.profiles().select(
+        F.col("id").alias("user_id"), F.explode(F.array(
+            F.struct(F.lit("trends").alias("signal"), F.lit(True).alias("enabled")),
+            F.struct(F.lit("macro").alias("signal"), F.lit(None).cast("boolean").alias("enabled")))).alias("p"))
+    return serving.signal_settings(s.settings(), patch.select("user_id", "p.*"))
+
+
+@query("signal_status_view", "SELECT signal, status, last_success_at, last_error FROM signal_status")
+def _(s):
+    return serving.signal_status(s.signal_status())
+
+
+@query("health_summary", """
+    SELECT count(*) FILTER (status = 'live') AS live, count(*) AS feeds FROM signal_status""")
+def _(s):
+    return serving.health_summary(s.signal_status())
+
+
+SEEDED = {"seeded": """
+    SELECT user_id, signal, enabled FROM settings
+    UNION ALL SELECT t.user_id, g.signal, g.signal <> 'marketplace' FROM (SELECT concat('r', r_regionkey) AS user_id FROM region) t
+    CROSS JOIN (SELECT unnest(['weather', 'holidays', 'trends', 'macro', 'events', 'marketplace']) AS signal) g
+    WHERE NOT EXISTS (SELECT 1 FROM settings s WHERE s.user_id = t.user_id AND s.signal = g.signal)"""}
+
+
+@query("seed_settings", "SELECT * FROM seeded", SEEDED)
+def _(s):
+    return health.seed_settings(s.profiles().select(F.col("id").alias("user_id")), s.settings())
+
+
+@query("profile_upsert", """
+    SELECT id, country_code, CASE WHEN country_code = 'C1' THEN concat(city, '!') ELSE city END AS city, latitude, longitude,
+           timezone, currency, country_code = 'C1' AS onboarding_complete FROM profiles""")
+def _(s):
+    profiles = s.profiles().withColumn("onboarding_complete", F.lit(False))
+    changed = s.profiles().filter("country_code = 'C1'").select("id", F.concat("city", F.lit("!")).alias("city"))
+    return serving.upsert_profile(profiles, s.settings(), changed)[0]
+
+
+@query("producer_config", """
+    SELECT 'location' AS part, id AS user_id, concat(CAST(CAST(latitude * 100 AS INTEGER) AS VARCHAR), ' ', timezone) AS value
+    FROM profiles WHERE latitude IS NOT NULL
+    UNION ALL SELECT DISTINCT 'country', '', country_code FROM profiles
+    UNION ALL SELECT DISTINCT 'signal', '', signal FROM settings WHERE enabled
+    UNION ALL SELECT DISTINCT 'keyword', user_id, category FROM products
+    UNION ALL SELECT 'geo', id, country_code FROM profiles""")
+def _(s):
+    parts = health.producer_config(s.profiles(), s.settings(), s.products())
+
+    def rows(part, name, user, value):
+        return parts[name].select(F.lit(part).alias("part"), user.alias("user_id"), value.alias("value"))
+
+    user, nobody = F.col("user_id"), F.lit("")
+    place = F.concat((F.col("latitude") * 100).cast("int").cast("string"), F.lit(" "), F.col("timezone"))
+    return (
+        rows("location", "locations", user, place)
+        .unionByName(rows("country", "country_codes", nobody, F.col("country_code")))
+        .unionByName(rows("signal", "enabled_signals", nobody, F.col("signal")))
+        .unionByName(rows("keyword", "category_keywords", user, F.col("keyword")))
+        .unionByName(rows("geo", "geo_by_user", user, F.col("country_code"))))
+
+
+@query("category_keywords", """
+    SELECT DISTINCT user_id, trim(category) AS category, trim(category) AS keyword FROM sales_raw WHERE trim(category) <> ''
+    """)
+def _(s):
+    return health.category_keywords(s.sales_raw().select("user_id", "category"))
+
+
+@query("country_codes", "SELECT DISTINCT country_code FROM profiles")
+def _(s):
+    return health.country_codes(s.profiles())
+
+
+@query("enabled_signals", "SELECT DISTINCT signal FROM settings WHERE enabled")
+def _(s):
+    return health.enabled_signals(s.settings())
+
+
+@query("enabled_signals_per_tenant", "SELECT DISTINCT user_id, signal FROM settings WHERE enabled")
+def _(s):
+    return health.enabled_signals(s.settings(), per_tenant=True)
+
+
+@query("signal_gating", """
+    SELECT signal, bool_or(enabled) AS enabled, bool_or(enabled) AS runs FROM settings GROUP BY signal""")
+def _(s):
+    return health.signal_gating(s.settings(), s.profiles(), s.products(), s.asins())
+
+
+@query("asin_quota", """
+    SELECT user_id, count(*) AS used, CAST(10 AS BIGINT) AS cap, concat(count(*), ' of 10 used') AS label FROM asins GROUP BY user_id""")
+def _(s):
+    return serving.asin_quota(s.asins())
+
+
+@query("latest_runs_kept", """
+    SELECT f.user_id, f.sku, f.forecast_date, f.model_run_id, f.yhat FROM forecasts f JOIN newest n USING (user_id, model_run_id)
+    """, NEWEST)
+def _(s):
+    return merge.keep_runs(s.forecasts(), 1).select(*SERIES, "forecast_date", "model_run_id", "yhat")
