@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salesflow.catalog.registry import query
-from salesflow.functions.scalars import clamp  # noqa: F401
 from salesflow.operators import calendar, features, keyed, silver
 from salesflow.schemas import SERIES, SERIES_DAY
 from salesflow.sources.sample_tables import SALES_ORDER
 
-RAW = ["quantity", "revenue", "price", "promo_flag"]
-
 
 def rounded(df, *columns, digits=4):
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -21,7 +18,7 @@ def rounded(df, *columns, digits=4):
     SELECT user_id, sku, date, quantity, round(revenue, 4) AS revenue, price, promo_flag, ingested_at,
            l_orderkey, l_linenumber FROM deduped""")
 def _(s):
-    kept = silver.dedupe_latest(s.sales_raw().drop("product_name", "category"), SALES_ORDER)
+    kept = silver.dedupe_latest(s.sales_raw().drop("product_name", "category", "part_key"), SALES_ORDER)
     return rounded(kept, "revenue")
 
 

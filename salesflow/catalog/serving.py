@@ -9,12 +9,14 @@ from salesflow.operators import health, keyed, merge
 from salesflow.plans import serving
 from salesflow.schemas import SERIES
 
+FACTOR_NAMES = ["temp_avg", "precip_mm", "event_count", "promo_flag", "dow", "month", "is_holiday"]
+
 NEWEST = {
     "newest": """
         SELECT user_id, arg_max(model_run_id, generated_at) AS model_run_id, max(generated_at) AS generated_at
         FROM forecasts GROUP BY user_id""",
     "requests": """
-        SELECT user_id, sku, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sku) AS INTEGER) AS position,
+        SELECT user_id, sku, CAST(split_part(sku, '#', 2) AS INTEGER) AS position,
                CASE WHEN sku LIKE '%1' THEN 7 WHEN sku LIKE '%2' THEN 14 ELSE 30 END AS horizon
         FROM (SELECT user_id, sku FROM products UNION ALL SELECT id, 'Brand#99' FROM profiles)""",
     "outage": "SELECT coalesce(bool_or(status IN ('stale', 'degraded')), false) AS o FROM signal_status",
@@ -34,8 +36,18 @@ def requests(s):
     skus = s.products().select(*SERIES).unionByName(
         s.profiles().select(F.col("id").alias("user_id"), F.lit("Brand#99").alias("sku")))
     horizon = F.when(F.endswith("sku", F.lit("1")), 7).when(F.endswith("sku", F.lit("2")), 14).otherwise(30)
-    ranked = keyed.top_n(skus, ["user_id"], [F.col("sku")], 1000, position="position")
-    return ranked.withColumn("horizon", horizon)
+    return skus.select(*SERIES, F.element_at(F.split("sku", "#"), 2).cast("int").alias("position"), horizon.alias("horizon"))
+
+
+def factors(s):
+    """Seven factors per forecast series and run, with weights that depend on the series."""
+    entries = F.array(*[
+        F.struct(F.lit(name).alias("factor"),
+                 ((F.ascii(F.substring("sku", -1, 1)) * (i + 1)) % 10 / 10).alias("importance"),
+                 F.lit("up" if i % 2 else "down").alias("direction"))
+        for i, name in enumerate(FACTOR_NAMES)])
+    runs = s.forecasts().select(*SERIES, "model_run_id").distinct()
+    return runs.select(*SERIES, "model_run_id", F.explode(entries).alias("f")).select(*SERIES, "model_run_id", "f.*")
 
 
 @query("latest_run", "SELECT user_id, model_run_id, generated_at FROM newest", NEWEST)
@@ -48,18 +60,28 @@ def _(s):
     return serving.series_flat(requests(s), s.forecasts(), s.signal_status(), s.as_of())
 
 
+FACTORS = {**NEWEST, "factors": """
+    SELECT DISTINCT user_id, sku, model_run_id, f.factor, (ascii(right(sku, 1)) * f.i) %% 10 / 10.0 AS importance
+    FROM forecasts CROSS JOIN (SELECT unnest([%s]) AS factor, unnest(range(1, 8)) AS i) f""" % ", ".join(
+    f"'{n}'" for n in FACTOR_NAMES), "shown": """
+    SELECT user_id, sku, string_agg(factor, '>' ORDER BY importance DESC, factor) AS factors FROM (
+        SELECT f.*, row_number() OVER (PARTITION BY f.user_id, f.sku ORDER BY importance DESC, factor) AS rn
+        FROM factors f JOIN newest n USING (user_id, model_run_id)) WHERE rn <= 5 GROUP BY user_id, sku"""}
+
+
 @query("forecast_serving", """
-    SELECT user_id, position, sku, model_run_id, max(model_version) AS model_version, bool_or(degraded) AS degraded,
-           count(forecast_date) AS points, min(forecast_date) AS first_day, max(forecast_date) AS last_day
-    FROM flat GROUP BY user_id, position, sku, model_run_id""", NEWEST)
+    SELECT f.user_id, position, f.sku, model_run_id, max(model_version) AS model_version, bool_or(degraded) AS degraded,
+           count(forecast_date) AS points, min(forecast_date) AS first_day, max(forecast_date) AS last_day,
+           any_value(s.factors) AS factors
+    FROM flat f LEFT JOIN shown s ON s.user_id = f.user_id AND s.sku = f.sku
+    GROUP BY f.user_id, position, f.sku, model_run_id""", FACTORS)
 def _(s):
-    factors = s.forecasts().select(*SERIES, "model_run_id", F.lit("temp_avg").alias("factor"),
-                                   F.lit(1.0).alias("importance"), F.lit("up").alias("direction")).limit(0)
-    rows = serving.assemble_series(requests(s), s.forecasts(), factors, s.signal_status(), s.as_of())
+    rows = serving.assemble_series(requests(s), s.forecasts(), factors(s), s.signal_status(), s.as_of())
     days = F.transform("points", lambda p: p["date"])
     return rows.select("user_id", "position", "sku", "model_run_id", "model_version", "degraded",
-                       F.size("points").cast("bigint").alias("points"),
-                       F.array_min(days).alias("first_day"), F.array_max(days).alias("last_day"))
+                       F.size("points").cast("bigint").alias("points"), F.array_min(days).alias("first_day"),
+                       F.array_max(days).alias("last_day"),
+                       F.array_join(F.transform("factors", lambda f: f["factor"]), ">").alias("factors"))
 
 
 @query("degraded_flag", """
@@ -93,15 +115,15 @@ def _(s):
 @query("products_list", """
     SELECT user_id, sku, product_name, sales_days, last_sale_date, CAST(rn AS INTEGER) AS position, true AS has_forecast FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sku) AS rn FROM products
-        WHERE contains(lower(product_name), 'b')) WHERE rn > 3 AND rn <= 13""")
+        WHERE contains(lower(product_name), 'o')) WHERE rn > 3 AND rn <= 7""")
 def _(s):
-    rows = serving.products_all(s.products(), s.forecasts(), search="B", limit=10, offset=3)
+    rows = serving.products_all(s.products(), s.forecasts(), search="O", limit=4, offset=3)
     return rows.drop("category")
 
 
-@query("ilike_search", "SELECT user_id, sku, product_name FROM products WHERE product_name ILIKE '%LU%'")
+@query("ilike_search", "SELECT user_id, sku, product_name FROM products WHERE product_name ILIKE '%RING%'")
 def _(s):
-    return serving.search_products(s.products(), "LU").select(*SERIES, "product_name")
+    return serving.search_products(s.products(), "RING").select(*SERIES, "product_name")
 
 
 @query("sales_history", """

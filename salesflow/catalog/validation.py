@@ -184,7 +184,7 @@ def _secret_sql() -> str:
         p = pattern.replace("'", "''")
         parts.append(f"""
             SELECT doc_id, '{name}' AS pattern, text, regexp_extract_all(text, '{p}') AS m,
-                   string_split_regex(text, '{p}') AS pc FROM documents WHERE regexp_matches(text, '{p}')""")
+                   string_split_regex(text, '{p}') AS pc FROM planted WHERE regexp_matches(text, '{p}')""")
     marks = " OR ".join(f"contains(context, '{w}')" for w in scan.HARMLESS)
     return f"""
         SELECT doc_id, pattern, CAST(st AS INTEGER) AS start, substr(trim(context), 1, 80) AS context FROM (
@@ -194,9 +194,28 @@ def _secret_sql() -> str:
         WHERE NOT ({marks})"""
 
 
-@query("secret_scan", _secret_sql())
+# The documents hold none of the patterns, so texts get some written before, between and behind them.
+PLANTED = {"planted": """
+    SELECT doc_id, concat(CASE WHEN doc_id % 7 = 0 THEN concat('AKIA', lpad(CAST(doc_id AS VARCHAR), 16, '0'), ' ') ELSE '' END,
+           text, CASE WHEN doc_id % 11 = 0 THEN ' see example: ' ELSE ' ' END,
+           CASE WHEN doc_id % 5 = 0 THEN concat('password = "abcdefghijkl', doc_id, '" sk_live_', lpad(CAST(doc_id AS VARCHAR), 20, 'Z'))
+                ELSE '' END,
+           CASE WHEN doc_id % 13 = 0 THEN ' -----BEGIN RSA PRIVATE KEY-----' ELSE '' END) AS text FROM documents"""}
+
+
+def planted(s):
+    k = F.col("doc_id")
+    number = k.cast("string")
+    pair = F.concat(F.lit('password = "abcdefghijkl'), number, F.lit('" sk_live_'), F.lpad(number, 20, "Z"))
+    return s.table("documents").select("doc_id", F.concat(
+        F.when(k % 7 == 0, F.concat(F.lit("AKIA"), F.lpad(number, 16, "0"), F.lit(" "))).otherwise(""), "text",
+        F.when(k % 11 == 0, " see example: ").otherwise(" "), F.when(k % 5 == 0, pair).otherwise(""),
+        F.when(k % 13 == 0, " -----BEGIN RSA PRIVATE KEY-----").otherwise("")).alias("text"))
+
+
+@query("secret_scan", _secret_sql(), PLANTED)
 def _(s):
-    return scan.secret_scan(s.table("documents"))
+    return scan.secret_scan(planted(s))
 
 
 HOSTS = [*scan.PAID_HOSTS, "example.net"]

@@ -9,7 +9,7 @@ VIEWS: dict[str, str] = {
         SELECT concat('r', n_regionkey) AS user_id, p_brand AS sku, CAST(l_shipdate AS DATE) AS date,
                l_quantity AS quantity, l_extendedprice * (1 - l_discount) AS revenue, p_retailprice AS price,
                (p_type = 'PROMO') AS promo_flag, o_orderdate AS ingested_at, l_orderkey, l_linenumber,
-               p_name AS product_name, p_type AS category
+               p_name AS product_name, p_type AS category, p_partkey AS part_key
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "as_of": "SELECT CAST(max(l_shipdate) AS DATE) AS d FROM lineitem",
@@ -101,7 +101,7 @@ VIEWS: dict[str, str] = {
         LEFT JOIN trends t USING (user_id, date) LEFT JOIN events_daily e USING (user_id, date)
         WINDOW w AS (PARTITION BY s.user_id, s.sku ORDER BY s.date)""",
     "products": """
-        SELECT user_id, sku, min(product_name) AS product_name, min(category) AS category,
+        SELECT user_id, sku, arg_min(product_name, part_key) AS product_name, arg_min(category, part_key) AS category,
                CAST(count(DISTINCT date) AS INTEGER) AS sales_days, max(date) AS last_sale_date
         FROM sales_raw GROUP BY user_id, sku""",
     "ranked": """

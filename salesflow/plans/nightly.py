@@ -1,8 +1,112 @@
-"""The whole nightly run."""
+"""The whole nightly run: signals and sales in, forecasts, factors and metrics out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from salesflow.functions.scalars import batch_id
+from salesflow.operators import calendar, features, merge, silver
+from salesflow.plans import baseline, factors, forecast, model, selection
+from salesflow.schemas import SERIES
+from salesflow.session import materialize
+
+HORIZON = 30
+RUN_RETENTION_DAYS = 7
+SIGNAL_LOOKBACK_DAYS = 400
+
+
+@dataclass
+class Inputs:
+    """Typed inputs: raw sales with their ingest order, daily signals, tenants and calendars."""
+
+    sales: DataFrame
+    profiles: DataFrame
+    holidays: DataFrame
+    breaks: DataFrame
+    weather: DataFrame
+    trends: DataFrame
+    events: DataFrame
+    sales_order: list[str]
+    signal_order: list[str]
+
+
+@dataclass
+class Outputs:
+    gold: DataFrame
+    metrics: DataFrame
+    forecasts: DataFrame
+    factors: DataFrame
+    summary: DataFrame
+
+
+def train(gold: DataFrame, run_id: Column, trained_at: Column, estimator: model.Estimator | None = None,
+          ) -> tuple[DataFrame, model.QuantileModel]:
+    """Backtest both candidates, choose per series, fit the final model and attribute its factors."""
+    ranked = materialize(selection.split_holdout(
+        gold, extra=[c for c in gold.columns if c not in (*SERIES, "date", "quantity")]).drop("holdout"), "ranked")
+    scored = selection.backtest(ranked, model.boosted_scores(ranked, estimator))
+    final = model.fit_quantiles(ranked, estimator)
+    chosen = materialize(scored, "scored")
+    boosted = F.col("chosen") == selection.BOOSTED
+    series = chosen.filter(boosted).select(*SERIES)
+    shown = factors.top_factors(
+        model.importance_table(series, final.fitted), ranked.join(series, SERIES, "left_semi"))
+    listed = shown.groupBy(*SERIES).agg(F.array_sort(F.collect_list(
+        F.struct("rank", "factor", "importance", "direction"))).alias("_f")).select(
+        *SERIES, F.transform("_f", lambda x: F.struct(
+            x["factor"].alias("factor"), x["importance"].alias("importance"), x["direction"].alias("direction"),
+        )).alias("factors"))
+    metrics = chosen.join(listed, SERIES, "left").select(
+        run_id.alias("model_run_id"), *SERIES,
+        F.when(boosted, F.concat(F.lit(f"{selection.BOOSTED}:"), run_id)).otherwise(selection.BASELINE).alias("model_version"),
+        F.when(boosted, F.col("mape_boosted")).otherwise(F.col("mape_baseline")).alias("mape_backtest"),
+        "mape_baseline", "chosen", F.round("external_null_frac", 4).alias("external_null_frac"),
+        trained_at.alias("trained_at"), "factors")
+    return metrics, final
+
+
+def build_gold(inputs: Inputs, as_of: Column, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Gold features, the daily series they were built from, and the daily signals."""
+    daily = silver.to_silver(inputs.sales, inputs.sales_order)
+    spans = inputs.sales.groupBy("user_id").agg(F.min("date").alias("start_date")).select(
+        "user_id", "start_date", F.date_add(as_of, horizon).alias("end_date"))
+    signals = {
+        "weather": silver.latest_per_day(inputs.weather, ["user_id"], inputs.signal_order),
+        "trends": silver.latest_per_day(inputs.trends, ["user_id"], inputs.signal_order),
+        "events": silver.events_to_daily(inputs.events, ["user_id", "event_id"], inputs.signal_order),
+        "calendar": calendar.calendar_daily(spans, inputs.profiles, inputs.holidays, inputs.breaks),
+    }
+    gold = features.gold_features(daily, signals["weather"], signals["calendar"], signals["trends"], signals["events"])
+    return gold, daily, signals
+
+
+def run(inputs: Inputs, as_of: Column, horizon: int = HORIZON, estimator: model.Estimator | None = None) -> Outputs:
+    """One batch over all tenants. Only the summary is small; nothing else leaves the executors."""
+    rows, _, signals = build_gold(inputs, as_of, horizon)
+    gold = materialize(rows, "gold")
+    run_id, stamp, start = batch_id(as_of), as_of.cast("timestamp"), F.date_add(as_of, 1)
+    metrics, final = train(gold, run_id, stamp, estimator)
+    metrics = materialize(metrics, "metrics")
+    daily = gold.select(*SERIES, "date", "quantity")
+    context = forecast.future_context(
+        signals["calendar"], signals["weather"], signals["events"], signals["trends"], start, horizon)
+    chosen = metrics.filter(F.col("chosen") == selection.BOOSTED).select(*SERIES)
+    boosted = model.recursive_forecast(final, daily.join(chosen, SERIES, "left_semi"), context, start, horizon)
+    points = forecast.dispatch(metrics, baseline.history_stats(daily), start, horizon, boosted)
+    forecasts = materialize(forecast.forecast_rows(points, metrics, run_id, stamp), "forecasts")
+    shown = forecast.factor_rows(metrics, run_id)
+    return Outputs(gold, metrics, forecasts, shown, run_summary(forecasts, shown))
+
+
+def publish(spark: SparkSession, outputs: Outputs, root: str) -> None:
+    """Upsert a run into the serving tables; a repeated run replaces itself."""
+    merge.upsert_table(spark, f"{root}/forecasts", outputs.forecasts,
+                       ["user_id", "sku", "forecast_date", "model_run_id"], "model_run_id")
+    merge.upsert_table(spark, f"{root}/forecast_factors", outputs.factors,
+                       ["user_id", "sku", "model_run_id", "factor"], "model_run_id")
+    outputs.metrics.write.mode("overwrite").parquet(f"{root}/gold_model_metrics")
 
 
 def run_summary(forecasts: DataFrame, factors: DataFrame | None = None) -> DataFrame:

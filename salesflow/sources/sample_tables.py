@@ -70,11 +70,12 @@ class Sample:
                 F.col("p_retailprice").alias("price"), (F.col("p_type") == "PROMO").alias("promo_flag"),
                 F.col("o_orderdate").alias("ingested_at"), "l_orderkey", "l_linenumber",
                 F.col("p_name").alias("product_name"), F.col("p_type").alias("category"),
+                F.col("p_partkey").alias("part_key"),
             )
         )
 
     def silver_sales(self) -> DataFrame:
-        raw = self.sales_raw().drop("product_name", "category")
+        raw = self.sales_raw().drop("product_name", "category", "part_key")
         return silver.to_silver(raw, SALES_ORDER)
 
     def signals(self) -> DataFrame:
@@ -157,7 +158,7 @@ class Sample:
 
     def products(self) -> DataFrame:
         return self.sales_raw().groupBy("user_id", "sku").agg(
-            F.min("product_name").alias("product_name"), F.min("category").alias("category"),
+            F.min_by("product_name", "part_key").alias("product_name"), F.min_by("category", "part_key").alias("category"),
             F.count_distinct("date").cast("int").alias("sales_days"), F.max("date").alias("last_sale_date"))
 
     def upload_rows(self) -> DataFrame:
