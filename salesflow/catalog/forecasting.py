@@ -63,9 +63,14 @@ def start(s):
     return F.date_add(s.as_of(), 1)
 
 
-def importances(s):
+def stored_gold(s):
+    """Gold features on storage, for plans that read them twice."""
+    return s.stored("gold", lambda: gold(s))
+
+
+def importances(s, rows=None):
     """Stand-in importance table with one weight per series and feature."""
-    rows = gold(s)
+    rows = gold(s) if rows is None else rows
     wide = rows.groupBy(*SERIES).agg(*[
         F.avg(F.when(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) != 0, 1.0).otherwise(0.0)).alias(f)
         for f in FEATURES])
@@ -167,7 +172,8 @@ TOP = {**WEIGHTS, "top5": """
            d.direction, CAST(rank AS INTEGER) AS rank
     FROM top5 t JOIN dirs d USING (user_id, sku, factor)""", TOP)
 def _(s):
-    return factors.top_factors(importances(s), gold(s))
+    rows = stored_gold(s)
+    return factors.top_factors(importances(s, rows), rows)
 
 
 @query("top_factors_per_sku", """
@@ -316,8 +322,8 @@ METRICS = {**BACKTEST, "metrics": """
            mape_baseline, round(external_null_frac, 4) AS external_null_frac FROM bt"""}
 
 
-def metrics(s):
-    scored = selection.backtest(gold(s))
+def metrics(s, rows=None):
+    scored = selection.backtest(gold(s) if rows is None else rows)
     return scored.select(
         *SERIES, "chosen", F.col("chosen").alias("model_version"), F.col("mape_baseline").alias("mape_backtest"),
         "mape_baseline", F.round("external_null_frac", 4).alias("external_null_frac"))
@@ -344,8 +350,9 @@ def _(s):
     JOIN (SELECT user_id, sku, count(*) AS n FROM silver WHERE date > (SELECT d FROM as_of) - 30 GROUP BY 1, 2) h
     USING (user_id, sku)""", METRICS)
 def _(s):
-    recent = daily(s).filter(F.col("date") > F.date_sub(s.as_of(), 30))
-    joined = forecast.with_history(metrics(s).select(*SERIES, "chosen"), forecast.history_arrays(recent))
+    rows = stored_gold(s)
+    recent = rows.select(*SERIES, "date", "quantity").filter(F.col("date") > F.date_sub(s.as_of(), 30))
+    joined = forecast.with_history(metrics(s, rows).select(*SERIES, "chosen"), forecast.history_arrays(recent))
     return joined.select(*SERIES, "chosen", F.size("history").cast("bigint").alias("n"))
 
 
@@ -359,9 +366,9 @@ def _(s):
     """Even series choose the model; one brand has no model points and falls back."""
     chosen = F.when(F.col("sales_days") % 2 == 0, selection.BOOSTED).otherwise(selection.BASELINE)
     models = s.products().select(*SERIES, chosen.alias("chosen"))
-    finished = baseline.seasonal_naive(daily(s), start(s)).filter("sku != 'Brand#2'").select(
+    stats = s.stored("stats", lambda: baseline.history_stats(daily(s)))
+    finished = baseline.points(stats, start(s), 30).filter("sku != 'Brand#2'").select(
         *SERIES, "date", F.lit(7.0).alias("yhat"), F.lit(5.0).alias("yhat_lower"), F.lit(9.0).alias("yhat_upper"))
-    stats = baseline.history_stats(daily(s))
     return rounded(forecast.dispatch(models, stats, start(s), 30, finished), *BANDS)
 
 
@@ -371,8 +378,9 @@ def _(s):
            round(mape_backtest, 2) AS mape_backtest
     FROM naive JOIN metrics USING (user_id, sku)""", METRICS)
 def _(s):
-    models = rounded(metrics(s), "mape_backtest", digits=2)
-    pts = forecast.dispatch(models, baseline.history_stats(daily(s)), start(s))
+    rows = stored_gold(s)
+    models = s.stored("models", lambda: rounded(metrics(s, rows), "mape_backtest", digits=2))
+    pts = forecast.dispatch(models, baseline.history_stats(rows.select(*SERIES, "date", "quantity")), start(s))
     rows = forecast.forecast_rows(pts, models, batch_id(s.as_of()), s.as_of().cast("timestamp"))
     return rows.drop("generated_at")
 

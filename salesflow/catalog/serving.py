@@ -31,6 +31,11 @@ NEWEST = {
 }
 
 
+def published(s):
+    """The forecast table as the nightly run leaves it, on storage."""
+    return s.stored("forecasts", s.forecasts)
+
+
 def requests(s):
     """Every product of every tenant, and one unknown SKU per tenant."""
     skus = s.products().select(*SERIES).unionByName(
@@ -46,7 +51,7 @@ def factors(s):
                  ((F.ascii(F.substring("sku", -1, 1)) * (i + 1)) % 10 / 10).alias("importance"),
                  F.lit("up" if i % 2 else "down").alias("direction"))
         for i, name in enumerate(FACTOR_NAMES)])
-    runs = s.forecasts().select(*SERIES, "model_run_id").distinct()
+    runs = published(s).select(*SERIES, "model_run_id").distinct()
     return runs.select(*SERIES, "model_run_id", F.explode(entries).alias("f")).select(*SERIES, "model_run_id", "f.*")
 
 
@@ -57,7 +62,7 @@ def _(s):
 
 @query("forecasts_api", "SELECT * FROM flat", NEWEST)
 def _(s):
-    return serving.series_flat(requests(s), s.forecasts(), s.signal_status(), s.as_of())
+    return serving.series_flat(requests(s), published(s), s.signal_status(), s.as_of())
 
 
 FACTORS = {**NEWEST, "factors": """
@@ -76,7 +81,7 @@ FACTORS = {**NEWEST, "factors": """
     FROM flat f LEFT JOIN shown s ON s.user_id = f.user_id AND s.sku = f.sku
     GROUP BY f.user_id, position, f.sku, model_run_id""", FACTORS)
 def _(s):
-    rows = serving.assemble_series(requests(s), s.forecasts(), factors(s), s.signal_status(), s.as_of())
+    rows = serving.assemble_series(requests(s), published(s), factors(s), s.signal_status(), s.as_of())
     days = F.transform("points", lambda p: p["date"])
     return rows.select("user_id", "position", "sku", "model_run_id", "model_version", "degraded",
                        F.size("points").cast("bigint").alias("points"), F.array_min(days).alias("first_day"),
@@ -298,4 +303,4 @@ def _(s):
     SELECT f.user_id, f.sku, f.forecast_date, f.model_run_id, f.yhat FROM forecasts f JOIN newest n USING (user_id, model_run_id)
     """, NEWEST)
 def _(s):
-    return merge.keep_runs(s.forecasts(), 1).select(*SERIES, "forecast_date", "model_run_id", "yhat")
+    return merge.keep_runs(published(s), 1).select(*SERIES, "forecast_date", "model_run_id", "yhat")

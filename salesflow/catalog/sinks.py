@@ -19,7 +19,7 @@ from salesflow.sources.layers import lookback
 def _(s):
     """Every second day is re-uploaded with one unit more; some of those days are new to the target."""
     number = F.unix_date("date")
-    sales = s.sales_daily().select(*SERIES_DAY, "quantity", "price", "source")
+    sales = s.stored("sales_daily", s.sales_daily).select(*SERIES_DAY, "quantity", "price", "source")
     fresh = (F.month("date") == 5) & (F.dayofmonth("date") % 2 == 0) & (number % 2 == 0)
     first = sales.filter(number % 2 == 0).select(*SERIES_DAY, F.lit(-1.0).alias("quantity"), F.lit(1).alias("batch"))
     second = sales.filter(number % 2 == 0).select(
@@ -37,9 +37,10 @@ def _(s):
 def _(s):
     from salesflow.operators.validation import product_stats
 
-    target = s.products().withColumn("sales_days", F.lit(0))
+    products = s.stored("products", s.products)
+    target = products.withColumn("sales_days", F.lit(0))
     stats = product_stats(s.sales_daily()).withColumn("last_sale_date", F.date_add("last_sale_date", 1))
-    picked = s.products().filter("category = 'PROMO' or sku like '%2'").select(*SERIES)
+    picked = products.filter("category = 'PROMO' or sku like '%2'").select(*SERIES)
     return merge.update_by_key(target, stats.join(picked, SERIES, "left_semi"), SERIES, ["sales_days", "last_sale_date"])
 
 

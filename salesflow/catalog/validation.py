@@ -56,12 +56,8 @@ def checked(s):
            CASE WHEN field IS NULL THEN promo_flag IN ('true', '1', 'yes') END AS promo_flag
     FROM checked""", CHECKED)
 def _(s):
-    rows = checked(s)
-    good = validation.valid_sales(rows).select(
-        "upload_id", "row_no", "seq", "sku", F.lit(None).cast("string").alias("field"),
-        F.lit(None).cast("string").alias("message"), "date", "quantity", "revenue", "price", "promo_flag")
-    bad = rows.filter("error is not null").select("upload_id", "row_no", "seq", "sku", "error.field", "error.message")
-    return good.unionByName(bad, allowMissingColumns=True)
+    return validation.outcome(checked(s)).select(
+        "upload_id", "row_no", "seq", "sku", "field", "message", "date", "quantity", "revenue", "price", "promo_flag")
 
 
 @query("csv_row_cap", "SELECT upload_id, row, field, message FROM beyond", CHECKED)

@@ -72,8 +72,8 @@ VIEWS: dict[str, str] = {
                CAST(DATE '1995-01-15' + n_nationkey * 90 + 6 + n_nationkey % 10 AS DATE) AS end_date
         FROM nation""",
     "spans": """
-        SELECT user_id, min(date) AS start_date, any_value((SELECT d FROM as_of)) AS end_date
-        FROM sales_raw GROUP BY user_id""",
+        SELECT id AS user_id, (SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem) AS start_date,
+               (SELECT d FROM as_of) AS end_date FROM profiles""",
     "spine": """
         SELECT user_id, CAST(unnest(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP),
                INTERVAL 1 DAY)) AS DATE) AS date FROM spans""",

@@ -101,6 +101,17 @@ def valid_sales(validated: DataFrame) -> DataFrame:
         flag(F.col("promo_flag")).alias("promo_flag"))
 
 
+def outcome(validated: DataFrame) -> DataFrame:
+    """One row per record: the error, or the typed values where there is none."""
+    good = F.col("error").isNull()
+    keep = [c for c in validated.columns if c not in [*REQUIRED, *OPTIONAL, "error"]]
+    typed = {
+        "date": iso_date(F.col("date")), **{c: number(F.col(c)) for c in ("quantity", "revenue", "price")},
+        "promo_flag": flag(F.col("promo_flag"))}
+    return validated.select(*keep, "sku", "error.field", "error.message",
+                            *[F.when(good, c).alias(name) for name, c in typed.items()])
+
+
 def error_rows(validated: DataFrame, cap_errors: DataFrame | None = None) -> DataFrame:
     """One row per error: upload, row, field, message."""
     found = validated.filter("error is not null").select("upload_id", "error.row", "error.field", "error.message")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from salesflow.functions.scalars import batch_id
 from salesflow.operators import silver
 from salesflow.operators.keyed import latest
+from salesflow.session import materialize
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -45,11 +46,18 @@ class Sample:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         path = os.path.join(self.folder, f"{name}.parquet")
         return self.spark.read.schema(TABLES[name]).parquet(path)
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once per query, for plans that read it several times."""
+        if name not in self._stored:
+            self._stored[name] = materialize(build(), name)
+        return self._stored[name]
+
     def as_of(self) -> Column:
         """Last day with sales, as a scalar subquery over one column."""
         return self.table("lineitem").agg(F.max(F.to_date("l_shipdate"))).scalar()
@@ -152,9 +160,12 @@ class Sample:
         )
 
     def spans(self, extra_days: int = 0) -> DataFrame:
-        """First sales day of each tenant to the last sales day, plus the days of the horizon."""
-        return self.sales_raw().groupBy("user_id").agg(F.min("date").alias("start_date")).select(
-            "user_id", "start_date", F.date_add(self.as_of(), extra_days).alias("end_date"))
+        """First to last sales day for every tenant, plus the days of the horizon; reads one column."""
+        days = self.table("lineitem").agg(F.struct(
+            F.min(F.to_date("l_shipdate")).alias("low"), F.max(F.to_date("l_shipdate")).alias("high"))).scalar()
+        return self.profiles().withColumn("_d", days).select(
+            F.col("id").alias("user_id"), F.col("_d.low").alias("start_date"),
+            F.date_add("_d.high", extra_days).alias("end_date"))
 
     def products(self) -> DataFrame:
         return self.sales_raw().groupBy("user_id", "sku").agg(
@@ -194,12 +205,6 @@ class Sample:
         """Serving table of sales, one row per series and day."""
         return self.silver_sales().drop("gap_flag").withColumn("source", F.lit("csv"))
 
-    def run_days(self) -> DataFrame:
-        """Two nightly runs: on the last sales day, and eight days before it."""
-        return self.table("region").agg(self.as_of().alias("day")).select(
-            F.explode(F.array(F.lit(0), F.lit(8))).alias("back"), "day"
-        ).select("back", F.date_sub("day", F.col("back")).alias("run_day"))
-
     def forecasts(self) -> DataFrame:
         """Baseline forecasts of two runs; the older run is one unit higher."""
         from salesflow.plans import baseline
