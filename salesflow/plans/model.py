@@ -1,7 +1,8 @@
 """Boosted quantile model on Spark ML: one distributed fit over all series.
 
-Quantities are scaled by the mean of their series, so that series of all sizes share the trees. The
-trees estimate the median; the residual quantiles of each series give its 80 % band.
+Quantities are divided by the recent level of their series, its mean over the last 28 rows, so that
+series of all sizes share the trees and a trend carries on beyond the training range. The trees
+estimate the median; the residual quantiles of each series give its 80 % band.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ MISSING = {f: -1.0 for f in FEATURES} | {"temp_avg": -999.0, "days_to_holiday":
 
 
 class Fitted(Protocol):
-    """A fitted point model: adds ``prediction`` in units of the series mean."""
+    """A fitted point model: adds ``prediction`` in units of ``level``."""
 
     def transform(self, rows: DataFrame) -> DataFrame: ...
 
@@ -43,12 +44,18 @@ class Estimator(Protocol):
     def fit(self, rows: DataFrame) -> Fitted: ...
 
 
+def with_level(rows: DataFrame) -> DataFrame:
+    """Recent level of the series; its overall mean (``scale``) while there is none."""
+    recent = F.col("roll_mean_28")
+    return rows.withColumn("level", F.when(recent > 0, recent).otherwise(F.col("scale")))
+
+
 def assemble(rows: DataFrame) -> DataFrame:
-    """Feature vector; momentum features are in units of the series mean (column ``scale``)."""
+    """Feature vector; momentum features are in units of ``level``."""
     inputs = {}
     for f in FEATURES:
         value = F.col(f).cast("double")
-        value = value / F.col("scale") if f in MOMENTUM_FEATURES else value
+        value = value / F.col("level") if f in MOMENTUM_FEATURES else value
         inputs[f"_x_{f}"] = F.coalesce(value, F.lit(MISSING[f]))
     filled = rows.withColumns(inputs)
     assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(filled)
@@ -102,12 +109,12 @@ def scales(rows: DataFrame) -> DataFrame:
 def trainable(rows: DataFrame, scale: DataFrame) -> DataFrame:
     """Rows of series with enough history, with the scaled target."""
     enough = scale.filter(F.col("train_rows") >= MIN_TRAIN_ROWS)
-    return rows.filter("quantity is not null").join(enough, SERIES).withColumn(
-        "target", F.col("quantity") / F.col("scale"))
+    return with_level(rows.filter("quantity is not null").join(enough, SERIES)).withColumn(
+        "target", F.col("quantity") / F.col("level"))
 
 
 def residual_bands(fitted: Fitted, rows: DataFrame) -> DataFrame:
-    """Residual quantiles per series, in units of its mean, with its scale."""
+    """Residual quantiles per series, in units of its level, with its scale."""
     residual = F.col("target") - F.col("prediction")
     return fitted.transform(rows).groupBy(*SERIES).agg(
         F.percentile_approx(residual, list(QUANTILES), 1000).alias("_q"), F.first("scale").alias("scale")).select(
@@ -121,7 +128,7 @@ def guard_crossing(low: Column, mid: Column, high: Column) -> dict[str, Column]:
 
 def quantiles(predicted: DataFrame) -> DataFrame:
     """yhat and its band, at least zero and in order."""
-    value = lambda c: F.greatest(c * F.col("scale"), F.lit(0.0))
+    value = lambda c: F.greatest(c * F.col("level"), F.lit(0.0))
     p = F.col("prediction")
     return predicted.withColumns(guard_crossing(value(p + F.col("q_low")), value(p), value(p + F.col("q_high"))))
 
@@ -135,7 +142,7 @@ class QuantileModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows of known series with yhat, yhat_lower and yhat_upper."""
-        return quantiles(self.fitted.transform(rows.join(self.bands, SERIES)))
+        return quantiles(self.fitted.transform(with_level(rows.join(self.bands, SERIES))))
 
 
 def fit_quantiles(rows: DataFrame, estimator: Estimator | None = None) -> QuantileModel:
@@ -200,14 +207,15 @@ def recursive_forecast(model: QuantileModel, daily: DataFrame, context: DataFram
             **inference_features(F.col("history")),
             "dow": F.weekday("_day.date"), "month": F.month("_day.date"), "is_weekend": F.weekday("_day.date") >= 5,
             "promo_flag": F.lit(False), **{c: F.col(f"_day.{c}") for c in _CONTEXT}})
-        done = quantiles(model.fitted.transform(rows))
+        done = quantiles(model.fitted.transform(with_level(rows)))
         point = F.struct(F.col("_day.date").alias("date"), "yhat", "yhat_lower", "yhat_upper")
         longer = F.concat("history", F.array("yhat"))
         state = done.withColumns({
             "points": F.concat("points", F.array(point)),
             "history": F.slice(longer, F.greatest(F.size(longer) - KEPT_HISTORY + 1, F.lit(1)), F.lit(KEPT_HISTORY)),
         }).select(*kept)
-        if (step + 1) % STEPS_PER_CUT == 0:
+        # The last cut also keeps the filter that explode infers from running back through every step.
+        if (step + 1) % STEPS_PER_CUT == 0 or step == horizon - 1:
             state = materialize(state, "state")
     return state.select(*SERIES, F.explode("points").alias("_p")).select(*SERIES, "_p.*")
 
