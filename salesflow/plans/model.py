@@ -13,7 +13,7 @@ from typing import Protocol
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salesflow.functions.scalars import middle_of_three
 from salesflow.plans.forecast import inference_features
@@ -23,7 +23,7 @@ from salesflow.session import materialize
 
 MIN_TRAIN_ROWS = 60
 KEPT_HISTORY = 28  # the longest lag and window
-STEPS_PER_CUT = 10
+STEPS_PER_CUT = 5
 QUANTILES = (0.1, 0.9)
 
 # Value of a missing feature, outside its range, so that trees can tell it apart.
@@ -44,22 +44,38 @@ class Estimator(Protocol):
     def fit(self, rows: DataFrame) -> Fitted: ...
 
 
+def level_of(recent: Column, scale: Column) -> Column:
+    """Recent level of the series; its overall mean while there is none."""
+    return F.when(recent > 0, recent).otherwise(scale)
+
+
 def with_level(rows: DataFrame) -> DataFrame:
-    """Recent level of the series; its overall mean (``scale``) while there is none."""
-    recent = F.col("roll_mean_28")
-    return rows.withColumn("level", F.when(recent > 0, recent).otherwise(F.col("scale")))
+    return rows.withColumn("level", level_of(F.col("roll_mean_28"), F.col("scale")))
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """Feature vector; momentum features are in units of ``level``."""
-    inputs = {}
+def inputs(feature: Callable[[str], Column], level: Column) -> dict[str, Column]:
+    """Model inputs from the features: momentum in units of ``level``, missing values marked."""
+    out = {}
     for f in FEATURES:
-        value = F.col(f).cast("double")
-        value = value / F.col("level") if f in MOMENTUM_FEATURES else value
-        inputs[f"_x_{f}"] = F.coalesce(value, F.lit(MISSING[f]))
-    filled = rows.withColumns(inputs)
-    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(filled)
-    return assembled.drop(*inputs)
+        value = feature(f).cast("double")
+        out[f] = F.coalesce(value / level if f in MOMENTUM_FEATURES else value, F.lit(MISSING[f]))
+    return out
+
+
+def assemble(rows: DataFrame) -> DataFrame:
+    """Feature vector of rows with ``level``."""
+    columns = {f"_x_{f}": c for f, c in inputs(F.col, F.col("level")).items()}
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(
+        rows.withColumns(columns)).drop(*columns)
+
+
+def tree_column(node, values: list[Column]) -> Column:
+    """A regression tree as nested conditions."""
+    if node.subtreeDepth() == 0:
+        return F.lit(float(node.prediction()))
+    split = node.split()
+    return F.when(values[split.featureIndex()] <= float(split.threshold()), tree_column(node.leftChild(), values)).otherwise(
+        tree_column(node.rightChild(), values))
 
 
 @dataclass
@@ -69,6 +85,13 @@ class FittedTrees:
     def transform(self, rows: DataFrame) -> DataFrame:
         return self.model.transform(assemble(rows)).drop("features")
 
+    def column(self, values: dict[str, Column]) -> Column:
+        """The prediction as one expression over the model inputs."""
+        ordered = [values[f] for f in FEATURES]
+        parts = [F.lit(float(w)) * tree_column(t._java_obj.rootNode(), ordered)
+                 for w, t in zip(self.model.treeWeights, self.model.trees)]
+        return sum(parts[1:], parts[0])
+
     def importances(self) -> dict[str, float]:
         return dict(zip(FEATURES, (float(w) for w in self.model.featureImportances.toArray())))
 
@@ -126,11 +149,14 @@ def guard_crossing(low: Column, mid: Column, high: Column) -> dict[str, Column]:
     return {"yhat_lower": F.get(trio, F.lit(0)), "yhat": F.get(trio, F.lit(1)), "yhat_upper": F.get(trio, F.lit(2))}
 
 
-def quantiles(predicted: DataFrame) -> DataFrame:
+def band_of(prediction: Column, level: Column) -> dict[str, Column]:
     """yhat and its band, at least zero and in order."""
-    value = lambda c: F.greatest(c * F.col("level"), F.lit(0.0))
-    p = F.col("prediction")
-    return predicted.withColumns(guard_crossing(value(p + F.col("q_low")), value(p), value(p + F.col("q_high"))))
+    value = lambda c: F.greatest(c * level, F.lit(0.0))
+    return guard_crossing(value(prediction + F.col("q_low")), value(prediction), value(prediction + F.col("q_high")))
+
+
+def quantiles(predicted: DataFrame) -> DataFrame:
+    return predicted.withColumns(band_of(F.col("prediction"), F.col("level")))
 
 
 @dataclass
@@ -183,37 +209,85 @@ def context_arrays(context: DataFrame, tenants: DataFrame, start: Column, horizo
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", *_CONTEXT))).alias("_days"))
 
 
-def recursive_forecast(model: QuantileModel, daily: DataFrame, context: DataFrame, start: Column,
-                       horizon: int = 30) -> DataFrame:
-    """Day by day forecast that feeds each median back into lags and means.
+_POINTS = "array<struct<date:date,yhat:double,yhat_lower:double,yhat_upper:double>>"
 
-    State is one row per series with its last 28 values; a step is a narrow projection. The state is
-    written to the shared folder every few steps to keep the plan short.
-    """
-    from pyspark.sql import Window
 
+def series_state(model: QuantileModel, daily: DataFrame, context: DataFrame, start: Column, horizon: int) -> DataFrame:
+    """One row per series: its last 28 values, its bands and the days of the horizon with their context."""
     newest = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
     tail = daily.withColumn("_b", F.row_number().over(newest)).filter(F.col("_b") <= KEPT_HISTORY)
     history = tail.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("date", "quantity"))).alias("_h")).select(
         *SERIES, F.col("_h.quantity").alias("history"))
-    state = history.join(model.bands, SERIES).join(context_arrays(context, daily, start, horizon), "user_id", "left")
-    state = state.withColumn("points", F.array().cast(
-        "array<struct<date:date,yhat:double,yhat_lower:double,yhat_upper:double>>"))
+    return history.join(model.bands, SERIES).join(context_arrays(context, daily, start, horizon), "user_id", "left")
+
+
+def day_features(history: Column, day: Column) -> dict[str, Column]:
+    """All features of a day of the horizon."""
+    return {
+        **inference_features(history), "dow": F.weekday(day["date"]), "month": F.month(day["date"]),
+        "is_weekend": F.weekday(day["date"]) >= 5, "promo_flag": F.lit(False), **{c: day[c] for c in _CONTEXT}}
+
+
+def longer(history: Column, value: Column) -> Column:
+    """History with one more value, cut to the part that later days need."""
+    grown = F.concat(history, F.array(value))
+    return F.slice(grown, F.greatest(F.size(grown) - KEPT_HISTORY + 1, F.lit(1)), F.lit(KEPT_HISTORY))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def recursive_forecast(model: QuantileModel, daily: DataFrame, context: DataFrame, start: Column,
+                       horizon: int = 30) -> DataFrame:
+    """Day by day forecast that feeds each median back into lags and means.
+
+    A model that can be written as an expression runs in one pass: a fold over the days of each series.
+    Any other model is applied to all series once per day.
+    """
+    state = series_state(model, daily, context, start, horizon)
+    if not hasattr(model.fitted, "column"):
+        return forecast_stepwise(model, state, horizon)
+
+    def step(acc: Column, day: Column) -> Column:
+        names = {f: c for f, c in day_features(acc["history"], day).items()}
+        features = F.struct(*[c.alias(f) for f, c in names.items()])
+
+        def predict(f: Column) -> Column:
+            level = level_of(f["roll_mean_28"], F.col("scale"))
+            filled = inputs(lambda name: f[name], level)
+            vector = F.struct(level.alias("level"), *[c.alias(name) for name, c in filled.items()])
+            return bind(vector, lambda x: F.struct(
+                x["level"].alias("level"), model.fitted.column({name: x[name] for name in FEATURES}).alias("p")))
+
+        def append(p: Column) -> Column:
+            band = band_of(p["p"], p["level"])
+            point = F.struct(day["date"].alias("date"), *[band[c].alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
+            return bind(point, lambda q: F.struct(
+                longer(acc["history"], q["yhat"]).alias("history"), F.concat(acc["points"], F.array(q)).alias("points")))
+
+        return bind(bind(features, predict), append)
+
+    first = F.struct(F.col("history"), F.array().cast(_POINTS).alias("points"))
+    done = state.select(*SERIES, F.aggregate("_days", first, step, lambda acc: acc["points"]).alias("_points"))
+    return done.select(*SERIES, F.explode("_points").alias("_p")).select(*SERIES, "_p.*")
+
+
+def forecast_stepwise(model: QuantileModel, state: DataFrame, horizon: int) -> DataFrame:
+    """The same recursion with the model applied to all series once per day, each day a narrow projection.
+
+    The state is written to the shared folder every few days to keep the plan short.
+    """
     kept = ["user_id", "sku", "scale", "q_low", "q_high", "history", "_days", "points"]
-    state = materialize(state.select(*kept), "state")
+    state = materialize(state.withColumn("points", F.array().cast(_POINTS)).select(*kept), "state")
     for step in range(horizon):
-        day = F.get("_days", F.lit(step))
-        rows = state.withColumn("_day", day).withColumns({
-            **inference_features(F.col("history")),
-            "dow": F.weekday("_day.date"), "month": F.month("_day.date"), "is_weekend": F.weekday("_day.date") >= 5,
-            "promo_flag": F.lit(False), **{c: F.col(f"_day.{c}") for c in _CONTEXT}})
+        rows = state.withColumn("_day", F.get("_days", F.lit(step)))
+        rows = rows.withColumns(day_features(F.col("history"), F.col("_day")))
         done = quantiles(model.fitted.transform(with_level(rows)))
         point = F.struct(F.col("_day.date").alias("date"), "yhat", "yhat_lower", "yhat_upper")
-        longer = F.concat("history", F.array("yhat"))
         state = done.withColumns({
-            "points": F.concat("points", F.array(point)),
-            "history": F.slice(longer, F.greatest(F.size(longer) - KEPT_HISTORY + 1, F.lit(1)), F.lit(KEPT_HISTORY)),
-        }).select(*kept)
+            "points": F.concat("points", F.array(point)), "history": longer(F.col("history"), F.col("yhat"))}).select(*kept)
         # The last cut also keeps the filter that explode infers from running back through every step.
         if (step + 1) % STEPS_PER_CUT == 0 or step == horizon - 1:
             state = materialize(state, "state")

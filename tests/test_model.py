@@ -67,10 +67,28 @@ def test_recursion_feeds_predictions_back(frame):
                         "temp_avg double, precip_mm double, event_count bigint, large_event_count bigint, trends_interest double")
     got = model.recursive_forecast(model.QuantileModel(WeekEcho(), bands), daily, context, F.lit("2026-07-08").cast("date"), 14)
     rows = got.orderBy("date").collect()
-    assert [r["yhat"] for r in rows] == [float(d) for d in range(1, 8)] * 2
+    assert [r["yhat"] for r in rows] == pytest.approx([float(d) for d in range(1, 8)] * 2)
     assert str(rows[0]["date"]) == "2026-07-08" and rows[0]["yhat_lower"] == 0.0 and rows[0]["yhat_upper"] == 3.0
 
 
+def empty_context(spark):
+    return spark.createDataFrame([], "user_id string, date date, is_holiday boolean, days_to_holiday int, is_school_break boolean, "
+                                     "temp_avg double, precip_mm double, event_count bigint, large_event_count bigint, "
+                                     "trends_interest double")
+
+
+def test_one_pass_equals_the_stepwise_form(spark, ranked):
+    fitted = model.fit_quantiles(ranked, SMALL)
+    daily, start = ranked.select(*SERIES, "date", "quantity"), F.date_add(F.lit(DAY).cast("date"), 1)
+    one = model.recursive_forecast(fitted, daily, empty_context(spark), start, 6)
+    steps = model.forecast_stepwise(fitted, model.series_state(fitted, daily, empty_context(spark), start, 6), 6)
+    a, b = (df.orderBy(*SERIES, "date").collect() for df in (one, steps))
+    assert len(a) == len(b) == 24
+    for x, y in zip(a, b):
+        assert x["date"] == y["date"]
+        assert [x[c] for c in ("yhat", "yhat_lower", "yhat_upper")] == pytest.approx([y[c] for c in ("yhat", "yhat_lower", "yhat_upper")])
+
+
 def test_own_model_per_series(frame):
     daily = frame([("u1", "A", f"2026-07-{d:02d}", float(d)) for d in range(1, 8)],
                   "user_id string, sku string, date date, quantity double")
