@@ -38,11 +38,11 @@ BACKTEST = {
         GROUP BY p.user_id, p.sku""",
 }
 
-# Importance table: share of rows of a series on which the feature is present and not zero.
+# Importance table: rows of a series on which the feature is present and not zero.
 WEIGHTS = {
     "weights": " UNION ALL ".join(
         f"""SELECT user_id, sku, '{f}' AS factor, {i} AS pos,
-            avg(CASE WHEN coalesce(CAST({f} AS DOUBLE), 0) <> 0 THEN 1.0 ELSE 0.0 END) AS importance
+            CAST(count(*) FILTER (coalesce(CAST({f} AS DOUBLE), 0) <> 0) AS DOUBLE) AS importance
             FROM gold GROUP BY user_id, sku""" for i, f in enumerate(FEATURES)),
     "dirs": " UNION ALL ".join(
         f"""SELECT user_id, sku, '{f}' AS factor,
@@ -50,7 +50,7 @@ WEIGHTS = {
                  WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 'neutral'
                  WHEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) > 0.05 THEN 'up'
                  WHEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) < -0.05 THEN 'down' ELSE 'neutral' END AS direction
-            FROM (SELECT user_id, sku, CAST({f} AS DOUBLE) AS x, quantity AS y FROM gold WHERE {f} IS NOT NULL)
+            FROM (SELECT user_id, sku, CAST({f} AS DOUBLE) AS x, CASE WHEN {f} IS NOT NULL THEN quantity END AS y FROM gold)
             GROUP BY user_id, sku""" for f in FEATURES),
 }
 
@@ -72,7 +72,7 @@ def importances(s, rows=None):
     """Stand-in importance table with one weight per series and feature."""
     rows = gold(s) if rows is None else rows
     wide = rows.groupBy(*SERIES).agg(*[
-        F.avg(F.when(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) != 0, 1.0).otherwise(0.0)).alias(f)
+        F.count_if(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) != 0).cast("double").alias(f)
         for f in FEATURES])
     entries = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("importance")) for f in FEATURES])
     return wide.select(*SERIES, F.explode(entries).alias("e")).select(*SERIES, "e.factor", "e.importance")

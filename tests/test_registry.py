@@ -5,7 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from tools.check import canon, rows_of
+from tools.check import canon, rows_of, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
 HEAVY = {"nightly_run", "recursive_forecast", "quantile_forecast", "feature_importance"}
@@ -29,8 +29,7 @@ def test_query_equals_sql(spark, duck, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("NestedLoop", "CartesianProduct", "EvalPython"):
         assert bad not in plan
-    want = duck.execute(oracle_sql()[name]).arrow()
-    want = want.read_all() if hasattr(want, "read_all") else want
+    want = sql_rows(duck, oracle_sql()[name])
     assert rows_of(df.toArrow()) == rows_of(want)
 
 
