@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salesflow.operators.keyed import top_n
 from salesflow.schemas import FEATURES, MOMENTUM_FEATURES, SERIES
@@ -12,37 +12,29 @@ NEUTRAL = 0.05
 SHOWN = 5
 
 
-def correlation_columns(feature: str, target: str = "quantity") -> list[Column]:
-    """Pair count and Pearson r of a feature; r is NULL without variance on either side."""
-    x = F.col(feature).cast("double")
-    y = F.when(x.isNotNull(), F.col(target))
-    pairs = F.count_if(x.isNotNull() & F.col(target).isNotNull())
-    spread = F.sqrt(F.var_pop(F.when(F.col(target).isNotNull(), x)) * F.var_pop(y))
-    return [pairs.alias(f"{feature}_pairs"), F.try_divide(F.covar_pop(x, y), spread).alias(f"{feature}_r")]
-
-
 def direction_of(pairs: Column, r: Column) -> Column:
     return F.when(pairs < MIN_PAIRS, "neutral").when(r > NEUTRAL, "up").when(r < -NEUTRAL, "down").otherwise("neutral")
 
 
 def directions(rows: DataFrame, keys: list[str] = SERIES, features: list[str] = FEATURES,
                target: str = "quantity") -> DataFrame:
-    """Direction of each feature per key.
+    """Direction of each feature per key: sign of its Pearson correlation with the target.
 
-    All features are aggregated side by side and turned into rows afterwards, so the input is neither
-    multiplied nor shuffled once per feature.
+    Features become rows ahead of the aggregation. They are summed up again before the shuffle, and
+    one narrow aggregate stays in generated code where one per feature, side by side, would not.
+    Without variance on either side r is NULL, hence neutral.
     """
-    wide = rows.groupBy(*keys).agg(*[c for f in features for c in correlation_columns(f, target)])
-    entries = F.array(*[
-        F.struct(F.lit(f).alias("factor"), direction_of(F.col(f"{f}_pairs"), F.col(f"{f}_r")).alias("direction"))
-        for f in features])
-    return wide.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.factor", "_e.direction")
+    entries = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in features])
+    pairs = rows.filter(F.col(target).isNotNull()).select(
+        *keys, F.col(target).alias("_y"), F.explode(entries).alias("_e"))
+    x, y = F.col("_e.x"), F.when(F.col("_e.x").isNotNull(), F.col("_y"))
+    summed = pairs.groupBy(*keys, F.col("_e.factor").alias("factor")).agg(
+        F.count(x).alias("_pairs"), F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))).alias("_r"))
+    return summed.select(*keys, "factor", direction_of(F.col("_pairs"), F.col("_r")).alias("direction"))
 
 
 def normalise(df: DataFrame, keys: list[str], weight: str = "importance", digits: int = 4) -> DataFrame:
     """Share of each weight in its group, a zero total read as one."""
-    from pyspark.sql import Window
-
     total = F.sum(weight).over(Window.partitionBy(*keys))
     return df.withColumn(weight, F.round(F.col(weight) / F.when(total == 0, 1.0).otherwise(total), digits))
 
