@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from salesflow.catalog.features import gold, rounded
 from salesflow.catalog.registry import query
+from salesflow.catalog.validation import checked_views
 from salesflow.plans import forecast, model, nightly, selection
-from salesflow.schemas import SERIES
+from salesflow.schemas import PAYLOADS, SERIES
 from salesflow.session import materialize, scratch_path
 from salesflow.sources.envelopes import to_envelope
 from salesflow.sources.sample_tables import SALES_ORDER, TABLES
@@ -75,14 +76,18 @@ def _(s):
     return s.spark.read.parquet(f"{out}/rows").select(F.col("signal").cast("string").alias("signal"), "status", "last_error")
 
 
-@query("sales_event_stream")
+@query("sales_event_stream", """
+    SELECT concat(user_id, ':', sku) AS key, upload_id, CAST(date AS DATE) AS date, CAST(quantity AS DOUBLE) AS quantity,
+           promo_flag IN ('true', '1', 'yes') AS promo_flag FROM checked WHERE field IS NULL""", checked_views(100000, 500))
 def _(s):
-    """Valid upload rows as messages, batch form of the streaming sink."""
+    """Valid upload rows as messages, read back from their payload."""
     from salesflow.operators.validation import valid_sales, validate_sales
 
     valid = valid_sales(validate_sales(s.upload_rows()))
-    return to_envelope(valid, "sales_csv", ["user_id", "sku"], ["user_id", "upload_id", "sku", "date", "quantity", "revenue",
+    sent = to_envelope(valid, "sales_csv", ["user_id", "sku"], ["user_id", "upload_id", "sku", "date", "quantity", "revenue",
                                                                 "price", "promo_flag"], "date", s.as_of().cast("timestamp"))
+    body = F.from_json(F.get_json_object("value", "$.payload"), PAYLOADS["sales_csv"])
+    return sent.select("key", body.alias("p")).select("key", "p.upload_id", "p.date", "p.quantity", "p.promo_flag")
 
 
 def ranked_gold(s):

@@ -10,37 +10,42 @@ from salesflow.operators.keyed import top_n
 
 MAX_ROWS, MAX_SKUS = 7, 3
 
-CHECKED = {
-    "cleaned": f"""
-        SELECT upload_id, user_id, row_no, seq, trim(date) AS date, trim(sku) AS sku, trim(product_name) AS product_name,
-               trim(quantity) AS quantity, trim(revenue) AS revenue, trim(price) AS price, lower(trim(promo_flag)) AS promo_flag
-        FROM upload_rows WHERE row_no - 1 <= {MAX_ROWS - 1}""",
-    "accepted_skus": f"""
-        SELECT upload_id, sku FROM (
-            SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY first_row, sku) AS rn FROM (
-                SELECT upload_id, sku, min(row_no) AS first_row FROM cleaned WHERE sku <> '' GROUP BY 1, 2))
-        WHERE rn <= {MAX_SKUS}""",
-    "checked": f"""
-        SELECT c.*, CASE WHEN c.sku = '' THEN 'sku' WHEN a.sku IS NULL THEN 'sku'
-                    WHEN NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date'
-                    WHEN CAST(quantity AS DOUBLE) < 0 THEN 'quantity'
-                    WHEN revenue <> '' AND TRY_CAST(revenue AS DOUBLE) IS NULL THEN 'revenue'
-                    WHEN price <> '' AND CAST(price AS DOUBLE) < 0 THEN 'price'
-                    WHEN promo_flag NOT IN ('true', '1', 'yes', 'false', '0', 'no', '') THEN 'promo_flag' END AS field,
-               CASE WHEN c.sku = '' THEN 'sku is required' WHEN a.sku IS NULL THEN 'SKU limit exceeded ({MAX_SKUS} per file)'
-                    WHEN NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date must be ISO YYYY-MM-DD'
-                    WHEN CAST(quantity AS DOUBLE) < 0 THEN 'quantity must be >= 0'
-                    WHEN revenue <> '' AND TRY_CAST(revenue AS DOUBLE) IS NULL
-                    THEN concat('revenue could not convert string to float: ''', revenue, '''')
-                    WHEN price <> '' AND CAST(price AS DOUBLE) < 0 THEN 'price must be >= 0'
-                    WHEN promo_flag NOT IN ('true', '1', 'yes', 'false', '0', 'no', '')
-                    THEN 'must be true/false/0/1' END AS message
-        FROM cleaned c LEFT JOIN accepted_skus a USING (upload_id, sku)""",
-    "beyond": f"""
-        SELECT upload_id, CAST(min(row_no) AS INTEGER) AS row, 'file' AS field,
-               'Row limit exceeded ({MAX_ROWS - 1})' AS message
-        FROM upload_rows WHERE row_no - 1 > {MAX_ROWS - 1} GROUP BY upload_id""",
-}
+def checked_views(max_rows: int, max_skus: int) -> dict[str, str]:
+    """Views with the outcome of every upload row under the given caps."""
+    return {
+        "cleaned": f"""
+            SELECT upload_id, user_id, row_no, seq, trim(date) AS date, trim(sku) AS sku, trim(product_name) AS product_name,
+                   trim(quantity) AS quantity, trim(revenue) AS revenue, trim(price) AS price, lower(trim(promo_flag)) AS promo_flag
+            FROM upload_rows WHERE row_no - 1 <= {max_rows}""",
+        "accepted_skus": f"""
+            SELECT upload_id, sku FROM (
+                SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY first_row, sku) AS rn FROM (
+                    SELECT upload_id, sku, min(row_no) AS first_row FROM cleaned WHERE sku <> '' GROUP BY 1, 2))
+            WHERE rn <= {max_skus}""",
+        "checked": f"""
+            SELECT c.*, CASE WHEN c.sku = '' THEN 'sku' WHEN a.sku IS NULL THEN 'sku'
+                        WHEN NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date'
+                        WHEN CAST(quantity AS DOUBLE) < 0 THEN 'quantity'
+                        WHEN revenue <> '' AND TRY_CAST(revenue AS DOUBLE) IS NULL THEN 'revenue'
+                        WHEN price <> '' AND CAST(price AS DOUBLE) < 0 THEN 'price'
+                        WHEN promo_flag NOT IN ('true', '1', 'yes', 'false', '0', 'no', '') THEN 'promo_flag' END AS field,
+                   CASE WHEN c.sku = '' THEN 'sku is required' WHEN a.sku IS NULL THEN 'SKU limit exceeded ({max_skus} per file)'
+                        WHEN NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date must be ISO YYYY-MM-DD'
+                        WHEN CAST(quantity AS DOUBLE) < 0 THEN 'quantity must be >= 0'
+                        WHEN revenue <> '' AND TRY_CAST(revenue AS DOUBLE) IS NULL
+                        THEN concat('revenue could not convert string to float: ''', revenue, '''')
+                        WHEN price <> '' AND CAST(price AS DOUBLE) < 0 THEN 'price must be >= 0'
+                        WHEN promo_flag NOT IN ('true', '1', 'yes', 'false', '0', 'no', '')
+                        THEN 'must be true/false/0/1' END AS message
+            FROM cleaned c LEFT JOIN accepted_skus a USING (upload_id, sku)""",
+        "beyond": f"""
+            SELECT upload_id, CAST(min(row_no) AS INTEGER) AS row, 'file' AS field,
+                   'Row limit exceeded ({max_rows})' AS message
+            FROM upload_rows WHERE row_no - 1 > {max_rows} GROUP BY upload_id""",
+    }
+
+
+CHECKED = checked_views(MAX_ROWS - 1, MAX_SKUS)
 
 
 def checked(s):

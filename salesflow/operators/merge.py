@@ -74,5 +74,6 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
         touched = updates.select(partition).distinct()
         stored = spark.read.parquet(path)
         updates = upsert(stored.join(touched, partition, "left_semi").select(*stored.columns), updates, keys)
-    updates.write.mode("overwrite").option(
+    # Rebalanced files: small partitions share a task, a large one is split over several.
+    updates.hint("rebalance", partition).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
