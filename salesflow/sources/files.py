@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from salesflow.functions.scalars import after_first, ics_date
+from salesflow.session import materialize
 from salesflow.operators.validation import CALENDAR_REQUIRED, OPTIONAL, REQUIRED
 
-WIDTH = 64  # columns read per record; the contract names seven
+WIDTH = 32  # columns read per record; the contract names seven
 
 
 def read_csv_records(spark: SparkSession, paths: str | list[str], width: int = WIDTH) -> DataFrame:
-    """Records of header CSV files: upload_id (the file), row_no (header = 1), header and values as arrays.
+    """Records of CSV files: upload_id (the file), _id (position) and the values as text.
 
     Headers may differ per file, so they are read as records and looked up by name. A quoted field may
-    span lines, hence one task per file; row numbers follow from the position in that file.
+    span lines, hence one task per file; positions ascend within it.
     """
     columns = [f"_c{i}" for i in range(width)]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(
         paths, header=False, multiLine=True, mode="PERMISSIVE", escape='"')
-    records = raw.select(F.col("_metadata.file_path").alias("upload_id"), F.monotonically_increasing_id().alias("_id"),
-                         F.array(*columns).alias("values"))
-    name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^﻿", "")))
-    heads = records.groupBy("upload_id").agg(F.min(F.struct("_id", "values")).alias("_h")).select(
-        "upload_id", F.col("_h._id").alias("_first"), F.transform("_h.values", name).alias("header"))
-    return records.join(heads, "upload_id").select(
-        "upload_id", (F.col("_id") - F.col("_first") + 1).cast("int").alias("row_no"), "header", "values")
+    return raw.select(F.col("_metadata.file_path").alias("upload_id"), F.monotonically_increasing_id().alias("_id"),
+                      F.array(*columns).alias("values"))
+
+
+def read_csv_headers(records: DataFrame) -> DataFrame:
+    """One row per file: position and names of its header, and whether its text is not UTF-8.
+
+    Written once, as both the rows and the errors of a file are decided by it.
+    """
+    garbled = F.exists("values", lambda v: F.contains(F.coalesce(v, F.lit("")), F.lit("\ufffd")))
+    firsts = records.groupBy("upload_id").agg(F.min("_id").alias("_id"), F.bool_or(garbled).alias("garbled"))
+    name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")))
+    heads = records.join(firsts, ["upload_id", "_id"]).select(
+        "upload_id", F.col("_id").alias("_first"), F.transform("values", name).alias("header"), "garbled")
+    return materialize(heads, "headers")
 
 
 def field(name: str) -> Column:
@@ -34,37 +43,35 @@ def field(name: str) -> Column:
     return F.when(at > 0, F.coalesce(F.get("values", (at - 1).cast("int")), F.lit(""))).otherwise(F.lit(""))
 
 
-def file_errors(records: DataFrame, required: list[str] = REQUIRED, calendar: bool = False) -> DataFrame:
-    """Per file: missing required columns (row 1) or text that is not UTF-8 (row 0)."""
-    missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.first("header"))
-    garbled = F.bool_or(F.contains(F.array_join("values", ""), F.lit("�")))
-    files = records.groupBy("upload_id").agg(missing.alias("missing"), garbled.alias("garbled"))
+def file_problem(required: list[str], calendar: bool = False) -> Column:
+    """What keeps a file from being read: text that is not UTF-8 (row 0), or missing columns (row 1)."""
+    missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("header"))
     message = F.lit("Required columns: label,start_date,end_date") if calendar else F.concat(
-        F.lit("Missing required columns: "), F.array_join("missing", ", "))
-    problem = F.when(F.col("garbled"), F.struct(
+        F.lit("Missing required columns: "), F.array_join(missing, ", "))
+    return F.when(F.col("garbled"), F.struct(
         F.lit(0).alias("row"), F.lit("file").alias("field"), F.lit("File is not valid UTF-8 text").alias("message"))
-    ).when(F.size("missing") > 0, F.struct(
+    ).when(F.size(missing) > 0, F.struct(
         F.lit(1).alias("row"), F.lit("header").alias("field"), message.alias("message")))
-    return files.select("upload_id", problem.alias("_e")).filter("_e is not null").select("upload_id", "_e.*")
 
 
-def named_rows(records: DataFrame, names: list[str], broken: DataFrame) -> DataFrame:
-    """Data records of intact files with the named columns as text."""
-    rows = records.filter("row_no > 1").join(broken.select("upload_id"), "upload_id", "left_anti")
-    return rows.select("upload_id", "row_no", *[field(n).alias(n) for n in names])
+def read_named(spark: SparkSession, paths: str | list[str], names: list[str], required: list[str],
+               calendar: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(data records of intact files with the named columns as text, errors of the other files)."""
+    records = read_csv_records(spark, paths)
+    heads = read_csv_headers(records).withColumn("_problem", file_problem(required, calendar))
+    intact = heads.filter("_problem is null").select("upload_id", "_first", "header")
+    rows = records.join(intact, "upload_id").filter(F.col("_id") > F.col("_first")).select(
+        "upload_id", (F.col("_id") - F.col("_first") + 1).cast("int").alias("row_no"), *[field(n).alias(n) for n in names])
+    return rows, heads.filter("_problem is not null").select("upload_id", "_problem.*")
 
 
 def read_sales_csv(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows to validate, file errors) of sales uploads."""
-    records = read_csv_records(spark, paths)
-    broken = file_errors(records)
-    return named_rows(records, [*REQUIRED, *OPTIONAL], broken), broken
+    return read_named(spark, paths, [*REQUIRED, *OPTIONAL], REQUIRED)
 
 
 def read_calendar_csv(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    records = read_csv_records(spark, paths)
-    broken = file_errors(records, CALENDAR_REQUIRED, calendar=True)
-    return named_rows(records, CALENDAR_REQUIRED, broken), broken
+    return read_named(spark, paths, CALENDAR_REQUIRED, CALENDAR_REQUIRED, calendar=True)
 
 
 def last_line(block: Column, name: str) -> Column:
@@ -84,15 +91,18 @@ def split_ics(texts: DataFrame, key: str = "upload_id", text: str = "value") ->
     entries = blocks.withColumn("_lines", F.coalesce(F.sum(breaks).over(before), F.lit(0))).filter(
         (F.col("_i") > 0) & F.contains("_block", F.lit("END:VEVENT")))
     body = F.element_at(F.split("_block", "END:VEVENT", 2), 1)
-    start, end = last_line(F.col("_body"), "DTSTART"), last_line(F.col("_body"), "DTEND")
+    start, end = F.col("_e.start"), F.col("_e.end")
     iso = lambda c: F.regexp_replace(
         F.substring(F.regexp_replace(c, "[^0-9]", ""), 1, 8), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     enough = F.length(F.regexp_replace(end, "[^0-9]", "")) >= 8
     last = F.when(enough, F.coalesce(F.date_sub(ics_date(end), 1).cast("string"), iso(end))).otherwise(F.lit(""))
-    rows = entries.withColumn("_body", body).select(
+    # The three stamps leave through explode, so that the rules below read columns and not the patterns again.
+    found = entries.withColumn("_body", body).select(
         key, (F.col("_lines") + F.size(F.split("_body", r"\r\n|\r|\n", -1))).cast("int").alias("row_no"),
-        last_line(F.col("_body"), "SUMMARY").alias("label"), iso(start).alias("start_date"),
-        F.coalesce(last, F.lit("")).alias("end_date"))
+        F.explode(F.array(F.struct(
+            last_line(F.col("_body"), "SUMMARY").alias("label"), last_line(F.col("_body"), "DTSTART").alias("start"),
+            last_line(F.col("_body"), "DTEND").alias("end")))).alias("_e"))
+    rows = found.select(key, "row_no", "_e.label", iso(start).alias("start_date"), F.coalesce(last, F.lit("")).alias("end_date"))
     return rows.filter("label <> '' and start_date is not null")
 
 
