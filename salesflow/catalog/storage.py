@@ -27,9 +27,10 @@ def _(s):
     SELECT trim(date) AS date, trim(sku) AS sku, trim(product_name) AS product_name, trim(quantity) AS quantity,
            trim(revenue) AS revenue, trim(price) AS price, trim(promo_flag) AS promo_flag FROM upload_rows""")
 def _(s):
-    """Upload rows written as header files with odd header spelling, and read back by name."""
+    """Upload rows written as header files of upload size with odd header spelling, and read back by name."""
     path = scratch_path(s.spark, "csv")
-    s.upload_rows().select(*[F.col(c).alias(f" {c.upper()} ") for c in reversed(UPLOAD)]).write.csv(path, header=True)
+    s.upload_rows().select(*[F.col(c).alias(f" {c.upper()} ") for c in reversed(UPLOAD)]).write.option(
+        "maxRecordsPerFile", 20000).csv(path, header=True)
     rows, _ = files.read_sales_csv(s.spark, path)
     return rows.select(*[F.trim(c).alias(c) for c in UPLOAD])
 

@@ -33,14 +33,14 @@ def health_status(runs: DataFrame, now: Column, source: str = "source") -> DataF
 
 def latest_health(messages: DataFrame, payload: str = "value", order: list[str] | None = None) -> DataFrame:
     """Newest report per signal from JSON health messages, with or without an envelope around them."""
+    order = order or ["reported_at", "seq"]
     inner = F.coalesce(F.get_json_object(payload, "$.payload"), F.col(payload))
-    field = lambda name: F.get_json_object(inner, f"$.{name}")
-    reports = messages.select(
-        F.coalesce(field("source"), field("signal")).alias("signal"),
-        F.coalesce(field("status"), F.lit("degraded")).alias("status"),
-        field("last_success_at").try_cast("timestamp").alias("last_success_at"),
-        field("error").alias("last_error"), *(order or ["reported_at", "seq"]))
-    newest = latest(reports.filter("signal is not null"), ["signal"], order or ["reported_at", "seq"])
+    names = ["source", "signal", "status", "last_success_at", "error"]
+    fields = messages.select(F.json_tuple(inner, *names).alias(*[f"_{n}" for n in names]), *order)
+    reports = fields.select(
+        F.coalesce("_source", "_signal").alias("signal"), F.coalesce("_status", F.lit("degraded")).alias("status"),
+        F.col("_last_success_at").try_cast("timestamp").alias("last_success_at"), F.col("_error").alias("last_error"), *order)
+    newest = latest(reports.filter("signal is not null"), ["signal"], order)
     return newest.select("signal", "status", "last_success_at", "last_error")
 
 

@@ -15,6 +15,9 @@ DEFAULTS = {
 }
 
 
+_own: list[str] = []  # folder of a local session that names none
+
+
 def build_session(name: str = "salesflow", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -35,9 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="salesflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="salesflow-"))
+    return _own[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

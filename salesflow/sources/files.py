@@ -15,26 +15,24 @@ def read_csv_records(spark: SparkSession, paths: str | list[str], width: int = W
     """Records of CSV files: upload_id (the file), _id (position) and the values as text.
 
     Headers may differ per file, so they are read as records and looked up by name. A quoted field may
-    span lines, hence one task per file; positions ascend within it.
+    span lines, hence one task per file; positions ascend within it. They depend on how files are packed
+    into tasks, so the records are parsed and numbered once and stored.
     """
     columns = [f"_c{i}" for i in range(width)]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(
         paths, header=False, multiLine=True, mode="PERMISSIVE", escape='"')
-    return raw.select(F.col("_metadata.file_path").alias("upload_id"), F.monotonically_increasing_id().alias("_id"),
-                      F.array(*columns).alias("values"))
+    return materialize(raw.select(
+        F.col("_metadata.file_path").alias("upload_id"), F.monotonically_increasing_id().alias("_id"),
+        F.array(*columns).alias("values")), "records")
 
 
 def read_csv_headers(records: DataFrame) -> DataFrame:
-    """One row per file: position and names of its header, and whether its text is not UTF-8.
-
-    Written once, as both the rows and the errors of a file are decided by it.
-    """
+    """One row per file: position and names of its header, and whether its text is not UTF-8."""
     garbled = F.exists("values", lambda v: F.contains(F.coalesce(v, F.lit("")), F.lit("\ufffd")))
     firsts = records.groupBy("upload_id").agg(F.min("_id").alias("_id"), F.bool_or(garbled).alias("garbled"))
     name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")))
-    heads = records.join(firsts, ["upload_id", "_id"]).select(
+    return records.join(firsts, ["upload_id", "_id"]).select(
         "upload_id", F.col("_id").alias("_first"), F.transform("values", name).alias("header"), "garbled")
-    return materialize(heads, "headers")
 
 
 def field(name: str) -> Column:
