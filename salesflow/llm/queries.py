@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from salesflow.llm import decontaminate as decon
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from salesflow.llm.token_counts import token_counts
 
 
+@query("op8_decontaminate", decon.SQL)
+def op8(spark, folder):
+    found = decon.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("hits")
+
+
 @query("op10_token_counts")
 def op10(spark, folder):
     import public_tokenizers
