@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
+from salesflow.llm.near_dup import near_duplicates
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from salesflow.llm.token_counts import token_counts
 
 
+@query("op5_near_duplicates")
+def op5(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_decontaminate", decon.SQL)
 def op8(spark, folder):
     found = decon.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
