@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
 from salesflow.llm.near_dup import near_duplicates
+from salesflow.llm.quality_rules import quality_rules
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from salesflow.llm.token_counts import token_counts
 
 
+@query("op1_quality_rules")
+def op1(spark, folder):
+    return quality_rules(table(spark, folder, "documents")).drop("removed", "text_hash")
+
+
 @query("op5_near_duplicates")
 def op5(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))

@@ -41,3 +41,38 @@ def near_duplicates(docs, percent=75):
                 a, b = sorted((top(d), top(o)))
                 parent[b] = a
     return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
+
+
+def quality_base(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"""
+    text = text or ""
+    words = PLAIN.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if PLAIN.search(line):
+            dup += line in seen
+            seen.add(line)
+    where = defaultdict(list)
+    for i in range(len(words) - 4):
+        where[tuple(words[i:i + 5])].append(i)
+    hit = {i + j for at in where.values() if len(at) > 1 for i in at for j in range(5)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(hit)
+
+
+def quality_rules(docs, least, share, left):
+    """docs: (doc_id, text, host); doc_id -> (*base, base_failed, kept). Signatures are those of equal texts only."""
+    norm = lambda line: tuple(w.translate(FOLD) for w in PLAIN.findall(line))
+    hosts, holders = defaultdict(set), defaultdict(set)
+    for d, t, h in docs:
+        hosts[h].add(t or "")
+        for line in set(map(norm, (t or "").split("\n"))) - {()}:
+            holders[h, line].add(t)
+    above = {x for x, s in holders.items() if len(s) >= least and len(s) > share * len(hosts[x[0]])}
+    out = {}
+    for d, t, h in docs:
+        base = quality_base(t)
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        gone = sum(len(x) for x in map(norm, (t or "").split("\n")) if (h, x) in above)
+        rest = base[0] - gone
+        out[d] = (*base, failed, not failed and not (gone and (rest < 10 or rest < left * base[0])))
+    return out
