@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
 from salesflow.llm.near_dup import near_duplicates
+from salesflow.llm.pii import pii_report
 from salesflow.llm.quality_rules import quality_rules
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from salesflow.llm.secret_scan import secret_report
 from salesflow.llm.token_counts import token_counts
 
 
@@ -14,6 +16,16 @@ def op1(spark, folder):
     return quality_rules(table(spark, folder, "documents")).drop("removed", "text_hash")
 
 
+@query("op2_secret_scan")
+def op2(spark, folder):
+    return secret_report(table(spark, folder, "documents"))
+
+
+@query("op7_pii")
+def op7(spark, folder):
+    return pii_report(table(spark, folder, "documents"))
+
+
 @query("op5_near_duplicates")
 def op5(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))

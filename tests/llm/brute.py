@@ -76,3 +76,51 @@ def quality_rules(docs, least, share, left):
         rest = base[0] - gone
         out[d] = (*base, failed, not failed and not (gone and (rest < 10 or rest < left * base[0])))
     return out
+
+
+def spans(text, kinds):
+    """kinds: (kind, pattern, test of the match); spans in order of kind, then start."""
+    out = []
+    for kind, pattern, good in kinds:
+        out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text or "") if good(m)]
+    return out
+
+
+def sha(parts):
+    import hashlib
+
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in parts).encode()).hexdigest()
+
+
+SECRETS = [("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            lambda m: len(m[2]) >= 6),
+           ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+
+
+def secrets(text):
+    """n_assign, n_access, n_hex, base_sha256"""
+    found = spans(text, SECRETS)
+    order = {"assign": 0, "access": 1, "hex": 2}
+    found.sort(key=lambda s: (s[1], order[s[0]]))
+    return (*(sum(k == s[0] for s in found) for k in order), sha(found))
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def only(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+PERSONAL = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+            ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+            ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(only(m)) <= 19 and luhn(only(m))),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only(m)) <= 15)]
+
+
+def personal(text):
+    """n_email, n_ip, n_card, n_phone, base_sha256"""
+    found = spans(text, PERSONAL)
+    return (*(sum(k == s[0] for s in found) for k, _, _ in PERSONAL), sha(found))
