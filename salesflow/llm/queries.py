@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
+from salesflow.llm.mixture import mix
 from salesflow.llm.near_dup import near_duplicates
 from salesflow.llm.pii import pii_report
 from salesflow.llm.quality_rules import quality_rules
@@ -37,6 +38,11 @@ def op8(spark, folder):
     return found.drop("hits")
 
 
+@query("op9_mix_sources")
+def op9(spark, folder):
+    return mix(table(spark, folder, "documents"))
+
+
 @query("op10_token_counts")
 def op10(spark, folder):
     import public_tokenizers

@@ -124,3 +124,21 @@ def personal(text):
     """n_email, n_ip, n_card, n_phone, base_sha256"""
     found = spans(text, PERSONAL)
     return (*(sum(k == s[0] for s in found) for k, _, _ in PERSONAL), sha(found))
+
+
+def mix_targets(docs):
+    """docs: (doc_id, text, source); source -> (size, target)"""
+    size = defaultdict(int)
+    for _, t, s in docs:
+        size[s] += len(PLAIN.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, full = {}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in full)
+        rest = [s for s in order if s not in full]
+        target = {s: 3 * size[s] if s in full else left * weight[s] / sum(weight[r] for r in rest) for s in order}
+        above = {s for s in rest if target[s] > 3 * size[s]}
+        if not above:
+            return {s: (size[s], target[s]) for s in order}
+        full |= above
