@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
+from salesflow.llm.kneser_ney import quality_scores
 from salesflow.llm.mixture import mix
 from salesflow.llm.near_dup import near_duplicates
 from salesflow.llm.pii import pii_report
@@ -27,6 +28,11 @@ def op7(spark, folder):
     return pii_report(table(spark, folder, "documents"))
 
 
+@query("op4_kneser_ney_quality")
+def op4(spark, folder):
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_near_duplicates")
 def op5(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
