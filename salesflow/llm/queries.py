@@ -10,6 +10,7 @@ from salesflow.llm.pii import pii_report
 from salesflow.llm.quality_rules import quality_rules
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from salesflow.llm.secret_scan import secret_report
+from salesflow.llm.suffix_levels import remove_repeats
 from salesflow.llm.token_counts import token_counts
 
 
@@ -23,6 +24,11 @@ def op2(spark, folder):
     return secret_report(table(spark, folder, "documents"))
 
 
+@query("op6_remove_repeats")
+def op6(spark, folder):
+    return remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 @query("op7_pii")
 def op7(spark, folder):
     return pii_report(table(spark, folder, "documents"))

@@ -142,3 +142,22 @@ def mix_targets(docs):
         if not above:
             return {s: (size[s], target[s]) for s in order}
         full |= above
+
+
+def repeats(docs, match=100):
+    """docs: (doc_id, text); doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)"""
+    import hashlib
+
+    seen, out = {}, {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - match + 1):
+            w = raw[i:i + match]
+            if w in seen:
+                gone[i:i + match] = b"\1" * match
+            else:
+                seen[w] = 1
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out[d] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
+    return out
