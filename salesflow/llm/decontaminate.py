@@ -151,7 +151,7 @@ def covered(spans: str) -> F.Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text") -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated, and hits (the spans of words that items cover)."""
+    """key, n_words, n_hit, n_items, items_sha256, contaminated, hits (the spans of words that items cover) and text_hash."""
     windows = item_windows(items, item_key, item_text)
     bitmap, lengths = bitmap_of(windows)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -166,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return out.select(
         F.col("k").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("hits"))
+        F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("hits"), F.col("v").alias("text_hash"))
 
 
 # The same on DuckDB, window by window.

@@ -47,7 +47,7 @@ def op5(spark, folder):
 @query("op8_decontaminate", decon.SQL)
 def op8(spark, folder):
     found = decon.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.drop("hits")
+    return found.drop("hits", "text_hash")
 
 
 @query("op9_mix_sources")
