@@ -3,8 +3,10 @@
 A document is its set of distinct five-word shingles. BANDS x ROWS MinHash samples give BANDS bucket keys; two sets
 of similarity 0.75 share no bucket with a chance of (1 - 0.75 ** 3) ** 28 = 2e-7. The samples are also folded into
 an Odd Sketch: each flips one of 512 bits, so the bits in which two sketches differ count the samples in which the
-sets differ. A candidate is passed over only if that count is out of reach for a linked pair by more than 5.5
-standard deviations; all others are confirmed on their full sets.
+sets differ. A second one, of 1024 bits, takes the whole set: its differing bits are never more than the shingles
+that only one of the two sets has, of which a linked pair has at most a seventh of both sizes. A candidate is passed over
+only if a count is out of reach for a linked pair, for certain or by more than 5.5 standard deviations; all others
+are confirmed on their full sets.
 
 Documents with the same set are one class, and only its smallest id goes on. In a bucket of many classes no pairs are
 written out wholesale: each member is checked against one of the bucket, links are confirmed, components formed, and
@@ -32,7 +34,7 @@ from salesflow.llm.textbytes import FOLDED, Words, batch_bytes, grams, lists, mi
 from salesflow.session import materialize
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, BITS = 28, 3, 512
+BANDS, ROWS, BITS, SET_BITS = 28, 3, 512, 1024
 SIGMAS = 5.5
 BLOCK = 256
 ROUNDS = 3
@@ -84,6 +86,24 @@ def sketches_of(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, BITS), axis=1).view(np.int64)
 
 
+def parities_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd Sketches of the whole sets, one row a set."""
+    at = (mix(np.concatenate(sets) + np.uint64(77)) >> np.uint64(64 - 10)).astype(np.int64)
+    at += np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * SET_BITS
+    odd = (np.bincount(at, minlength=len(sets) * SET_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), SET_BITS), axis=1).view(np.int64)
+
+
+def most_parity(sizes, percent: int, root, exp, least):
+    """Bits in which whole-set sketches of two linked sets of ``sizes`` shingles in all differ at most.
+
+    ``root``, ``exp`` and ``least`` are those of NumPy or of Spark's columns.
+    """
+    differ = sizes * (100 - percent) / (100 + percent)
+    odd = (1 - exp(differ * (-2 / SET_BITS))) / 2
+    return least(differ, SET_BITS * odd + SIGMAS * root(SET_BITS * odd * (1 - odd)) + 1) + 1e-6
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key k, n shingles, set hashes h1 h2, band keys and sketch (null without shingles) for each row."""
 
@@ -96,6 +116,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 bands, sketch = np.zeros((0, BANDS), np.int64), np.zeros((0, BITS // 64), np.int64)
+                parity = np.zeros((0, SET_BITS // 64), np.int64)
                 if full.any():
                     samples = samples_of([s for s in sets if len(s)])
                     mixed = np.zeros((len(samples), BANDS), np.uint64)
@@ -103,14 +124,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                         mixed = mix(mixed * np.uint64(0xC2B2AE3D27D4EB4F) + samples[:, r::ROWS])
                     bands = signed(mix(mixed + np.arange(BANDS, dtype=np.uint64)))
                     sketch = sketches_of(samples)
+                    parity = parities_of([s for s in sets if len(s)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(signed(h1)), pa.array(signed(h2)), lists(bands.ravel(), full * BANDS, pa.int64()),
-                     lists(sketch.ravel(), full * (BITS // 64), pa.int64())], ["k", "n", "h1", "h2", "bands", "sketch"])
+                     lists(sketch.ravel(), full * (BITS // 64), pa.int64()),
+                     lists(parity.ravel(), full * (SET_BITS // 64), pa.int64())], ["k", "n", "h1", "h2", "bands", "sketch", "parity"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).mapInArrow(
-        each, f"k {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>")
+        each, f"k {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
 
 
 def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -136,10 +159,11 @@ def apart(left: str, right: str) -> F.Column:
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
-    left = reps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = reps.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left = reps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    right = reps.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("sa", "sb") <= most_bits(percent))).select("a", "b")
+    return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("sa", "sb") <= most_bits(percent))
+                       & (apart("pa", "pb") <= most_parity(F.col("na") + F.col("nb"), percent, F.sqrt, F.exp, F.least))).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -162,24 +186,20 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "comp", "n", "sketch")
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "comp", "n", "sketch", "parity")
     limit = most_bits(percent)
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k", ignore_index=True)
         k, comp, n, own = (group[c].to_numpy() for c in ("k", "comp", "n", "own"))
-        words = np.stack(group["sketch"].to_numpy()).view(np.uint64)
+        words, whole = (np.stack(group[c].to_numpy()).view(np.uint64) for c in ("sketch", "parity"))
         twice = group["i"].iloc[0] == group["j"].iloc[0]
-        left, right = [], []
-        for at in range(len(k) - 1):
-            rest = slice(at + 1, None)
-            ok = (comp[rest] != comp[at]) & (100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at]))
-            ok &= twice | (own[rest] != own[at])
-            ok &= np.bitwise_count(words[rest] ^ words[at]).sum(axis=1) <= limit
-            hit = np.flatnonzero(ok) + at + 1
-            left.append(np.full(len(hit), k[at]))
-            right.append(k[hit])
-        return pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []})
+        ok = (comp[:, None] != comp) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+        x, y = np.nonzero(np.triu(ok if twice else ok & (own[:, None] != own), 1))
+        good = np.bitwise_count(words[x] ^ words[y]).sum(axis=1) <= limit
+        x, y = x[good], y[good]
+        good = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1) <= most_parity(n[x] + n[y], percent, np.sqrt, np.exp, np.minimum)
+        return pd.DataFrame({"a": k[x[good]], "b": k[y[good]]})
 
     kind = rows.schema["k"].dataType.simpleString()
     return spread.groupBy("bucket", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
@@ -190,11 +210,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     found = materialize(signatures(docs, key, text), "signatures")
     sets = found.filter("n > 0 AND k IS NOT NULL")
     classes = materialize(sets.groupBy("h1", "h2").agg(F.min("k").alias("rep")), "classes")
-    reps = sets.join(classes, ["h1", "h2"]).filter("k = rep").dropDuplicates(["k", "h1", "h2"]).select("k", "n", "bands", "sketch")
+    reps = sets.join(classes, ["h1", "h2"]).filter("k = rep").dropDuplicates(["k", "h1", "h2"]).select("k", "n", "bands", "sketch", "parity")
     entries = reps.select("k", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.min("k").alias("lead"), F.count("*").alias("m")).filter("m > 1")
     members = materialize(entries.join(full.select("bucket", "lead"), "bucket"), "members")
-    small = materialize(reps.select("k", "n", "sketch").join(members.select("k").distinct(), "k", "left_semi"), "reps")
+    small = materialize(reps.select("k", "n", "sketch", "parity").join(members.select("k").distinct(), "k", "left_semi"), "reps")
 
     stars = members.filter("k <> lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct()
     links = materialize(confirmed(materialize(likely(stars, small, percent), "likely"), docs, key, text, percent), "links")
