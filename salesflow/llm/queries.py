@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon
+from salesflow.llm.html_wrapper import extract
 from salesflow.llm.kneser_ney import quality_scores
 from salesflow.llm.mixture import mix
 from salesflow.llm.near_dup import near_duplicates
@@ -24,6 +25,11 @@ def op2(spark, folder):
     return secret_report(table(spark, folder, "documents"))
 
 
+@query("op3_html_wrapper")
+def op3(spark, folder):
+    return extract(table(spark, folder, "pages"))
+
+
 @query("op6_remove_repeats")
 def op6(spark, folder):
     return remove_repeats(table(spark, folder, "documents")).drop("spans")
