@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from salesflow.llm.components import components
 from salesflow.llm.textbytes import FOLDED, Words, batch_bytes, grams, lists, mix, signed, slices
-from salesflow.session import materialize
+from salesflow.session import discard, materialize
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS, SET_BITS = 28, 3, 512, 1024

@@ -3,7 +3,7 @@
 Suffixes are kept at anchors only. Every MATCH bytes hold MATCH - K + 1 K-grams, and the leftmost of those with the
 smallest hash is the window's anchor: equal windows have their anchors at equal places, so a repeated window
 starts from an anchor whose K-gram occurs twice. A batch of documents (in ascending order of ids) gets an array of
-its anchors' suffixes, in order of a hash of their first K bytes, with the first place of each. The array is scanned
+its anchors' suffixes by a hash of their first K bytes, with the first document of each. The array is scanned
 against the levels of the index and against itself for K-grams that occur before; then it becomes a level, and levels
 of equal size merge, each into one of twice the size, so n batches leave at most log2(n) + 1 levels and a suffix
 is rewritten log2(n) times. ``Index`` can be given further batches.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salesflow.llm.textbytes import batch_bytes, mix, signed, slices, span_hashes
-from salesflow.session import materialize
+from salesflow.session import discard, materialize
 
 MATCH, K = 100, 32
 SPAN = MATCH - K + 1  # K-grams in a window
@@ -95,7 +95,8 @@ def bit_of(grams: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, marks=None) -> DataFrame:
-    """docs (k, t) to anchors: k, at, low, high (windows owned), g; with ``marks`` only marked ones, and their class c."""
+    """docs (k, t) to anchors (k, g: K-gram hash); with ``marks`` only marked ones, with their class c, the first window
+    owned (low), the anchor's distance from it (off) and the last window's (len)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if marks is None else np.frombuffer(marks.value, np.uint8)
@@ -103,21 +104,20 @@ def anchor_rows(docs: DataFrame, marks=None) -> DataFrame:
             data, bounds = batch_bytes(batch.column(1))
             for body, edges, first, shift in pieces(data, bounds):
                 doc, at, low, high, grams = anchors_of(body, edges)
-                base = edges[doc] - shift
                 columns = []
                 if known is not None:
                     bits = bit_of(grams)
                     pick = (known[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
-                    doc, at, low, high, grams, base = (x[pick] for x in (doc, at, low, high, grams, base))
-                    columns = [pa.array(signed(mix(span_hashes(body, low, high + MATCH) + (at - low).astype(np.uint64))))]
+                    doc, at, low, high, grams = (x[pick] for x in (doc, at, low, high, grams))
+                    own = mix(span_hashes(body, low, high + MATCH) + (at - low).astype(np.uint64))
+                    columns = [pa.array(signed(own)), pa.array(low - edges[doc] + shift, pa.int64()),
+                               *(pa.array(x, pa.int32()) for x in (at - low, high - low))]
                 if len(doc):
                     keys = batch.column(0).take(pa.array(doc + first))
-                    yield pa.RecordBatch.from_arrays(
-                        [keys, *(pa.array(x - base, pa.int64()) for x in (at, low, high)), pa.array(signed(grams)), *columns],
-                        ["k", "at", "low", "high", "g"] + ["c"] * len(columns))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(signed(grams)), *columns], ["k", "g", "c", "low", "off", "len"][:2 + len(columns)])
 
     kind = docs.schema["k"].dataType.simpleString()
-    return docs.mapInArrow(each, f"k {kind}, at bigint, low bigint, high bigint, g bigint" + (", c bigint" if marks is not None else ""))
+    return docs.mapInArrow(each, f"k {kind}, g bigint" + (", c bigint, low bigint, off int, len int" if marks is not None else ""))
 
 
 def tidy(spark: SparkSession) -> None:
@@ -127,7 +127,7 @@ def tidy(spark: SparkSession) -> None:
 
 
 class Index:
-    """Levels of suffix arrays (g, k, at): a K-gram hash and the first place of it in the level."""
+    """Levels of suffix arrays (g, k): a K-gram hash and the first document of the level that has it."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.levels = spark, []  # (batches in the level, table)
@@ -135,8 +135,7 @@ class Index:
 
     def add(self, docs: DataFrame) -> None:
         """Scan a new batch (k, t) against itself and the levels, mark K-grams that occur twice, and take it in."""
-        new = anchor_rows(docs).groupBy("g").agg(F.min(F.struct("k", "at")).alias("first"), F.count("*").alias("n"))
-        new = materialize(new, "suffixes")
+        new = materialize(anchor_rows(docs).groupBy("g").agg(F.min("k").alias("k"), F.count("*").alias("n")), "suffixes")
         twice = new.filter("n > 1").select("g")
         for _, level in self.levels:
             twice = twice.union(new.join(level, "g", "left_semi").select("g"))
@@ -144,12 +143,18 @@ class Index:
         rows = twice.groupBy(F.floor(bit / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(bit % BUCKET).alias("part")).collect()
         for r in rows:  # at most 2 ** BITS bits in all
             self.marks[r.bucket * BUCKET // 8:(r.bucket + 1) * BUCKET // 8] |= np.frombuffer(r.part, np.uint8)
-        self.levels.append((1, new.select("g", "first")))
+        self.levels.append((1, new))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, materialize(a.union(b).groupBy("g").agg(F.min("first").alias("first")), "suffixes")))
+            both = a.select("g", "k").union(b.select("g", "k"))
+            self.levels.append((2 * n, materialize(both.groupBy("g").agg(F.min("k").alias("k")), "suffixes")))
+            discard(a, b)
         tidy(self.spark)
 
+    def close(self) -> None:
+        discard(*(table for _, table in self.levels))
+        self.levels.clear()
+
 
 def batches_of(docs: DataFrame, count: int) -> list[DataFrame]:
     """docs in ``count`` ranges of ids with about equal bytes; together they are all rows with an id."""
@@ -166,13 +171,13 @@ def batches_of(docs: DataFrame, count: int) -> list[DataFrame]:
     return out
 
 
-def owned_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each anchor in ``wanted`` (k, at, low, high): rows (k, off, low, part, windows) per part of its range.
+def owned_windows(docs: DataFrame, wanted: DataFrame, parts: bool) -> DataFrame:
+    """The windows of ranges (k, low, off, len) of anchors: (k, low, off, w), one row a window with its hash w.
 
-    ``off`` numbers the parts by the distance of windows from the anchor, ``part`` hashes the bytes all of its windows
-    contain, ``windows`` hashes each of them, the first at ``low``.
+    With ``parts`` one row for each part of a range instead: windows whose distance from the anchor is the same
+    but for less than PART, with the hash of the bytes that all windows of such a part contain.
     """
-    lists = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "low", "high")).alias("a"))
+    lists = wanted.groupBy("k").agg(F.collect_set(F.struct("low", "off", "len")).alias("a"))
     joined = docs.join(lists, "k").select("k", "t", "a")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,48 +185,59 @@ def owned_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 data, _ = batch_bytes(batch.column(1).slice(i, 1))
                 rows = batch.column(2).slice(i, 1).flatten()
-                at, low, high = (rows.field(n).to_numpy() for n in ("at", "low", "high"))
-                found = []
-                for off in range(0, SPAN, PART):
-                    a, b = np.maximum(low, at - off - PART + 1), np.minimum(high, at - off)
-                    pick = (a <= b) & (b + MATCH <= len(data))
-                    found += [(off, at[j], a[j], b[j]) for j in np.flatnonzero(pick)]
-                if not found:
+                low, off, len_ = (rows.field(n).to_numpy().astype(np.int64) for n in ("low", "off", "len"))
+                fits = low + len_ + MATCH <= len(data)
+                low, off, len_ = low[fits], off[fits], len_[fits]
+                if not len(low):
                     continue
-                off, at, a, b = (np.array(x, np.int64) for x in zip(*found))
-                begin = at - off  # the last window of a whole part; all windows of the part hold [begin, begin + MATCH - PART + 1)
-                order = np.argsort(begin, kind="stable")
-                part = np.zeros(len(off), np.uint64)
-                part[order] = span_hashes(data, begin[order], begin[order] + MATCH - PART + 1)
-                starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)]))
-                hashes = span_hashes(data, starts, starts + MATCH)
-                index = np.concatenate([np.arange(x, y + 1) for x, y in zip(np.searchsorted(starts, a), np.searchsorted(starts, b))])
-                counts = np.concatenate([[0], np.cumsum(b - a + 1)]).astype(np.int32)
+                if parts:
+                    at, begin = low + off, np.arange(0, SPAN, PART)
+                    a = np.maximum(low[:, None], at[:, None] - begin - PART + 1)
+                    b = np.minimum((low + len_)[:, None], at[:, None] - begin)
+                    row, part = np.nonzero(a <= b)
+                    start, size = at[row] - begin[part], MATCH - PART + 1  # the last window of a whole part starts there
+                    first, off, len_, seed = a[row, part], (at[row] - a[row, part]), (b - a)[row, part], begin[part]
+                else:
+                    row = np.repeat(np.arange(len(low)), len_ + 1)
+                    first = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(len_ + 1) - len_ - 1, len_ + 1)
+                    start, size, seed = first, MATCH, np.zeros(len(row), np.int64)
+                    off, len_ = off[row] + low[row] - first, np.zeros(len(row), np.int64)
+                order = np.argsort(start, kind="stable")
+                hashes = np.zeros(len(start), np.uint64)
+                hashes[order] = span_hashes(data, start[order], start[order] + size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([batch.column(0).slice(i, 1)] * len(off)), pa.array(off), pa.array(a), pa.array(signed(mix(part + off.astype(np.uint64)))),
-                     pa.ListArray.from_arrays(pa.array(counts), pa.array(signed(hashes[index])))], ["k", "off", "low", "part", "windows"])
+                    [batch.column(0).take(pa.array(np.full(len(start), i))), pa.array(first), pa.array(off, pa.int32()), pa.array(len_, pa.int32()),
+                     pa.array(signed(mix(hashes + seed.astype(np.uint64))))], ["k", "low", "off", "len", "w"])
 
     kind = docs.schema["k"].dataType.simpleString()
-    return joined.mapInArrow(each, f"k {kind}, off bigint, low bigint, part bigint, windows array<bigint>")
+    return joined.mapInArrow(each, f"k {kind}, low bigint, off int, len int, w bigint")
 
 
 def repeated_ranges(docs: DataFrame, marks) -> DataFrame:
-    """(k, start, end) of bytes that repeat an earlier window, from docs (k, t); ranges may overlap."""
+    """(k, ranges) of bytes that repeat an earlier window, from docs (k, t); ranges may overlap."""
+    spark = docs.sparkSession
+    # A place in the order as one number: the id, and the window's start in the lowest 40 bits.
+    place = F.expr("cast(k AS decimal(19, 0)) * 1099511627776BD + low")
     found = materialize(anchor_rows(docs.filter("k IS NOT NULL"), marks), "anchors")
-    place = F.struct("k", "at")
-    classes = materialize(found.groupBy("g", "c").agg(F.min(F.struct("k", "at", "low", "high")).alias("first"), F.count("*").alias("n")), "classes")
-    whole = found.join(classes.filter("n > 1").select("g", "c", "first"), ["g", "c"]).filter(
-        place > F.struct("first.k", "first.at")).select("k", F.col("low").alias("start"), (F.col("high") + MATCH).alias("end"))
-    several = classes.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g")
-    wanted = classes.join(several, "g", "left_semi").select("first.*").distinct()
-    parts = materialize(owned_windows(docs, wanted), "parts")
-    likely = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
-    windows = parts.join(likely, "part", "left_semi").select("k", "low", F.posexplode("windows").alias("i", "w")).select(
-        "k", (F.col("low") + F.col("i")).alias("at"), "w")
-    windows = materialize(windows, "windows")
+    classes = materialize(found.groupBy("g", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
+    several = classes.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g", F.lit(True).alias("several"))
+    known = classes.join(several, "g", "left").filter("n > 1 OR several")
+    judged = materialize(found.join(known, ["g", "c"]).select("k", "low", "off", "len", (place > F.col("first")).alias("again"), "several").filter(
+        "again OR several"), "judged")
+    discard(found, classes)
+    tidy(spark)
+    whole = judged.filter("again").select("k", F.col("low").alias("start"), (F.col("low") + F.col("len") + MATCH).alias("end"))
+    parts = materialize(owned_windows(docs, judged.filter("NOT again AND several"), True), "parts")
+    likely = parts.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    windows = materialize(owned_windows(docs, parts.join(likely, "w", "left_semi"), False).select("k", "low", "w"), "windows")
+    discard(parts)
+    tidy(spark)
     firsts = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w", "first")
-    single = windows.join(firsts, "w").filter(place > F.col("first")).select("k", F.col("at").alias("start"), (F.col("at") + MATCH).alias("end"))
-    return materialize(whole.union(single).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    single = windows.join(firsts, "w").filter(place > F.col("first")).select("k", F.col("low").alias("start"), (F.col("low") + MATCH).alias("end"))
+    ranges = materialize(whole.union(single).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    discard(judged, windows)
+    tidy(spark)
+    return ranges
 
 
 def kept_bytes(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -266,7 +282,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
     index = Index(spark)
     for part in batches_of(held, batches):
         index.add(part)
-    marks = spark.sparkContext.broadcast(index.marks.tobytes())
-    ranges = repeated_ranges(held, marks)
-    tidy(spark)
+    index.close()
+    ranges = repeated_ranges(held, spark.sparkContext.broadcast(index.marks.tobytes()))
     return kept_bytes(held, ranges).withColumnRenamed("k", key)

@@ -161,3 +161,75 @@ def repeats(docs, match=100):
         runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out[d] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
     return out
+
+
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def decontaminate(docs, items, window=13):
+    """doc_id -> (n_words, n_hit, n_items, items_sha256, contaminated)"""
+    import hashlib
+
+    spans = defaultdict(set)
+    for i, t in items:
+        w = ITEM.findall((t or "").translate(FOLD))
+        n = min(window, len(w))
+        for p in range(len(w) - n + 1 if n else 0):
+            spans[tuple(w[p:p + n])].add(i)
+    out = {}
+    for d, t in docs:
+        w = ITEM.findall((t or "").translate(FOLD))
+        hit, found = set(), set()
+        for n in {len(s) for s in spans}:
+            for p in range(len(w) - n + 1):
+                if (s := tuple(w[p:p + n])) in spans:
+                    hit |= set(range(p, p + n))
+                    found |= spans[s]
+        ids = sorted(str(i) for i in found if i is not None)
+        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def kneser_ney(texts, order):
+    """Discounted probabilities of seen n-grams and weights of histories, by order."""
+    fold = lambda c: "\x03" if c in "0123456789" else " " if c in "\t\n\x0b\x0c\r" else c
+    full = defaultdict(int)
+    for t in texts:
+        s = "\x01" * (order - 1) + "".join(map(fold, t)) + "\x02"
+        for i in range(order - 1, len(s)):
+            full[s[i - order + 1:i + 1]] += 1
+    counts = {order: dict(full)}
+    for n in range(order - 1, 0, -1):
+        lower = defaultdict(int)
+        for g in counts[n + 1]:
+            lower[g[1:]] += 1
+        counts[n] = dict(lower)
+    out = {}
+    for n, table in counts.items():
+        times = [sum(c == i for c in table.values()) for i in range(5)]
+        y = times[1] / (times[1] + 2 * times[2]) if times[1] + 2 * times[2] else 0
+        d = [0] + [min(i, max(0.0, i - (i + 1) * y * times[i + 1] / times[i])) if times[i] and times[1] else 0.5 for i in (1, 2, 3)]
+        total, off = defaultdict(int), defaultdict(float)
+        for g, c in table.items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3)]
+        out["seen", n] = [(c - d[min(c, 3)]) / total[g[:-1]] for g, c in table.items()]
+        out["weight", n] = [off[h] / total[h] for h in total]
+    return out
+
+
+def pipeline(rows, items):
+    """Documents after the four stages before mixing; no line is above the limits in small tables."""
+    good = quality_rules(rows, 20, 0.05, 0.3)
+    kept = [r for r in rows if good[r[0]][-1]]
+    near = near_duplicates([r[:2] for r in kept])
+    kept = [r for r in kept if near[r[0]][2]]
+    dirty = decontaminate([r[:2] for r in kept], items)
+    kept = [r for r in kept if not dirty[r[0]][4]]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    out = []
+    for d, t, s in kept:
+        for _, a, b in sorted(spans(t, SECRETS), key=lambda x: (-x[1], order[x[0]])):
+            t = t[:a] + "[SECRET]" + t[b:]
+        out.append((d, t, s))
+    return out
