@@ -125,7 +125,7 @@ def train(trusted: DataFrame) -> DataFrame:
     tally = used.groupBy("lang", "n").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     rate = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))
-    discounts = tally.select("lang", "n", *[F.coalesce(F.least(rate(i), F.lit(float(i))), F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)])
+    discounts = tally.select("lang", "n", *[F.least(F.coalesce(rate(i), F.lit(0.5)), F.lit(float(i))).alias(f"d{i}") for i in (1, 2, 3)])
     used = used.join(discounts, used.lang.eqNullSafe(discounts.lang) & (used.n == discounts.n)).select(used["*"], "d1", "d2", "d3")
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     histories = used.groupBy("n", "ctx").agg(F.first("lang").alias("lang"), F.first("mid").alias("mid"), F.sum("c").alias("all"), F.sum(off).alias("off"))
