@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from salesflow.catalog.registry import query
 from salesflow.operators import health
-from salesflow.sources import demo, envelopes, feeds
+from salesflow.sources import envelopes, feeds
 
 ROWS_PER_BODY = 20
 
@@ -261,24 +261,3 @@ def _(s):
     every = every.withColumns({
         "last_success_at": F.when(F.col("ok"), F.col("ran_at")), "error": F.when(~F.col("ok"), "fetch failed")})
     return health.run_report(every, sent, F.col("ran_at"))
-
-
-@query("demo_sales", """
-    SELECT user_id, sku, product_name, date, q AS quantity,
-           round(q * price * CASE WHEN promo THEN 0.85 ELSE 1.0 END, 2) AS revenue, round(price, 2) AS price, promo AS promo_flag
-    FROM (SELECT *, greatest(round(base * (1 + 0.35 * sin(dayofyear(date) / 365.0::DOUBLE * 6.283185307179586))
-                 * CASE WHEN isodow(date) >= 6 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END * (1 + (n - 1) / 1600.0::DOUBLE) * (0.7::DOUBLE + noise * 0.6::DOUBLE)
-                 * CASE WHEN promo THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END), 0.0) AS q
-          FROM (SELECT *, 9.0 + ('0x' || substr(md5(concat('42|', user_id, '|', sku)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 30 AS price,
-                       ('0x' || substr(md5(concat('42|', user_id, '|', sku, '|', n, '|promo')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.06::DOUBLE AS promo,
-                       ('0x' || substr(md5(concat('42|', user_id, '|', sku, '|', n, '|noise')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS noise,
-                       CAST((SELECT d FROM as_of) - 400 + CAST(n AS INTEGER) AS DATE) AS date
-                FROM (SELECT concat('r', s_nationkey % 5) AS user_id, concat('P', s_suppkey) AS sku, s_name AS product_name,
-                             10.0::DOUBLE + s_nationkey AS base FROM supplier) CROSS JOIN (SELECT unnest(range(1, 401)) AS n)))""")
-def _(s):
-    """Four hundred days of sales for every supplier as a product."""
-    products = s.table("supplier").select(
-        F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("user_id"),
-        F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("sku"), F.col("s_name").alias("product_name"),
-        (F.lit(10.0) + F.col("s_nationkey")).alias("base"))
-    return demo.demo_sales(products, s.as_of())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesflow.catalog.ingest import ROWS_PER_BODY, weather_messages
+from salesflow.catalog.ingest import weather_messages
 from salesflow.catalog.registry import query
 from salesflow.operators import validation
 from salesflow.schemas import SILVER_TRENDS, SILVER_WEATHER
@@ -55,23 +55,41 @@ def _(s):
     return validation.validate_calendar(rows).filter("error is null").select("label", "start_date", "end_date")
 
 
+ROWS_PER_FILE = 2000
+
+
 @query("calendar_ics_scan", f"""
-    SELECT CAST(seq // {ROWS_PER_BODY} AS BIGINT) AS upload_id, concat('day: ', k) AS label, date AS start_date,
+    SELECT CAST(seq // {ROWS_PER_FILE} AS BIGINT) AS upload_id, concat('day: ', k) AS label, date AS start_date,
            CASE WHEN k % 3 = 0 THEN date ELSE CAST(date + k % 5 AS DATE) END AS end_date
-    FROM signals WHERE k % 7 <> 0""")
+    FROM signals WHERE k % 7 > 1""")
 def _(s):
-    """Calendar texts of a few entries each; some have no end, some no start."""
+    """Calendar files written and read back; some entries have no end, some no start or an empty one."""
     day = lambda d: F.date_format(d, "yyyyMMdd")
     k = F.col("k")
     lines = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("SUMMARY:day: "), k.cast("string")),
-                        F.when(k % 7 != 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), day(F.col("date")))),
+                        F.when(k % 7 == 1, F.lit("DTSTART:")).when(k % 7 > 1, F.concat(F.lit("DTSTART;VALUE=DATE:"), day(F.col("date")))),
                         F.when(k % 3 != 0, F.concat(F.lit("DTEND:"), day(F.date_add("date", k % 5 + 1)), F.lit("T000000Z"))),
                         F.lit("END:VEVENT"))
-    bucket = F.floor(F.col("seq") / ROWS_PER_BODY).alias("upload_id")
+    bucket = F.floor(F.col("seq") / ROWS_PER_FILE).alias("upload_id")
     texts = s.signals().groupBy(bucket).agg(F.concat(
         F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.collect_list(lines), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("value"))
-    rows = validation.validate_calendar(files.split_ics(texts))
-    return rows.filter("error is null").select("upload_id", "label", "start_date", "end_date")
+    path = scratch_path(s.spark, "ics")
+    texts.write.partitionBy("upload_id").text(path)
+    rows, _ = files.read_calendar(s.spark, f"{path}/*")
+    return validation.validate_calendar(rows).filter("error is null").select(
+        F.regexp_extract("upload_id", "upload_id=([0-9]+)", 1).cast("bigint").alias("upload_id"), "label", "start_date", "end_date")
+
+
+@query("csv_wide_scan", """
+    SELECT trim(date) AS date, trim(sku) AS sku, trim(product_name) AS product_name, trim(quantity) AS quantity,
+           trim(revenue) AS revenue, trim(price) AS price, trim(promo_flag) AS promo_flag FROM upload_rows""")
+def _(s):
+    """Upload rows behind forty other columns."""
+    path = scratch_path(s.spark, "csv")
+    s.upload_rows().select(*[F.lit(f"x{i}").alias(f"other{i}") for i in range(40)], *UPLOAD).write.option(
+        "maxRecordsPerFile", 20000).csv(path, header=True)
+    rows, _ = files.read_sales_csv(s.spark, path)
+    return rows.select(*[F.trim(c).alias(c) for c in UPLOAD])
 
 
 @query("bronze_append", """

@@ -78,14 +78,15 @@ def _(s):
 
 @query("sales_event_stream", """
     SELECT concat(user_id, ':', sku) AS key, upload_id, CAST(date AS DATE) AS date, CAST(quantity AS DOUBLE) AS quantity,
-           promo_flag IN ('true', '1', 'yes') AS promo_flag FROM checked WHERE field IS NULL""", checked_views(100000, 500))
+           promo_flag IN ('true', '1', 'yes') AS promo_flag FROM checked WHERE field IS NULL""", checked_views(10 ** 9, 10 ** 9))
 def _(s):
-    """Valid upload rows as messages, read back from their payload."""
-    from salesflow.operators.validation import valid_sales, validate_sales
-
-    valid = valid_sales(validate_sales(s.upload_rows()))
-    sent = to_envelope(valid, "sales_csv", ["user_id", "sku"], ["user_id", "upload_id", "sku", "date", "quantity", "revenue",
-                                                                "price", "promo_flag"], "date", s.as_of().cast("timestamp"))
+    """Upload rows arrive as files and leave as messages; read back from their payload."""
+    out = scratch_path(s.spark, "stream-sales")
+    rows = s.upload_rows()
+    rows.write.json(f"{out}/in")
+    arriving = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).json(f"{out}/in")
+    finished(s, streams.stream_sales_events(arriving, f"{out}/rows", f"{out}/state", s.as_of().cast("timestamp")))
+    sent = s.spark.read.json(f"{out}/rows")
     body = F.from_json(F.get_json_object("value", "$.payload"), PAYLOADS["sales_csv"])
     return sent.select("key", body.alias("p")).select("key", "p.upload_id", "p.date", "p.quantity", "p.promo_flag")
 

@@ -8,15 +8,16 @@ from salesflow.catalog.registry import query
 from salesflow.operators import scan, validation
 from salesflow.operators.keyed import top_n
 
-MAX_ROWS, MAX_SKUS = 7, 3
+MAX_ROWS, MAX_SKUS = 6, 3  # of the queries about the limits themselves
+
 
 def checked_views(max_rows: int, max_skus: int) -> dict[str, str]:
-    """Views with the outcome of every upload row under the given caps."""
+    """Views with the outcome of every upload row; ``beyond`` is the error of uploads above the row limit."""
     return {
         "cleaned": f"""
             SELECT upload_id, user_id, row_no, seq, trim(date) AS date, trim(sku) AS sku, trim(product_name) AS product_name,
                    trim(quantity) AS quantity, trim(revenue) AS revenue, trim(price) AS price, lower(trim(promo_flag)) AS promo_flag
-            FROM upload_rows WHERE row_no - 1 <= {max_rows}""",
+            FROM upload_rows""",
         "accepted_skus": f"""
             SELECT upload_id, sku FROM (
                 SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY first_row, sku) AS rn FROM (
@@ -45,11 +46,11 @@ def checked_views(max_rows: int, max_skus: int) -> dict[str, str]:
     }
 
 
-CHECKED = checked_views(MAX_ROWS - 1, MAX_SKUS)
+CHECKED = checked_views(MAX_ROWS, MAX_SKUS)
 
 
 def checked(s):
-    return validation.validate_sales(s.upload_rows(), MAX_ROWS - 1, MAX_SKUS)
+    return validation.validate_sales(s.upload_rows(), max_skus=MAX_SKUS)
 
 
 @query("csv_sales_validate", """
@@ -67,20 +68,27 @@ def _(s):
 
 @query("csv_row_cap", "SELECT upload_id, row, field, message FROM beyond", CHECKED)
 def _(s):
-    return validation.row_cap(s.upload_rows(), MAX_ROWS - 1)[1]
+    return validation.row_cap(s.upload_rows(), MAX_ROWS)[1]
 
 
 @query("upload_errors", """
-    SELECT upload_id, CAST(row_no AS INTEGER) AS row, field, message FROM checked WHERE field IS NOT NULL
-    UNION ALL SELECT upload_id, row, field, message FROM beyond""", CHECKED)
+    SELECT upload_id, CAST(row_no AS INTEGER) AS row, field, message FROM checked WHERE field IS NOT NULL""", CHECKED)
+def _(s):
+    return validation.error_rows(checked(s))
+
+
+@query("row_limit_errors", f"""
+    SELECT upload_id, CAST(row_no AS INTEGER) AS row, field, message FROM checked WHERE field IS NOT NULL AND row_no - 1 <= {MAX_ROWS}
+    UNION ALL SELECT upload_id, row, field, message FROM beyond""", checked_views(MAX_ROWS, 10 ** 9))
 def _(s):
-    return validation.error_rows(checked(s), validation.row_cap(s.upload_rows(), MAX_ROWS - 1)[1])
+    """Uploads under the row limit of the contract: the limit's error comes with the others."""
+    return validation.error_rows(validation.validate_sales(s.upload_rows(), max_rows=MAX_ROWS))
 
 
 @query("sku_cap", "SELECT upload_id, sku FROM accepted_skus", CHECKED)
 def _(s):
     rows = s.upload_rows().withColumn("sku", F.trim("sku"))
-    return validation.sku_cap(validation.row_cap(rows, MAX_ROWS - 1)[0], MAX_SKUS).select("upload_id", "sku")
+    return validation.sku_cap(rows, MAX_SKUS).select("upload_id", "sku")
 
 
 @query("upload_status", """

@@ -72,8 +72,9 @@ def is_weekend(day: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float | None = None) -> Column:
-    c = F.greatest(c, F.lit(low).cast("double"))
-    return c if high is None else F.least(c, F.lit(high).cast("double"))
+    """The value held between two bounds; a missing one stays missing."""
+    held = F.greatest(c, F.lit(low).cast("double"))
+    return F.when(c.isNotNull(), held if high is None else F.least(held, F.lit(high).cast("double")))
 
 
 def middle_of_three(a: Column, b: Column, c: Column) -> Column:

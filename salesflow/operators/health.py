@@ -44,26 +44,34 @@ def latest_health(messages: DataFrame, payload: str = "value", order: list[str]
     return newest.select("signal", "status", "last_success_at", "last_error")
 
 
+STALE_MARK = r"""(?:,\s*"stale"\s*:\s*true(?=\s*\}\s*$))|(?:(?<=^\{)\s*"stale"\s*:\s*true\s*(?=\}\s*$))"""
+
+
 def stale_stamp(df: DataFrame) -> DataFrame:
-    """Mark replayed rows; a JSON payload gets the mark inside."""
+    """Mark replayed rows; a JSON payload gets the mark inside, once however often it is replayed."""
     if "payload" in df.columns:
-        stamped = F.regexp_replace("payload", r"\}\s*$", "")
+        stamped = F.regexp_replace(F.regexp_replace("payload", STALE_MARK, ""), r"\}\s*$", "")
         comma = F.when(stamped.rlike(r"^\s*\{\s*$"), F.lit("")).otherwise(F.lit(","))
         return df.withColumn("payload", F.concat(stamped, comma, F.lit('"stale":true}')))
     return df.withColumn("stale", F.lit(True))
 
 
 def stale_fallback(events: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """Rows to replay: of each feed whose newest run failed, those of its newest good run within the limit.
+    """Rows to replay: of each feed whose newest run failed, those of its newest good run that published any, within the limit.
 
-    ``runs``: source, run_id, ran_at, ok. ``events`` carry source and run_id.
+    ``runs``: source, run_id, ran_at, ok. ``events`` carry source and run_id; replayed rows are ingested ``now``.
     """
     newest = latest(runs.select("source", "ran_at", "run_id", "ok"), ["source"], ["ran_at", "run_id"])
     failed = newest.filter("not ok").select("source")
-    good = latest(runs.filter("ok").select("source", "ran_at", "run_id"), ["source"], ["ran_at", "run_id"])
+    published = events.select("source", "run_id").distinct()
+    full = runs.filter("ok").select("source", "ran_at", "run_id").join(published, ["source", "run_id"], "left_semi")
+    good = latest(full, ["source"], ["ran_at", "run_id"])
     age = seconds(now) - seconds(F.col("ran_at"))
     replay = good.filter(age <= limit_hours(F.col("source"), 1) * HOUR).join(failed, "source", "left_semi")
-    return stale_stamp(events.join(replay.select("source", "run_id"), ["source", "run_id"], "left_semi"))
+    rows = events.join(replay.select("source", "run_id"), ["source", "run_id"], "left_semi")
+    if "ingested_at" in rows.columns:
+        rows = rows.withColumn("ingested_at", now.cast(rows.schema["ingested_at"].dataType))
+    return stale_stamp(rows)
 
 
 def run_report(runs: DataFrame, events: DataFrame, now: Column) -> DataFrame:

@@ -9,11 +9,11 @@ SECRET_PATTERNS = {
     "aws_access_key": r"AKIA[0-9A-Z]{16}",
     "private_key_block": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "stripe_live": r"[sr]k_live_[0-9a-zA-Z]{16,}",
-    "service_jwt": r"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9\.eyJ[a-zA-Z0-9_-]{20,}",
+    "supabase_service_jwt": r"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9\.eyJ[a-zA-Z0-9_-]{20,}",
     "generic_secret_assignment": r"(?i)(?:password|secret|api[_-]?key)\s*[:=]\s*['\"][^'\"]{12,}['\"]",
 }
 HARMLESS = ["your-", "change-me", "test-secret", "integration-secret", "dev-anon-key", "dev-jwt-secret", "example",
-            "placeholder", "JWT_SECRET", "API_KEY"]
+            "placeholder", "SUPABASE_JWT_SECRET", "JWT_SECRET", "API_KEY"]
 BEFORE, AFTER, SHOWN = 60, 20, 80
 PAID_HOSTS = ["api.bloomberg.com", "refinitiv", "api.predicthq.com", "poligon.io-paid", "sp-api.amazon.com"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from salesflow.functions.scalars import clamp
 from salesflow.operators.keyed import latest
 from salesflow.schemas import SERIES, SERIES_DAY
 
@@ -32,10 +33,10 @@ def flag_gaps(daily: DataFrame) -> DataFrame:
 
 
 def enforce_types(daily: DataFrame) -> DataFrame:
-    """Quantity at least zero, revenue and price may be missing, promo defaults to false."""
+    """Quantity at least zero; quantity, revenue and price may be missing, promo defaults to false."""
     return daily.select(
         *SERIES_DAY,
-        F.greatest(F.col("quantity").cast("double"), F.lit(0.0)).alias("quantity"),
+        clamp(F.col("quantity").cast("double"), 0).alias("quantity"),
         F.col("revenue").cast("double").alias("revenue"),
         F.col("price").cast("double").alias("price"),
         F.coalesce(F.col("promo_flag"), F.lit(False)).alias("promo_flag"),

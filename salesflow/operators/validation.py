@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from salesflow.functions.scalars import ASIN, clean, flag, iso_date, number
 from salesflow.operators.keyed import missing_columns, top_n
 
-# Columns of the upload contract.
+# Columns, limits and messages (below) of the upload contract.
 REQUIRED = ["date", "sku", "product_name", "quantity", "revenue"]
 OPTIONAL = ["price", "promo_flag"]
 CALENDAR_REQUIRED = ["label", "start_date", "end_date"]
@@ -45,7 +45,7 @@ def header_errors(df: DataFrame, required: list[str] = REQUIRED, calendar: bool
     return df.sparkSession.createDataFrame(rows, "row int, field string, message string")
 
 
-def row_cap(rows: DataFrame, max_rows: int = MAX_ROWS, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def row_cap(rows: DataFrame, max_rows: int, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows within the cap, and one file error for each upload that goes beyond it.
 
     The cap is a contract of the upload: rows behind it are reported, not loaded.
@@ -58,25 +58,32 @@ def row_cap(rows: DataFrame, max_rows: int = MAX_ROWS, keys: list[str] | None =
         F.lit(f"Row limit exceeded ({max_rows})").alias("message"))
 
 
-def sku_cap(rows: DataFrame, max_skus: int = MAX_SKUS) -> DataFrame:
+def sku_cap(rows: DataFrame, max_skus: int) -> DataFrame:
     """Accepted SKUs of each upload: the first ``max_skus`` by first appearance, rejected rows included."""
     seen = rows.filter(F.col("sku") != "").groupBy("upload_id", "sku").agg(F.min("row_no").alias("first_row"))
     return top_n(seen, ["upload_id"], [F.col("first_row"), F.col("sku")], max_skus)
 
 
-def validate_sales(rows: DataFrame, max_rows: int = MAX_ROWS, max_skus: int = MAX_SKUS) -> DataFrame:
-    """Text rows with ``error`` (NULL = valid) and typed values; rows beyond the row cap are left out.
+def validate_sales(rows: DataFrame, max_rows: int | None = None, max_skus: int | None = None) -> DataFrame:
+    """Text rows with ``error`` (NULL = valid) and typed values.
 
-    ``rows`` carry upload_id, row_no (header = 1) and the contract columns as text.
+    ``rows`` carry upload_id, row_no (header = 1) and the contract columns as text. The limits of an upload
+    (MAX_ROWS, MAX_SKUS) hold where they are given. The rows beyond the row limit are
+    one row with the limit's error, whose other columns are NULL.
     """
     for name in OPTIONAL:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(""))
     rows = rows.withColumns({c: clean(F.col(c)) for c in [*REQUIRED, *OPTIONAL]})
-    rows, _ = row_cap(rows, max_rows)
-    allowed = sku_cap(rows, max_skus).select("upload_id", "sku", F.lit(True).alias("_allowed"))
-    rows = rows.join(allowed, ["upload_id", "sku"], "left")
     at = F.col("row_no")
+    beyond = None
+    if max_rows is not None:
+        rows, beyond = row_cap(rows, max_rows)
+    if max_skus is None:
+        rows = rows.withColumn("_allowed", F.lit(True))
+    else:
+        allowed = sku_cap(rows, max_skus).select("upload_id", "sku", F.lit(True).alias("_allowed"))
+        rows = rows.join(allowed, ["upload_id", "sku"], "left")
     quantity, revenue = number_error("quantity", True), number_error("revenue", False)
     price = number_error("price", False)
     problem = F.coalesce(
@@ -88,7 +95,11 @@ def validate_sales(rows: DataFrame, max_rows: int = MAX_ROWS, max_skus: int = MA
         F.when(price.isNotNull(), error(at, "price", price)),
         F.when(flag(F.col("promo_flag")).isNull(), error(at, "promo_flag", "must be true/false/0/1")),
     )
-    return rows.withColumn("error", problem).drop("_allowed")
+    rows = rows.withColumn("error", problem).drop("_allowed")
+    if beyond is None:
+        return rows
+    return rows.unionByName(beyond.select(
+        "upload_id", F.col("row").cast(rows.schema["row_no"].dataType).alias("row_no"), F.struct("row", "field", "message").alias("error")), True)
 
 
 def valid_sales(validated: DataFrame) -> DataFrame:
@@ -112,10 +123,10 @@ def outcome(validated: DataFrame) -> DataFrame:
                             *[F.when(good, c).alias(name) for name, c in typed.items()])
 
 
-def error_rows(validated: DataFrame, cap_errors: DataFrame | None = None) -> DataFrame:
+def error_rows(validated: DataFrame, file_errors: DataFrame | None = None) -> DataFrame:
     """One row per error: upload, row, field, message."""
     found = validated.filter("error is not null").select("upload_id", "error.row", "error.field", "error.message")
-    return found if cap_errors is None else found.unionByName(cap_errors)
+    return found if file_errors is None else found.unionByName(file_errors)
 
 
 def product_names(validated: DataFrame) -> DataFrame:
@@ -131,16 +142,22 @@ def product_stats(sales: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("sales_days"), F.max("date").alias("last_sale_date"))
 
 
-def upload_status(validated: DataFrame) -> DataFrame:
-    """Loaded when at least one row was valid; counts of valid and rejected rows."""
-    ok = F.count_if(F.col("error").isNull())
-    return validated.groupBy("upload_id").agg(
+def upload_status(validated: DataFrame, file_errors: DataFrame | None = None) -> DataFrame:
+    """Loaded when at least one row was valid; counts of valid and rejected rows.
+
+    With ``file_errors`` (upload_id, row, field, message) files that were refused as a whole are uploads too.
+    """
+    counts = validated.select("upload_id", F.col("error").isNull().alias("good"))
+    if file_errors is not None:
+        counts = counts.unionByName(file_errors.select("upload_id", F.lit(False).alias("good")))
+    ok = F.count_if("good")
+    return counts.groupBy("upload_id").agg(
         F.when(ok > 0, "loaded").otherwise("failed").alias("status"), ok.cast("int").alias("row_count"),
-        F.count_if(F.col("error").isNotNull()).cast("int").alias("rejected"))
+        F.count_if(~F.col("good")).cast("int").alias("rejected"))
 
 
 def error_report(errors: DataFrame) -> DataFrame:
-    """Errors of an upload as one array; the row cap of an upload bounds its length."""
+    """Errors of an upload as one array, at most one for each of its rows."""
     return errors.groupBy("upload_id").agg(
         F.array_sort(F.collect_list(F.struct("row", "field", "message"))).alias("error_report"))
 

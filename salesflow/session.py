@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,13 @@ def build_session(name: str = "salesflow", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    Only a local session may fall back to a folder of its own; on a cluster a machine-local
-    folder would be lost with its machine.
+    Where it is unset, a session whose executors are threads of the driver (``local``, ``local[n]``) gets a folder of its
+    own; every other session is refused, as a machine-local folder would be lost with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="salesflow-"))

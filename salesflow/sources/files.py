@@ -8,31 +8,50 @@ from salesflow.functions.scalars import after_first, ics_date
 from salesflow.session import materialize
 from salesflow.operators.validation import CALENDAR_REQUIRED, OPTIONAL, REQUIRED
 
-WIDTH = 32  # columns read per record; the contract names seven
+NOT_TEXT = "File is not valid UTF-8 text"  # fixed value of the upload contract
 
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per file, empty ones too: upload_id (the file), its text, whether its bytes are UTF-8, and the width of its header.
 
-def read_csv_records(spark: SparkSession, paths: str | list[str], width: int = WIDTH) -> DataFrame:
-    """Records of CSV files: upload_id (the file), _id (position) and the values as text.
+    The width is one more than the commas of the first record, quoted ones included, so it is never too small.
+    """
+    whole = F.col("content").cast("string")
+    first = F.regexp_extract("text", "^\\s*+((?:[^\"\\r\\n]++|\"(?:[^\"]++|\"\")*+\")*+)", 1)
+    raw = spark.read.format("binaryFile").load(paths)
+    # Readers pass over files without bytes; the list of files, which the reader holds anyway, still names them.
+    same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    named = spark.createDataFrame([(f,) for f in raw.inputFiles()], "file string").select("file", same("file").alias("_f"))
+    read = raw.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8(whole).alias("utf8"), F.make_valid_utf8(whole).alias("text"))
+    rows = named.join(read.withColumn("_f", same("path")), "_f", "left").select(
+        F.coalesce("path", "file").alias("upload_id"), F.coalesce("utf8", F.lit(True)).alias("utf8"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff", "").alias("text"))
+    return rows.withColumn("width", (F.length(first) - F.length(F.replace(first, F.lit(","))) + 1).cast("int"))
+
+
+def read_csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records of CSV files: upload_id (the file), _id (position) and the values as text, as wide as the widest header.
 
     Headers may differ per file, so they are read as records and looked up by name. A quoted field may
     span lines, hence one task per file; positions ascend within it. They depend on how files are packed
     into tasks, so the records are parsed and numbered once and stored.
     """
+    width = read_files(spark, paths).agg(F.max("width")).first()[0] or 1
     columns = [f"_c{i}" for i in range(width)]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(
-        paths, header=False, multiLine=True, mode="PERMISSIVE", escape='"')
+        paths, header=False, multiLine=True, mode="PERMISSIVE", escape='"', maxColumns=max(20480, 2 * width))
     return materialize(raw.select(
         F.col("_metadata.file_path").alias("upload_id"), F.monotonically_increasing_id().alias("_id"),
         F.array(*columns).alias("values")), "records")
 
 
-def read_csv_headers(records: DataFrame) -> DataFrame:
-    """One row per file: position and names of its header, and whether its text is not UTF-8."""
-    garbled = F.exists("values", lambda v: F.contains(F.coalesce(v, F.lit("")), F.lit("\ufffd")))
-    firsts = records.groupBy("upload_id").agg(F.min("_id").alias("_id"), F.bool_or(garbled).alias("garbled"))
+def read_csv_headers(records: DataFrame, held: DataFrame) -> DataFrame:
+    """One row per file of ``held``: position and names of its header, whether it is UTF-8 and whether it is empty."""
+    firsts = records.groupBy("upload_id").agg(F.min("_id").alias("_id"))
     name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")))
-    return records.join(firsts, ["upload_id", "_id"]).select(
-        "upload_id", F.col("_id").alias("_first"), F.transform("values", name).alias("header"), "garbled")
+    named = records.join(firsts, ["upload_id", "_id"]).select(
+        "upload_id", F.col("_id").alias("_first"), F.transform("values", name).alias("header"))
+    return held.select("upload_id", "utf8", (F.col("text") == "").alias("empty")).join(named, "upload_id", "left").select(
+        "upload_id", "_first", F.coalesce("header", F.array().cast("array<string>")).alias("header"), "utf8", "empty")
 
 
 def field(name: str) -> Column:
@@ -42,13 +61,12 @@ def field(name: str) -> Column:
 
 
 def file_problem(required: list[str], calendar: bool = False) -> Column:
-    """What keeps a file from being read: text that is not UTF-8 (row 0), or missing columns (row 1)."""
+    """What keeps a file from being read: text that is not UTF-8, no text (row 0), or missing columns (row 1)."""
     missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("header"))
     message = F.lit("Required columns: label,start_date,end_date") if calendar else F.concat(
         F.lit("Missing required columns: "), F.array_join(missing, ", "))
-    return F.when(F.col("garbled"), F.struct(
-        F.lit(0).alias("row"), F.lit("file").alias("field"), F.lit("File is not valid UTF-8 text").alias("message"))
-    ).when(F.size(missing) > 0, F.struct(
+    whole = lambda text: F.struct(F.lit(0).alias("row"), F.lit("file").alias("field"), F.lit(text).alias("message"))
+    return F.when(~F.col("utf8"), whole(NOT_TEXT)).when(F.col("empty") & F.lit(not calendar), whole("Empty file")).when(F.size(missing) > 0, F.struct(
         F.lit(1).alias("row"), F.lit("header").alias("field"), message.alias("message")))
 
 
@@ -56,7 +74,7 @@ def read_named(spark: SparkSession, paths: str | list[str], names: list[str], re
                calendar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(data records of intact files with the named columns as text, errors of the other files)."""
     records = read_csv_records(spark, paths)
-    heads = read_csv_headers(records).withColumn("_problem", file_problem(required, calendar))
+    heads = read_csv_headers(records, read_files(spark, paths)).withColumn("_problem", file_problem(required, calendar))
     intact = heads.filter("_problem is null").select("upload_id", "_first", "header")
     rows = records.join(intact, "upload_id").filter(F.col("_id") > F.col("_first")).select(
         "upload_id", (F.col("_id") - F.col("_first") + 1).cast("int").alias("row_no"), *[field(n).alias(n) for n in names])
@@ -72,38 +90,48 @@ def read_calendar_csv(spark: SparkSession, paths: str | list[str]) -> tuple[Data
     return read_named(spark, paths, CALENDAR_REQUIRED, CALENDAR_REQUIRED, calendar=True)
 
 
-def last_line(block: Column, name: str) -> Column:
-    """Value of the last line that starts with ``name``; NULL when there is none."""
-    lines = F.regexp_extract_all(block, F.lit(rf"(?m)^[ \t]*({name}[^\r\n]*)"), F.lit(1))
-    return F.trim(after_first(F.try_element_at(lines, F.lit(-1))))
+def read_calendar(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to validate, file errors) of calendar uploads: ICS by name or content, else CSV."""
+    held = read_files(spark, paths)
+    ics = F.endswith(F.lower("upload_id"), F.lit(".ics")) | F.startswith(F.ltrim("text"), F.lit("BEGIN:VCALENDAR"))
+    entries = split_ics(held.filter(F.col("utf8") & ics), text="text")
+    garbled = held.filter(~F.col("utf8")).select(
+        "upload_id", F.lit(0).alias("row"), F.lit("file").alias("field"), F.lit(NOT_TEXT).alias("message"))
+    rows, errors = read_calendar_csv(spark, paths)
+    plain = held.filter(F.col("utf8") & ~ics).select("upload_id")
+    return (entries.unionByName(rows.join(plain, "upload_id", "left_semi")),
+            garbled.unionByName(errors.join(plain, "upload_id", "left_semi")))
 
 
 def split_ics(texts: DataFrame, key: str = "upload_id", text: str = "value") -> DataFrame:
     """Calendar entries of whole ICS texts as rows to validate; row_no is the line that ends the entry.
 
-    The end stamp is exclusive, so the last day is one day earlier; without an end it is the first day.
+    Lines count once they are trimmed; only a whole line begins or ends an entry. The last summary, start and end of
+    an entry hold; without a summary or a start it is left out. The end stamp is exclusive, so the last
+    day is one day earlier; without an end it is the first day.
     """
-    blocks = texts.select(key, F.posexplode(F.split(F.col(text), r"BEGIN:VEVENT", -1)).alias("_i", "_block"))
-    breaks = F.size(F.split("_block", r"\r\n|\r|\n", -1)) - 1
+    strip = lambda c: F.regexp_replace(c, r"^\s++|\s++$", "")
+    lines = texts.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n", -1)).alias("_i", "_raw")).select(key, "_i", strip(F.col("_raw")).alias("_l"))
     before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    entries = blocks.withColumn("_lines", F.coalesce(F.sum(breaks).over(before), F.lit(0))).filter(
-        (F.col("_i") > 0) & F.contains("_block", F.lit("END:VEVENT")))
-    body = F.element_at(F.split("_block", "END:VEVENT", 2), 1)
-    start, end = F.col("_e.start"), F.col("_e.end")
-    iso = lambda c: F.regexp_replace(
-        F.substring(F.regexp_replace(c, "[^0-9]", ""), 1, 8), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    enough = F.length(F.regexp_replace(end, "[^0-9]", "")) >= 8
-    last = F.when(enough, F.coalesce(F.date_sub(ics_date(end), 1).cast("string"), iso(end))).otherwise(F.lit(""))
-    # The three stamps leave through explode, so that the rules below read columns and not the patterns again.
-    found = entries.withColumn("_body", body).select(
-        key, (F.col("_lines") + F.size(F.split("_body", r"\r\n|\r|\n", -1))).cast("int").alias("row_no"),
-        F.explode(F.array(F.struct(
-            last_line(F.col("_body"), "SUMMARY").alias("label"), last_line(F.col("_body"), "DTSTART").alias("start"),
-            last_line(F.col("_body"), "DTEND").alias("end")))).alias("_e"))
-    rows = found.select(key, "row_no", "_e.label", iso(start).alias("start_date"), F.coalesce(last, F.lit("")).alias("end_date"))
-    return rows.filter("label <> '' and start_date is not null")
+    ends, begins = F.col("_l") == "END:VEVENT", F.col("_l") == "BEGIN:VEVENT"
+    numbered = lines.withColumn("_entry", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+    within = Window.partitionBy(key, "_entry").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = numbered.withColumn("_in", F.coalesce(F.max(begins).over(within), F.lit(False)))
+
+    def last(name: str) -> Column:
+        there = F.col("_in") & F.startswith("_l", F.lit(name))
+        return F.max_by(F.when(there, strip(after_first(F.col("_l")))), F.when(there, F.col("_i")))
+
+    found = inside.groupBy(key, "_entry").agg(
+        F.max(F.when(ends, F.col("_i") + 1)).cast("int").alias("row_no"), last("SUMMARY").alias("label"), last("DTSTART").alias("_start"),
+        last("DTEND").alias("_end")).filter("row_no is not null and label <> '' and _start <> ''")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    iso = lambda c: F.when(F.length(digits(c)) >= 8, F.regexp_replace(
+        F.substring(digits(c), 1, 8), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise("")
+    end = F.col("_end")
+    day = F.when(F.length(digits(end)) >= 8, F.coalesce(F.date_sub(ics_date(end), 1).cast("string"), iso(end)))
+    return found.select(key, "row_no", "label", iso(F.col("_start")).alias("start_date"), F.coalesce(day, F.lit("")).alias("end_date"))
 
 
 def read_ics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("upload_id"), "value")
-    return split_ics(texts)
+    return split_ics(read_files(spark, paths).filter("utf8"), text="text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from salesflow.operators.keyed import latest
@@ -92,15 +92,19 @@ def stream_route(messages: DataFrame, events_out: str, health_table: str, checkp
         availableNow=True).start()
 
 
-def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, max_rows: int = 100_000,
-                        max_skus: int = 500) -> StreamingQuery:
-    """Valid rows of arriving uploads as sales messages keyed by tenant and SKU."""
+def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at: Column) -> StreamingQuery:
+    """Valid rows of arriving uploads as sales messages keyed by tenant and SKU.
+
+    The limits of an upload belong to the upload as a whole and are checked where it is complete
+    (``validate_sales``), not here, where a batch may hold a part of it. ``ingested_at`` stamps the messages, so that a
+    repeated batch writes the same ones.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        valid = valid_sales(validate_sales(batch, max_rows, max_skus))
+        valid = valid_sales(validate_sales(batch))
         messages = to_envelope(valid, "sales_csv", ["user_id", "sku"],
                                ["user_id", "upload_id", "sku", "date", "quantity", "revenue", "price", "promo_flag"],
-                               "date", F.current_timestamp())
+                               "date", ingested_at)
         messages.write.mode("overwrite").json(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(

@@ -37,6 +37,14 @@ def test_failed_feed_replays_its_last_good_rows(frame):
     assert table(health.stale_fallback(events, runs, now()), "source", "v", "stale") == [("trends", 1, True)]
 
 
+def test_replay_takes_the_last_run_that_published_and_stamps_anew(frame):
+    runs = frame([("trends", "r1", "2026-07-20", True), ("trends", "r2", "2026-07-22", True), ("trends", "r3", "2026-07-26", False)], RUNS)
+    events = frame([("trends", "r1", "2026-07-20", '{"v":1,"stale":true}')], "source string, run_id string, ingested_at timestamp, payload string")
+    got = health.stale_fallback(events, runs, now())
+    assert table(got, "run_id", "payload") == [("r1", '{"v":1,"stale":true}')]
+    assert got.first()["ingested_at"] == got.select(now()).first()[0]
+
+
 def test_stamp_inside_json(frame):
     rows = frame([('{"a":1}',), ("{}",), ("{ } ",)], "payload string")
     assert table(health.stale_stamp(rows)) == [('{ "stale":true}',), ('{"a":1,"stale":true}',), ('{"stale":true}',)]

@@ -10,7 +10,7 @@ SALES = ("user_id string, sku string, date date, quantity double, revenue double
 
 
 def sale(day, qty, ingested="2026-07-02", seq=0, sku="A", user="u1", promo=None):
-    return (user, sku, day, float(qty), 10.0, None, promo, ingested, seq)
+    return (user, sku, day, qty if qty is None else float(qty), 10.0, None, promo, ingested, seq)
 
 
 def test_latest_ingested_record_wins(frame):
@@ -46,6 +46,7 @@ def test_gap_flag_marks_the_row_behind_the_hole(frame):
 def test_quantity_is_clamped_and_promo_defaults(frame):
     raw = frame([sale("2026-07-01", -3)], SALES)
     assert table(silver.to_silver(raw), "quantity", "price", "promo_flag") == [(0.0, None, False)]
+    assert table(silver.to_silver(frame([sale("2026-07-01", None)], SALES)), "quantity") == [(None,)]
 
 
 def test_latest_handles_a_key_that_holds_most_rows(frame, spark):

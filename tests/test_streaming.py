@@ -76,6 +76,7 @@ def test_valid_sales_rows_become_messages(spark, tmp_path):
     rows = [["f", "u1", 2, "2026-07-01", "A", "Mug", "3", "9", "", ""], ["f", "u1", 3, "bad", "A", "Mug", "3", "9", "", ""]]
     land(tmp_path / "in", "a.json", [dict(zip(names, r)) for r in rows])
     schema = ", ".join(f"{n} {'int' if n == 'row_no' else 'string'}" for n in names)
-    streams.stream_sales_events(spark.readStream.schema(schema).json(str(tmp_path / "in")), out, state).awaitTermination()
+    streams.stream_sales_events(spark.readStream.schema(schema).json(str(tmp_path / "in")), out, state,
+                                F.lit("2026-07-02").cast("timestamp")).awaitTermination()
     got = spark.read.json(out).select("key", F.get_json_object("value", "$.payload.quantity").cast("double").alias("q")).collect()
     assert [(r["key"], r["q"]) for r in got] == [("u1:A", 3.0)]

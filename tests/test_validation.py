@@ -26,7 +26,7 @@ def test_valid_rows(frame):
 
 
 @pytest.mark.parametrize("change, field, message", [
-    (dict(date="07/01/2026"), "date", "date must be ISO YYYY-MM-DD"),
+    (dict(date="3.7.2031"), "date", "date must be ISO YYYY-MM-DD"),
     (dict(date="20260701"), "date", "date must be ISO YYYY-MM-DD"),
     (dict(date="2026-02-30"), "date", "date must be ISO YYYY-MM-DD"),
     (dict(qty="-1"), "quantity", "quantity must be >= 0"),
@@ -53,6 +53,9 @@ def test_row_cap_reports_once(frame):
     rows = frame([row(i) for i in range(2, 8)], COLUMNS)
     within, beyond = validation.row_cap(rows, 3)
     assert within.count() == 3 and table(beyond) == [("u", 5, "file", "Row limit exceeded (3)")]
+    assert errors(frame, [row(i, qty="-1" if i == 3 else "3") for i in range(2, 8)], max_rows=3) == [
+        (3, "quantity", "quantity must be >= 0"), (5, "file", "Row limit exceeded (3)")]
+    assert errors(frame, [row(i) for i in range(2, 8)]) == []
 
 
 def test_status_and_report(frame):
@@ -111,7 +114,7 @@ def test_csv_files_with_their_own_headers(spark, tmp_path):
 
 
 def test_broken_files_are_reported_and_not_loaded(spark, tmp_path):
-    bad = write(tmp_path / "bad.csv", "date,sku,quantity\n2026-07-01,A,3\n")
+    bad = write(tmp_path / "bad.csv", "sku,price,date,quantity\nA,1,2026-07-01,3\n")
     (tmp_path / "latin.csv").write_bytes("date,sku,product_name,quantity,revenue\n2026-07-01,A,Caf\xe9,3,1\n".encode("latin-1"))
     rows, broken = files.read_sales_csv(spark, [bad, str(tmp_path / "latin.csv")])
     assert rows.count() == 0
@@ -129,13 +132,13 @@ def test_calendar_csv(spark, tmp_path):
 
 
 def test_ics(spark, tmp_path):
-    text = ("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Summer Break\r\nDTSTART;VALUE=DATE:20260615\r\n"
-            "DTEND;VALUE=DATE:20260801\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:One day: off\r\n"
-            "DTSTART:20261222;VALUE=DATE\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:No start\r\nEND:VEVENT\r\n"
+    text = ("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Carnival\r\nDTSTART;VALUE=DATE:20310219\r\n"
+            "DTEND;VALUE=DATE:20310224\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:One day: off\r\n"
+            "DTSTART:20310505;VALUE=DATE\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:No start\r\nEND:VEVENT\r\n"
             "BEGIN:VEVENT\r\nSUMMARY:Odd\r\nDTSTART:soon\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     got = validation.validate_calendar(files.read_ics(spark, write(tmp_path / "c.ics", text)))
     assert table(got.filter("error is null"), "row_no", "label", "start_date", "end_date") == [
-        (10, "One day: off", "2026-12-22", "2026-12-22"), (6, "Summer Break", "2026-06-15", "2026-07-31")]
+        (10, "One day: off", "2031-05-05", "2031-05-05"), (6, "Carnival", "2031-02-19", "2031-02-23")]
     assert table(got.filter("error is not null"), "error.row", "error.field") == [(17, "start_date")]
 
 
@@ -151,3 +154,28 @@ def test_secret_scan_keeps_context_between_close_matches(frame):
     assert third == ("é" * 60 + key + "tail")[:80]
     second = secret_scan(docs).filter(F.col("start") == 23).first()["context"]
     assert second == f"x {key} {key}"
+
+
+def test_every_file_ends_in_a_status(spark, tmp_path):
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "blank.csv", "\n \n")
+    wide = ",".join(f"c{i}" for i in range(60))
+    write(tmp_path / "wide.csv", f"{wide},date,sku,product_name,quantity,revenue\n{wide},2031-01-02,A,\ufffd,1,2\n")
+    rows, broken = files.read_sales_csv(spark, str(tmp_path))
+    checked = validation.validate_sales(rows)
+    assert table(broken, "row", "message") == [(0, "Empty file"), (1, "Missing required columns: date, sku, product_name, quantity, revenue")]
+    got = validation.upload_status(checked, broken)
+    assert table(got.withColumn("f", F.regexp_extract("upload_id", "([a-z]+).csv", 1)), "f", "status", "row_count", "rejected") == [
+        ("blank", "failed", 0, 1), ("empty", "failed", 0, 1), ("wide", "loaded", 1, 0)]
+
+
+def test_ics_lines_count_as_a_whole(spark, tmp_path):
+    text = ("BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:about BEGIN:VEVENT and END:VEVENT\nDTSTART:20310101\nEND:VEVENT\n"
+            "BEGIN:VEVENT\nSUMMARY:no day\nDTSTART:\nEND:VEVENT\nSUMMARY:outside\nDTSTART:20310102\nEND:VEVENT\n")
+    write(tmp_path / "a.txt", text)
+    (tmp_path / "b.ics").write_bytes(b"BEGIN:VCALENDAR\xff")
+    write(tmp_path / "c.csv", "label,start_date,end_date\nBreak,2031-03-01,\n")
+    rows, broken = files.read_calendar(spark, str(tmp_path))
+    good = validation.validate_calendar(rows)
+    assert table(good, "row_no", "label", "start_date") == [(2, "Break", "2031-03-01"), (5, "about BEGIN:VEVENT and END:VEVENT", "2031-01-01")]
+    assert table(broken, "row", "message") == [(0, "File is not valid UTF-8 text")]
