@@ -21,7 +21,7 @@ NEWEST = {
         FROM (SELECT user_id, sku FROM products UNION ALL SELECT id, 'Brand#99' FROM profiles)""",
     "outage": "SELECT coalesce(bool_or(status IN ('stale', 'degraded')), false) AS o FROM signal_status",
     "flat": """
-        SELECT q.user_id, q.position, q.sku, n.model_run_id, coalesce(f.model_version, 'seasonal-naive') AS model_version,
+        SELECT q.user_id, q.position, q.sku, n.model_run_id, n.generated_at, coalesce(f.model_version, 'seasonal-naive') AS model_version,
                f.mape_backtest,
                (SELECT o FROM outage) OR starts_with(coalesce(f.model_version, 'seasonal-naive'), 'seasonal-naive')
                AS degraded, f.forecast_date, f.yhat, f.yhat_lower, f.yhat_upper
@@ -89,6 +89,51 @@ def _(s):
                        F.array_join(F.transform("factors", lambda f: f["factor"]), ">").alias("factors"))
 
 
+ASKED = {**NEWEST, "asked": """
+    SELECT upload_id AS request_id, user_id, coalesce(list(trim(sku) ORDER BY row_no, sku) FILTER (trim(sku) <> ''), []) ||
+               CASE WHEN CAST(substr(upload_id, 2) AS BIGINT) % 50 = 0 THEN ['Brand#99'] ELSE [] END AS skus,
+           CASE CAST(substr(upload_id, 2) AS BIGINT) % 4 WHEN 0 THEN 7 WHEN 1 THEN 14 WHEN 2 THEN 30 ELSE 21 END AS horizon
+    FROM upload_rows GROUP BY 1, 2""", "served": "SELECT * FROM forecasts WHERE user_id <> 'r4'", "judged": """
+    SELECT *, CASE WHEN len(skus) NOT BETWEEN 1 AND 10 THEN 'sku_count' WHEN horizon NOT IN (7, 14, 30) THEN 'horizon'
+                   WHEN EXISTS (SELECT 1 FROM (SELECT unnest(skus) AS k) WHERE NOT EXISTS (
+                        SELECT 1 FROM products p WHERE p.user_id = a.user_id AND p.sku = k)) THEN 'sku_not_found'
+                   WHEN EXISTS (SELECT 1 FROM products p WHERE p.user_id = a.user_id AND list_contains(a.skus, p.sku)
+                        AND coalesce(sales_days, 0) < 450) THEN 'insufficient_history'
+                   WHEN user_id = 'r4' THEN 'no_run' ELSE 'ok' END AS outcome FROM asked a"""}
+
+
+def asked(s):
+    """Every upload as a request for its SKUs; some name an unknown one, some a horizon that is not offered."""
+    number = F.substring("request_id", 2, 20).cast("bigint")
+    rows = s.upload_rows().groupBy(F.col("upload_id").alias("request_id"), "user_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("row_no", "sku"))), lambda x: x["sku"]).alias("skus"))
+    return rows.withColumns({
+        "skus": F.concat("skus", F.when(number % 50 == 0, F.array(F.lit("Brand#99"))).otherwise(F.array().cast("array<string>"))),
+        "horizon": F.when(number % 4 == 0, 7).when(number % 4 == 1, 14).when(number % 4 == 2, 30).otherwise(21)})
+
+
+@query("forecast_requests", """
+    SELECT request_id, user_id, array_to_string(skus, ',') AS skus, horizon, outcome FROM judged""", ASKED)
+def _(s):
+    judged = serving.judge_requests(asked(s), s.products(), s.forecasts().filter("user_id <> 'r4'"), 450)
+    return judged.select("request_id", "user_id", F.array_join("skus", ",").alias("skus"), "horizon", "outcome")
+
+
+@query("forecast_responses", """
+    SELECT request_id, outcome, CASE WHEN outcome = 'ok' THEN model_run_id END AS model_run_id,
+           CASE WHEN outcome = 'ok' THEN generated_at END AS generated_at,
+           CASE WHEN outcome = 'ok' THEN len(skus) END AS series,
+           CASE WHEN outcome = 'ok' THEN (SELECT count(*) FROM signal_status) END AS feeds
+    FROM judged LEFT JOIN (SELECT user_id, arg_max(model_run_id, generated_at) AS model_run_id, max(generated_at) AS generated_at
+                           FROM served GROUP BY user_id) USING (user_id)""", ASKED)
+def _(s):
+    tables = {"products": s.products(), "forecasts": published(s).filter("user_id <> 'r4'"), "forecast_factors": factors(s),
+              "signal_status": s.signal_status()}
+    rows = serving.forecast_responses(asked(s), tables, s.as_of(), 450)
+    return rows.select("request_id", "outcome", "model_run_id", "generated_at", F.size("series").cast("bigint").alias("series"),
+                       F.size("signal_health").cast("bigint").alias("feeds"))
+
+
 @query("degraded_flag", """
     SELECT DISTINCT f.user_id, f.sku, f.model_version,
            (SELECT o FROM outage) OR starts_with(f.model_version, 'seasonal-naive') AS degraded FROM forecasts f""", NEWEST)

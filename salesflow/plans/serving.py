@@ -16,14 +16,6 @@ MAX_REQUESTED = 10
 ASIN_CAP = 10
 
 
-class RequestError(ValueError):
-    """A request that cannot be answered; ``status`` follows HTTP."""
-
-    def __init__(self, status: int, detail: str):
-        super().__init__(detail)
-        self.status, self.detail = status, detail
-
-
 def tenant_view(df: DataFrame, tenant: str, column: str = "user_id") -> DataFrame:
     """Rows of one tenant."""
     return df.filter(F.col(column) == tenant)
@@ -60,15 +52,15 @@ def current_points(forecasts: DataFrame, requests: DataFrame, as_of: Column) ->
 def series_flat(requests: DataFrame, forecasts: DataFrame, health: DataFrame, as_of: Column) -> DataFrame:
     """One row per requested series and forecast day; a series without points keeps one row.
 
-    ``requests``: user_id, position, sku, horizon.
+    ``requests``: user_id, position, sku, horizon, and whatever else tells requests apart.
     """
+    keys = [c for c in requests.columns if c != "horizon"]
     points = current_points(forecasts, requests, as_of).select(
-        *SERIES, "position", "forecast_date", "yhat", "yhat_lower", "yhat_upper", "model_version", "mape_backtest")
-    rows = requests.join(points, [*SERIES, "position"], "left").join(
-        latest_run(forecasts).select("user_id", "model_run_id"), "user_id")
+        *keys, "forecast_date", "yhat", "yhat_lower", "yhat_upper", "model_version", "mape_backtest")
+    rows = requests.join(points, keys, "left").join(latest_run(forecasts), "user_id")
     version = F.coalesce("model_version", F.lit(BASELINE))
     return rows.withColumn("_outage", any_degraded(health)).select(
-        "user_id", "position", "sku", "model_run_id", version.alias("model_version"), "mape_backtest",
+        *keys, "model_run_id", "generated_at", version.alias("model_version"), "mape_backtest",
         (F.col("_outage") | F.startswith(version, F.lit(BASELINE))).alias("degraded"),
         "forecast_date", "yhat", "yhat_lower", "yhat_upper")
 
@@ -79,10 +71,11 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
 
     Points of a series are bounded by the horizon and factors by five, so the arrays stay short.
     """
+    keys = [c for c in requests.columns if c != "horizon"]
     flat = series_flat(requests, forecasts, health, as_of)
     point = F.when(F.col("forecast_date").isNotNull(), F.struct(
         F.col("forecast_date").alias("date"), "yhat", "yhat_lower", "yhat_upper"))
-    series = flat.groupBy("user_id", "position", "sku", "model_run_id").agg(
+    series = flat.groupBy(*keys, "model_run_id", "generated_at").agg(
         F.max_by("model_version", "forecast_date").alias("_version"), F.max("model_version").alias("_any"),
         F.max_by("mape_backtest", "forecast_date").alias("mape_backtest"), F.bool_or("degraded").alias("degraded"),
         F.array_sort(F.collect_list(point)).alias("points"))
@@ -97,32 +90,46 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
     return series.join(lists, [*SERIES, "model_run_id"], "left")
 
 
-def forecasts(tables: dict[str, DataFrame], tenant: str, skus: list[str], horizon: int, as_of: Column) -> DataFrame:
-    """Series of up to ten SKUs of one tenant, in the requested order.
+def judge_requests(requests: DataFrame, products: DataFrame, forecasts: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> DataFrame:
+    """Requests (request_id, user_id, skus, horizon) with ``outcome`` and ``named``, the SKUs it is about.
 
-    The checks read at most ten product rows and one run row.
+    The outcome is ``ok`` or the first of: ``sku_count`` (blank ones left out, none or more than ten), ``horizon``,
+    ``sku_not_found``, ``insufficient_history``, ``no_run``. Only lists within the bound are taken apart.
+    """
+    asked = requests.withColumn("skus", F.filter(F.transform("skus", lambda c: F.trim(c)), lambda c: c != ""))
+    form = F.when(~F.size("skus").between(1, MAX_REQUESTED), "sku_count").when(~F.col("horizon").isin(*HORIZONS), "horizon")
+    asked = asked.withColumn("_form", form)
+    each = asked.filter("_form is null").select("request_id", "user_id", F.posexplode("skus").alias("_at", "sku"))
+    facts = each.join(products.select(*SERIES, F.coalesce("sales_days", F.lit(0)).alias("_days")), SERIES, "left")
+    named = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("_at", "sku")))), lambda x: x["sku"])
+    lacks = facts.groupBy("request_id").agg(
+        named(F.col("_days").isNull()).alias("_unknown"), named(F.col("_days") < min_days).alias("_short"))
+    ran = forecasts.select("user_id").distinct().withColumn("_ran", F.lit(True))
+    rows = asked.join(lacks, "request_id", "left").join(ran, "user_id", "left")
+    outcome = F.coalesce("_form", F.when(F.size("_unknown") > 0, "sku_not_found"), F.when(F.size("_short") > 0, "insufficient_history"),
+                         F.when(F.col("_ran").isNull(), "no_run"), F.lit("ok"))
+    return rows.select(
+        "request_id", "user_id", "skus", "horizon", outcome.alias("outcome"),
+        F.when(outcome == "sku_not_found", F.col("_unknown")).when(outcome == "insufficient_history", F.col("_short")).alias("named"))
+
+
+def forecast_responses(requests: DataFrame, tables: dict[str, DataFrame], as_of: Column, min_days: int = MIN_HISTORY_DAYS) -> DataFrame:
+    """One row per request: its outcome, and for good ones the run, when it was made, the series in the order asked for, and
+    the health of all feeds. Tables of other tenants take no part: every join is on the tenant.
     """
-    skus = [s.strip() for s in skus if s.strip()]
-    if not 1 <= len(skus) <= MAX_REQUESTED:
-        raise RequestError(400, "Provide between 1 and 10 SKUs")
-    if horizon not in HORIZONS:
-        raise RequestError(400, "horizon must be 7, 14, or 30")
-    own = {name: tenant_view(tables[name], tenant) for name in ("products", "forecasts", "forecast_factors")}
-    found = {r["sku"]: r["sales_days"] or 0
-             for r in own["products"].filter(F.col("sku").isin(skus)).select("sku", "sales_days").take(MAX_REQUESTED)}
-    missing = [s for s in skus if s not in found]
-    if missing:
-        raise RequestError(404, f"sku_not_found: {', '.join(missing)}")
-    short = [s for s in skus if found[s] < MIN_HISTORY_DAYS]
-    if short:
-        raise RequestError(409, f"insufficient_history: {', '.join(short)} — "
-                                f"minimum {MIN_HISTORY_DAYS} sales days required")
-    if own["forecasts"].isEmpty():
-        raise RequestError(404, "No forecasts yet — the nightly batch has not run for this account")
-    requests = own["products"].sparkSession.createDataFrame(
-        [(tenant, i, s, horizon) for i, s in enumerate(skus)], "user_id string, position int, sku string, horizon int")
-    return assemble_series(requests, own["forecasts"], own["forecast_factors"], tables["signal_status"], as_of).orderBy(
-        "position")
+    judged = judge_requests(requests, tables["products"], tables["forecasts"], min_days)
+    good = judged.filter("outcome = 'ok'").select(
+        "request_id", "user_id", "horizon", F.posexplode("skus").alias("position", "sku"))
+    series = assemble_series(good, tables["forecasts"], tables["forecast_factors"], tables["signal_status"], as_of)
+    answers = series.groupBy("request_id", "model_run_id", "generated_at").agg(F.array_sort(F.collect_list(F.struct(
+        "position", "sku", "model_version", "mape_backtest", "degraded", "points", F.coalesce(
+            "factors", F.array().cast(series.schema["factors"].dataType)).alias("factors")))).alias("series"))
+    status = tables["signal_status"]
+    known = {"signal": "string", "status": "string", "last_success_at": "timestamp", "quota_note": "string"}
+    fields = [(F.col(c) if c in status.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
+    feeds = status.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("h")).scalar()
+    return judged.select("request_id", "user_id", "outcome", "named").join(answers, "request_id", "left").withColumn(
+        "signal_health", F.when(F.col("outcome") == "ok", feeds))
 
 
 def search_products(products: DataFrame, text: str | None) -> DataFrame:
@@ -133,6 +140,8 @@ def search_products(products: DataFrame, text: str | None) -> DataFrame:
 def products(tables: dict[str, DataFrame], tenant: str, search: str | None = None, limit: int = 50,
              offset: int = 0) -> DataFrame:
     """One page of a tenant's products with has_forecast."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be between 1 and 200")
     own = search_products(tenant_view(tables["products"], tenant), search)
     shown = page(own, [F.col("sku")], offset, limit)
     return flag_exists(shown, tenant_view(tables["forecasts"], tenant), SERIES, "has_forecast").orderBy("sku")
@@ -148,6 +157,8 @@ def products_all(product_table: DataFrame, forecast_table: DataFrame, search: st
 def sales(tables: dict[str, DataFrame], tenant: str, sku: str, start: Column | None = None, end: Column | None = None,
           limit: int = 200) -> DataFrame:
     """Sales days of one product in a range, oldest first."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be between 1 and 1000")
     rows = tenant_view(tables["sales_daily"], tenant).filter(F.col("sku") == sku)
     return sales_between(rows, start, end).orderBy("date").limit(limit)
 
@@ -163,10 +174,15 @@ def sales_between(rows: DataFrame, start: Column | None = None, end: Column | No
 def uploads(tables: dict[str, DataFrame], tenant: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest uploads first."""
     if not 1 <= limit <= 200:
-        raise RequestError(400, "limit must be between 1 and 200")
+        raise ValueError("limit must be between 1 and 200")
     return page(tenant_view(tables["uploads"], tenant), [F.desc("created_at"), F.col("id")], offset, limit)
 
 
+def upload(tables: dict[str, DataFrame], tenant: str, upload_id: str) -> DataFrame:
+    """One upload of a tenant by id; no row when it is another tenant's."""
+    return tenant_view(tables["uploads"], tenant).filter(F.col("id") == upload_id)
+
+
 def calendar_list(tables: dict[str, DataFrame], tenant: str) -> DataFrame:
     return tenant_view(tables["calendar_events"], tenant).orderBy("start_date", "id")
 

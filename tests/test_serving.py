@@ -31,39 +31,45 @@ def tables(frame):
     }
 
 
-def test_only_the_newest_run_is_served(tables):
-    got = serving.forecasts(tables, "u1", ["MUG"], 7, as_of()).collect()
-    assert len(got) == 1 and [p["yhat"] for p in got[0]["points"]] == [42.0, 43.0]
-    assert got[0]["degraded"] is False and got[0]["model_version"] == "boosted:1" and got[0]["mape_backtest"] == 11.5
-    assert [f["factor"] for f in got[0]["factors"]] == ["f6", "f5", "f4", "f3", "f2"]
+def ask(frame, tables, *requests, **options):
+    rows = frame([(i, u, list(k), h) for i, (u, k, h) in enumerate(requests)], "request_id int, user_id string, skus array<string>, horizon int")
+    return {r["request_id"]: r for r in serving.forecast_responses(rows, tables, as_of(), **options).collect()}
 
 
-def test_requested_order_and_series_without_points(tables):
-    got = serving.forecasts(tables, "u1", ["TEE", "MUG"], 30, as_of()).collect()
-    assert [r["sku"] for r in got] == ["TEE", "MUG"]
-    assert got[0]["points"] == [] and got[0]["degraded"] is True and got[0]["model_version"] == "seasonal-naive"
-    assert len(got[1]["points"]) == 3
+def test_only_the_newest_run_is_served(tables, frame):
+    got = ask(frame, tables, ("u1", ["MUG"], 7))[0]
+    series = got["series"][0]
+    assert got["outcome"] == "ok" and got["generated_at"] is not None and [p["yhat"] for p in series["points"]] == [42.0, 43.0]
+    assert series["degraded"] is False and series["model_version"] == "boosted:1" and series["mape_backtest"] == 11.5
+    assert [f["factor"] for f in series["factors"]] == ["f6", "f5", "f4", "f3", "f2"]
+    assert [h["status"] for h in got["signal_health"]] == ["live"] * len(got["signal_health"]) != []
+
+
+def test_requested_order_and_series_without_points(tables, frame):
+    got = ask(frame, tables, ("u1", ["TEE", " ", "MUG"], 30), ("u1", ["MUG"], 7))
+    series = got[0]["series"]
+    assert [r["sku"] for r in series] == ["TEE", "MUG"] and len(got[1]["series"]) == 1
+    assert series[0]["points"] == [] and series[0]["degraded"] is True and series[0]["model_version"] == "seasonal-naive"
+    assert len(series[1]["points"]) == 3
 
 
 def test_outage_degrades(tables, frame):
     tables["signal_status"] = frame([("trends", "stale")], "signal string, status string")
-    assert serving.forecasts(tables, "u1", ["MUG"], 7, as_of()).first()["degraded"] is True
+    assert ask(frame, tables, ("u1", ["MUG"], 7))[0]["series"][0]["degraded"] is True
 
 
-@pytest.mark.parametrize("skus, horizon, status, text", [
-    ([], 7, 400, "between 1 and 10"), ([str(i) for i in range(11)], 7, 400, "between 1 and 10"), (["MUG"], 21, 400, "horizon"),
-    (["NOPE"], 7, 404, "sku_not_found: NOPE"), (["NEW"], 7, 409, "insufficient_history: NEW")])
-def test_refusals(tables, skus, horizon, status, text):
-    with pytest.raises(serving.RequestError) as caught:
-        serving.forecasts(tables, "u1", skus, horizon, as_of())
-    assert caught.value.status == status and text in caught.value.detail
+def test_refusals(tables, frame):
+    got = ask(frame, tables, ("u1", [], 7), ("u1", [str(i) for i in range(11)], 7), ("u1", ["MUG"], 21), ("u1", ["B", "MUG", "A"], 7),
+              ("u1", ["NEW", "MUG"], 7), ("u3", ["MUG"], 7))
+    assert [(got[i]["outcome"], got[i]["named"]) for i in range(6)] == [
+        ("sku_count", None), ("sku_count", None), ("horizon", None), ("sku_not_found", ["B", "A"]), ("insufficient_history", ["NEW"]),
+        ("sku_not_found", ["MUG"])]
+    assert all(r["series"] is None and r["signal_health"] is None for r in got.values())
 
 
-def test_no_run_yet(tables):
+def test_no_run_yet(tables, frame):
     tables["forecasts"] = tables["forecasts"].filter("user_id = 'u2'")
-    with pytest.raises(serving.RequestError) as caught:
-        serving.forecasts(tables, "u1", ["MUG"], 7, as_of())
-    assert caught.value.status == 404
+    assert ask(frame, tables, ("u1", ["MUG"], 7))[0]["outcome"] == "no_run"
 
 
 def test_products(tables):
@@ -77,13 +83,13 @@ def test_sales_range(tables):
     assert table(got, "date") == [("2026-07-03",), ("2026-07-04",), ("2026-07-05",), ("2026-07-06",)]
 
 
-def test_one_tenant_never_sees_another(tables):
+def test_one_tenant_never_sees_another(tables, frame):
     for name in ("products", "forecasts", "forecast_factors", "sales_daily"):
         seen = serving.tenant_view(tables[name], "u2").select("user_id").distinct().collect()
         assert [r[0] for r in seen] in ([], ["u2"])
     assert serving.sales(tables, "u2", "MUG").count() == 1
     assert serving.products(tables, "u2").count() == 1
-    assert serving.forecasts(tables, "u2", ["MUG"], 7, as_of()).first()["points"][0]["yhat"] == 7.0
+    assert ask(frame, tables, ("u2", ["MUG"], 7), min_days=0)[0]["series"][0]["points"][0]["yhat"] == 7.0
 
 
 def test_settings_patch_ignores_missing_values(frame):
