@@ -8,7 +8,9 @@ from salesflow.catalog.features import gold, rounded
 from salesflow.catalog.registry import query
 from salesflow.functions.scalars import batch_id, middle_of_three
 from salesflow.operators import calendar
+from salesflow.operators.keyed import top_n
 from salesflow.plans import baseline, factors, forecast, selection
+from salesflow.plans.nightly import run_summary
 from salesflow.schemas import FEATURES, MOMENTUM_FEATURES, SERIES
 
 BANDS = ["yhat", "yhat_lower", "yhat_upper"]
@@ -180,8 +182,6 @@ def _(s):
     SELECT user_id, sku, factor, round(CAST(importance AS DOUBLE), 4) AS importance, CAST(rank AS INTEGER) AS rank
     FROM top5""", TOP)
 def _(s):
-    from salesflow.operators.keyed import top_n
-
     shown = importances(s).filter((F.col("importance") > 0) & ~F.col("factor").isin(MOMENTUM_FEATURES))
     ranked = top_n(shown, SERIES, [F.desc("importance"), factors.feature_position(F.col("factor"))], 5, "rank")
     return rounded(ranked, "importance")
@@ -313,7 +313,8 @@ def _(s):
            coalesce(event_count, 0) AS event_count, coalesce(large_event_count, 0) AS large_event_count
     FROM grid g JOIN tails USING (user_id, sku) LEFT JOIN carried c USING (user_id, date)""", GRID)
 def _(s):
-    days = grid(s).join(forecast.history_arrays(daily(s)), SERIES)
+    tails = forecast.history_arrays(daily(s)).withColumn("history", forecast.tail(F.col("history"), 28))
+    days = grid(s).join(tails, SERIES)
     return rounded(forecast.inference_rows(days, context(s)), "roll_mean_7", "roll_mean_28")
 
 
@@ -389,6 +390,4 @@ def _(s):
     SELECT model_run_id AS batch, 'ok' AS status, count(DISTINCT (user_id, sku)) AS skus, count(*) AS forecasts
     FROM forecasts GROUP BY model_run_id""")
 def _(s):
-    from salesflow.plans.nightly import run_summary
-
     return run_summary(s.forecasts()).drop("factors")

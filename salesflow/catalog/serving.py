@@ -224,10 +224,10 @@ def _(s):
 
 
 @query("page_scan", """
-    SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 1000 OFFSET 1000""")
+    SELECT event_id, ts, event_type, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS page FROM events""")
 def _(s):
-    rows = s.table("events").select("event_id", "ts", "event_type")
-    return keyed.page(rows, [F.col("event_id")], offset=1000, limit=1000)
+    """All pages of the table."""
+    return keyed.pages(s.table("events").select("event_id", "ts", "event_type"), ["event_id"], 1000)
 
 
 @query("ordered_lists", "SELECT user_id, label, start_date, end_date FROM calendar_events ORDER BY start_date, id")

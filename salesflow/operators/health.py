@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salesflow.functions.scalars import clean, seconds
-from salesflow.operators.keyed import latest, top_n
+from salesflow.operators.keyed import latest
 from salesflow.schemas import FEED_LIMITS, OFF_BY_DEFAULT, SIGNALS
 
 HOUR = 3600.0
@@ -94,11 +94,10 @@ def country_codes(profiles: DataFrame) -> DataFrame:
     return profiles.select("country_code").filter("country_code <> ''").distinct().orderBy("country_code")
 
 
-def category_keywords(products: DataFrame, k: int = 1) -> DataFrame:
-    """Up to ``k`` search keywords per tenant and category: the trimmed category itself."""
+def category_keywords(products: DataFrame) -> DataFrame:
+    """The search keyword of each tenant and category: the trimmed category itself."""
     keyed = products.select("user_id", clean(F.col("category")).alias("category")).filter("category <> ''").distinct()
-    rows = keyed.withColumn("keyword", F.col("category"))
-    return top_n(rows, ["user_id", "category"], [F.col("keyword")], k)
+    return keyed.withColumn("keyword", F.col("category"))
 
 
 def seed_settings(tenants: DataFrame, settings: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from salesflow.session import materialize
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row per key, missing order values lowest.
@@ -16,9 +18,21 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return newest.select(*[F.col(c) if c in keys else F.col(f"_newest.{c}").alias(c) for c in df.columns])
 
 
+GROUP_LIMIT = 1000  # Spark cuts groups ahead of the shuffle up to this rank
+PARTS = 32
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, position: str | None = None) -> DataFrame:
-    """First ``n`` rows per key; the rank filter lets Spark cut groups before the shuffle."""
+    """First ``n`` rows per key.
+
+    Up to GROUP_LIMIT the rank filter lets Spark cut groups before the shuffle. Beyond it the first rows of each of
+    PARTS parts of a group are found first, so that the last step reads at most PARTS * n rows of a key.
+    """
     name = position or "_position"
+    if n > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        heads = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_head", F.row_number().over(heads)).filter(F.col("_head") <= n).drop("_part", "_head")
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     return ranked if position else ranked.drop(name)
@@ -29,6 +43,22 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def pages(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Every row of an ordered table with its ``page``, counted from 0, for a reader that fetches them all.
+
+    Rows are dealt into ranges of the order and numbered within each; the ranges' row counts give the first number of each.
+    ``order`` must tell rows apart.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    at = F.col("_first") + F.row_number().over(within) - 1
+    return ranged.join(firsts, "_range").select(*df.columns, F.floor(at / size).alias("page"))
+
+
 def page_per_key(df: DataFrame, keys: list[str], order: list[Column], offset: int = 0, limit: int = 50) -> DataFrame:
     """The same page for every key at once."""
     kept = top_n(df, keys, order, offset + limit, position="position")

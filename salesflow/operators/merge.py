@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salesflow.functions.scalars import batch_id
-from salesflow.operators.keyed import latest
+from salesflow.operators.keyed import latest, top_n
+from salesflow.sources.layers import exists
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -51,8 +52,6 @@ def keep_runs(df: DataFrame, n: int = 7) -> DataFrame:
 
     Runs are ranked on their distinct list, not on the forecast rows.
     """
-    from salesflow.operators.keyed import top_n
-
     runs = df.groupBy("user_id", "model_run_id").agg(F.max("generated_at").alias("generated_at"))
     kept = top_n(runs, ["user_id"], [F.desc("generated_at"), F.desc("model_run_id")], n)
     return df.join(kept.select("user_id", "model_run_id"), ["user_id", "model_run_id"], "left_semi")
@@ -64,15 +63,13 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
 
     ``partition`` must be one of the keys, so that a key never changes its partition.
     """
-    from salesflow.sources.layers import exists
-
     if partition not in keys:
         raise ValueError("the partition column must be part of the key")
     if order:
         updates = latest(updates, keys, order)
     if exists(spark, path):
         touched = updates.select(partition).distinct()
-        stored = spark.read.parquet(path)
+        stored = spark.read.schema(updates.schema).parquet(path).select(*updates.columns)
         updates = upsert(stored.join(touched, partition, "left_semi").select(*stored.columns), updates, keys)
     # Rebalanced files: small partitions share a task, a large one is split over several.
     updates.hint("rebalance", partition).write.mode("overwrite").option(

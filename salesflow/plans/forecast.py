@@ -51,13 +51,18 @@ def with_history(models: DataFrame, history: DataFrame) -> DataFrame:
     return models.join(history, SERIES)
 
 
+def tail(history: Column, n: int) -> Column:
+    """The last ``n`` values of an array."""
+    return F.slice(history, F.greatest(F.size(history) - n + 1, F.lit(1)), F.lit(n))
+
+
 def inference_features(history: Column, date: str = "date") -> dict[str, Column]:
     """Momentum features read off the end of a history array."""
     out = {f"lag_{n}": F.try_element_at(history, F.lit(-n)) for n in LAGS}
     for n in ROLLS:
-        tail = F.slice(history, F.greatest(F.size(history) - n + 1, F.lit(1)), F.lit(n))
-        total = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)
-        out[f"roll_mean_{n}"] = F.try_divide(total, F.size(tail))
+        last = tail(history, n)
+        total = F.aggregate(last, F.lit(0.0), lambda a, x: a + x)
+        out[f"roll_mean_{n}"] = F.try_divide(total, F.size(last))
     return out
 
 

@@ -140,7 +140,7 @@ def residual_bands(fitted: Fitted, rows: DataFrame) -> DataFrame:
     """Residual quantiles per series, in units of its level, with its scale."""
     residual = F.col("target") - F.col("prediction")
     return fitted.transform(rows).groupBy(*SERIES).agg(
-        F.percentile_approx(residual, list(QUANTILES), 1000).alias("_q"), F.first("scale").alias("scale")).select(
+        F.percentile(residual, F.array(*map(F.lit, QUANTILES))).alias("_q"), F.first("scale").alias("scale")).select(
         *SERIES, "scale", F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q_high"))
 
 

@@ -58,7 +58,7 @@ def merge_health(reports: DataFrame, table: str) -> None:
     spark = reports.sparkSession
     rows = latest(reports, ["signal"], ["reported_at"])
     if exists(spark, table):
-        stored = spark.read.parquet(table).select(*reports.columns)
+        stored = spark.read.schema(reports.schema).parquet(table).select(*reports.columns)
         rows = latest(stored.unionByName(rows), ["signal"], ["reported_at"])
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("signal").parquet(table)
 

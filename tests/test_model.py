@@ -2,11 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import table
+from series import daily_sales
 from salesflow.operators import features, silver
 from salesflow.plans import model, nightly, selection
 from salesflow.schemas import FEATURES, SERIES
 from salesflow.session import materialize
-from salesflow.sources.demo import demo_sales
 from salesflow.sources.layers import read_layer
 
 DAY = "2026-07-26"
@@ -22,7 +22,7 @@ def products(frame, n=4):
 def ranked(spark):
     goods = spark.createDataFrame([(f"u{i % 2}", f"P{i}", "Mug", 20.0 + 10 * i) for i in range(4)],
                                   "user_id string, sku string, product_name string, base double")
-    daily = silver.flag_gaps(silver.enforce_types(demo_sales(goods, F.lit(DAY).cast("date"), 400)))
+    daily = silver.flag_gaps(silver.enforce_types(daily_sales(goods, F.lit(DAY).cast("date"), 400)))
     gold = features.gold_features(daily)
     extra = [c for c in gold.columns if c not in (*SERIES, "date", "quantity")]
     return materialize(selection.split_holdout(gold, extra=extra).drop("holdout"), "ranked")
@@ -109,7 +109,7 @@ def test_model_is_saved_and_loaded(ranked, spark):
 
 
 def test_whole_nightly_run(spark, frame):
-    sales = demo_sales(products(frame), F.lit(DAY).cast("date"), 150).withColumn("ingested_at", F.lit(DAY).cast("timestamp")) \
+    sales = daily_sales(products(frame), F.lit(DAY).cast("date"), 150).withColumn("ingested_at", F.lit(DAY).cast("timestamp")) \
         .withColumn("seq", F.monotonically_increasing_id())
     days = sales.select("user_id", "date").distinct()
     stamped = days.withColumns({"ingested_at": F.lit(DAY).cast("timestamp"), "seq": F.lit(1)})

@@ -1,8 +1,10 @@
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from conftest import table
-from salesflow.operators import features, silver
+from salesflow.operators import features, keyed, silver
 from salesflow.operators.keyed import latest
 
 SALES = ("user_id string, sku string, date date, quantity double, revenue double, price double, promo_flag boolean, "
@@ -134,3 +136,18 @@ def test_gold_schema(frame):
     want = spark.createDataFrame([], GOLD_FEATURES).schema
     got = features.gold_features(series(frame)).schema
     assert [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in want]
+
+
+def test_top_n_beyond_the_group_limit(spark):
+    rows = spark.range(9000).selectExpr("case when id % 9 = 0 then 'b' else 'a' end as k", "id * 7919 % 9001 as v")
+    got = keyed.top_n(rows, ["k"], [F.col("v")], 1500, "at")
+    plain = sorted(r.v for r in rows.filter("k = 'a'").collect())[:1500]
+    assert sorted(r.v for r in got.filter("k = 'a'").collect()) == plain and got.filter("k = 'b'").count() == 1000
+    assert got.columns == ["k", "v", "at"]
+
+
+def test_pages_cover_every_row(spark):
+    rows = spark.range(2500).selectExpr("id * 7919 % 9001 as v")
+    got = keyed.pages(rows, ["v"], 100).collect()
+    order = sorted(r.v for r in got)
+    assert len(order) == 2500 and all(order.index(r.v) // 100 == r.page for r in got[:200])
