@@ -139,7 +139,7 @@ def _(s):
     tenants = s.profiles().select(F.col("id").alias("user_id"), "country_code")
     # A country has many tenants and few holidays: dates are dealt into parts, so that a country is not one task.
     part = F.pmod(F.xxhash64("date"), F.lit(16))
-    spread = tenants.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("bigint"))
+    spread = tenants.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     holidays = s.holidays().withColumn("_part", part).join(spread, ["country_code", "_part"]).select("user_id", F.lit("holiday").alias("label"), "date")
     ranges = s.calendar_events().select("user_id", "label", F.col("start_date").alias("date"))
     return ranges.unionByName(holidays)
