@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from salesflow.catalog.registry import query
 from salesflow.operators import health
+from salesflow.session import scratch_path
 from salesflow.sources import envelopes, feeds
+from salesflow.sources.layers import append_bronze
 
 ROWS_PER_BODY = 20
 
@@ -155,7 +157,9 @@ def _(s):
         "user_id", "country_code", F.concat(F.lit("S"), (F.col("k") % 4).cast("string")).alias("series"), "value",
         F.col("value").alias("temp_avg"), F.col("k").alias("interest")))
     rows = s.signals().select("source", F.col("date").alias("observed_at"), "ingested_at", payload.alias("payload"))
-    parts = envelopes.split_signals(rows)
+    path = scratch_path(s.spark, "bronze")
+    append_bronze(rows.withColumn("observed_at", F.col("observed_at").cast("date")), path, "ingested_at")
+    parts = envelopes.split_signals(s.spark.read.schema(rows.schema).parquet(path))
     shown = [("weather", "user_id", "temp_avg"), ("trends", "user_id", "interest"), ("holidays", "country_code", None),
              ("events", "user_id", None), ("macro", "series", "value")]
     out = None

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salesflow.functions.scalars import batch_id
 from salesflow.operators.keyed import latest, top_n
-from salesflow.sources.layers import exists
+from salesflow.session import discard, materialize
+from salesflow.sources.layers import drop_partition, exists
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -74,3 +75,26 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     # Rebalanced files: small partitions share a task, a large one is split over several.
     updates.hint("rebalance", partition).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def delete_table(spark: SparkSession, path: str, schema: str, partition: str, condition: Column) -> None:
+    """Delete the rows of a stored table that meet ``condition``; only partitions that hold such rows are touched.
+
+    A partition that loses all its rows is removed, others are rewritten. The list of partitions is the table's own;
+    rows stay on the executors. Repeating a delete changes nothing.
+    """
+    if not exists(spark, path):
+        return
+    stored = spark.read.schema(schema).parquet(path)
+    gone = F.coalesce(condition, F.lit(False))
+    touched = stored.groupBy(partition).agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("kept")).filter("gone > 0")
+    touched = materialize(touched, "touched")
+    rewritten = touched.filter("kept > 0").select(partition)
+    if not rewritten.isEmpty():
+        # Written aside first: a table cannot be read and replaced in one go.
+        kept = materialize(stored.join(rewritten, partition, "left_semi").filter(~gone).select(*stored.columns), "kept")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        discard(kept)
+    for row in touched.filter("kept = 0").select(F.col(partition).cast("string")).toLocalIterator():
+        drop_partition(spark, path, partition, row[0])
+    discard(touched)

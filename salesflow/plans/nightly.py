@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from salesflow.functions.scalars import batch_id
 from salesflow.operators import calendar, features, merge, silver
 from salesflow.plans import baseline, factors, forecast, model, selection
-from salesflow.schemas import SERIES
+from salesflow.schemas import BRONZE, CALENDAR_EVENTS, FORECAST_FACTORS, FORECASTS, PROFILES, SALES_RAW, SERIES
 from salesflow.session import materialize
+from salesflow.sources.envelopes import split_signals
+from salesflow.sources.layers import exists, lookback, read_layer
 
 HORIZON = 30
 RUN_RETENTION_DAYS = 7
@@ -39,6 +41,7 @@ class Outputs:
     forecasts: DataFrame
     factors: DataFrame
     summary: DataFrame
+    model: model.Fitted | None = None
 
 
 def train(gold: DataFrame, run_id: Column, trained_at: Column, estimator: model.Estimator | None = None,
@@ -97,24 +100,80 @@ def run(inputs: Inputs, as_of: Column, horizon: int = HORIZON, estimator: model.
     points = forecast.dispatch(metrics, baseline.history_stats(daily), start, horizon, boosted)
     forecasts = materialize(forecast.forecast_rows(points, metrics, run_id, stamp), "forecasts")
     shown = forecast.factor_rows(metrics, run_id)
-    return Outputs(gold, metrics, forecasts, shown, run_summary(forecasts, shown))
+    return Outputs(gold, metrics, forecasts, shown, run_summary(forecasts, shown, run_id), final.fitted)
 
 
 def publish(spark: SparkSession, outputs: Outputs, root: str) -> None:
-    """Upsert a run into the serving tables; a repeated run replaces itself."""
+    """Upsert a run into the serving tables and keep its model; a repeated run replaces itself."""
     merge.upsert_table(spark, f"{root}/forecasts", outputs.forecasts,
                        ["user_id", "sku", "forecast_date", "model_run_id"], "model_run_id")
     merge.upsert_table(spark, f"{root}/forecast_factors", outputs.factors,
                        ["user_id", "sku", "model_run_id", "factor"], "model_run_id")
-    outputs.metrics.write.mode("overwrite").parquet(f"{root}/gold_model_metrics")
+    path = F.lit(None).cast("string")
+    if outputs.model is not None and hasattr(outputs.model, "save"):
+        folder = f"{root}/models/{outputs.summary.first()['batch']}"
+        outputs.model.save(folder)
+        path = F.when(F.col("chosen") == selection.BOOSTED, folder)
+    outputs.metrics.withColumn("artifact_path", path).write.mode("overwrite").parquet(f"{root}/gold_model_metrics")
 
 
-def run_summary(forecasts: DataFrame, factors: DataFrame | None = None) -> DataFrame:
-    """One row per batch: status, series, forecast rows and factor rows."""
+def run_summary(forecasts: DataFrame, factors: DataFrame | None = None, run_id: Column | None = None) -> DataFrame:
+    """One row per batch: status, series, forecast rows and factor rows. ``run_id`` has its row, ``empty``, without any."""
     done = forecasts.groupBy(F.col("model_run_id").alias("batch")).agg(
         F.lit("ok").alias("status"), F.count_distinct("user_id", "sku").alias("skus"),
         F.count(F.lit(1)).alias("forecasts"))
+    if run_id is not None:
+        batch = forecasts.sparkSession.range(1).select(run_id.alias("batch"))
+        done = batch.join(done, "batch", "full").select(
+            "batch", F.coalesce("status", F.lit("empty")).alias("status"), *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("skus", "forecasts")])
     if factors is None:
         return done.withColumn("factors", F.lit(0).cast("bigint"))
     shown = factors.groupBy(F.col("model_run_id").alias("batch")).agg(F.count(F.lit(1)).alias("factors"))
     return done.join(shown, "batch", "left").withColumn("factors", F.coalesce("factors", F.lit(0)))
+
+
+def stored_inputs(spark: SparkSession, root: str, as_of: Column, days: int = SIGNAL_LOOKBACK_DAYS) -> Inputs:
+    """Inputs of a run from stored tables: sales_daily, signal_events (Bronze, the last ``days``), profiles, calendar_events."""
+
+    def table(name: str, schema: str) -> DataFrame:
+        return read_layer(spark, f"{root}/{name}", schema)
+
+    parts = split_signals(lookback(table("signal_events", BRONZE), as_of, days), ["seq"])
+    stamp = ["ingested_at", "seq"]
+    return Inputs(
+        sales=table("sales_daily", SALES_RAW), profiles=table("profiles", PROFILES), breaks=table("calendar_events", CALENDAR_EVENTS),
+        holidays=parts["holidays"].select("country_code", "date").distinct(),
+        weather=parts["weather"].select("user_id", "date", "temp_avg", "precip_mm", *stamp),
+        trends=parts["trends"].select("user_id", "date", "interest", *stamp),
+        events=parts["events"].select("user_id", "date", "event_id", "category", "large_venue", *stamp),
+        sales_order=stamp, signal_order=stamp)
+
+
+def run_stored(spark: SparkSession, root: str, as_of: Column, horizon: int = HORIZON, estimator: model.Estimator | None = None) -> DataFrame:
+    """A whole run over the tables under ``root``: forecasts, factors, metrics and model published, old rows pruned.
+
+    Returns the summary, with status ``empty`` where there are no sales or no tenants.
+    """
+    inputs = stored_inputs(spark, root, as_of)
+    if inputs.sales.isEmpty() or inputs.profiles.isEmpty():
+        none = spark.createDataFrame([], FORECASTS)
+        return run_summary(none, None, batch_id(as_of))
+    outputs = run(inputs, as_of, horizon, estimator)
+    publish(spark, outputs, root)
+    prune(spark, root, as_of)
+    return outputs.summary
+
+
+def prune(spark: SparkSession, root: str, as_of: Column) -> None:
+    """Keep a week of runs and the signals within the lookback."""
+    week = as_of.cast("timestamp") - F.expr(f"interval {RUN_RETENTION_DAYS} days")
+    merge.delete_table(spark, f"{root}/forecasts", FORECASTS, "model_run_id", F.col("generated_at") < week)
+    merge.delete_table(spark, f"{root}/forecast_factors", FORECAST_FACTORS, "model_run_id",
+                       F.col("model_run_id") < batch_id(F.date_sub(as_of, RUN_RETENTION_DAYS)))
+    old = as_of.cast("timestamp") - F.expr(f"interval {SIGNAL_LOOKBACK_DAYS} days")
+    if exists(spark, f"{root}/signal_events"):
+        stored = f"{root}/signal_events"
+        sources = [r.source for r in spark.read.schema(BRONZE).parquet(stored).select("source").distinct().collect()]  # the feeds
+        for source in sources:
+            merge.delete_table(spark, f"{stored}/source={source}", BRONZE.replace("source string, ", "") + ", observed_date date",
+                               "observed_date", F.col("ingested_at") < old)

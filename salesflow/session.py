@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="salesflow-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 

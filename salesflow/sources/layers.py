@@ -18,10 +18,18 @@ def read_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def drop_partition(spark: SparkSession, path: str, partition: str, value: str | None) -> None:
+    """Remove the folder of one partition value."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    name = "__HIVE_DEFAULT_PARTITION__" if value is None else escape(value)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def append_bronze(df: DataFrame, path: str, day: str = "observed_at") -> None:
-    """Append envelopes, one folder per observed day."""
+    """Append envelopes, one folder per source and observed day, so that a reader of one source opens its files only."""
     df.withColumn("observed_date", F.col(day).cast("date")).write.mode("append").partitionBy(
-        "observed_date").parquet(path)
+        "source", "observed_date").parquet(path)
 
 
 def overwrite_layer(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -5,9 +5,9 @@ from conftest import table
 from series import daily_sales
 from salesflow.operators import features, silver
 from salesflow.plans import model, nightly, selection
-from salesflow.schemas import FEATURES, SERIES
+from salesflow.schemas import FEATURES, SALES_RAW, SERIES
 from salesflow.session import materialize
-from salesflow.sources.layers import read_layer
+from salesflow.sources.layers import append_bronze, read_layer
 
 DAY = "2026-07-26"
 SMALL = model.BoostedTrees(trees=8, depth=4)
@@ -135,3 +135,28 @@ def test_whole_nightly_run(spark, frame):
         nightly.publish(spark, outputs, root)
     assert spark.read.parquet(f"{root}/forecasts").count() == 120
     assert read_layer(spark, f"{root}/gold_model_metrics", "user_id string, sku string, chosen string").count() == 4
+
+
+def test_run_over_stored_tables(spark, frame, tmp_path):
+    root, as_of = str(tmp_path / "tables"), F.lit(DAY).cast("date")
+    assert nightly.run_stored(spark, root, as_of).first().asDict() == {
+        "batch": "nightly-20260726", "status": "empty", "skus": 0, "forecasts": 0, "factors": 0}
+    sales = daily_sales(products(frame), as_of, 120).withColumn("ingested_at", as_of.cast("timestamp")).withColumn("seq", F.xxhash64("sku", "date"))
+    sales.select(*[c.split()[0] for c in SALES_RAW.split(", ")]).write.parquet(f"{root}/sales_daily")
+    frame([("u0", "US"), ("u1", "US")], "id string, country_code string").write.parquet(f"{root}/profiles")
+    signals = frame([("weather", "u0", "2026-07-20", "2026-07-20", '{"user_id":"u0","temp_avg":21.5}', 1),
+                     ("weather", "u0", "2025-01-01", "2025-01-01", '{"user_id":"u0","temp_avg":1.0}', 2),
+                     ("holidays", "US", "2026-07-04", "2026-07-01", '{"country_code":"US"}', 3)],
+                    "source string, entity_key string, observed_at date, ingested_at timestamp, payload string, seq bigint")
+    append_bronze(signals.withColumn("schema_version", F.lit(1)), f"{root}/signal_events")
+    inputs = nightly.stored_inputs(spark, root, as_of)
+    assert table(inputs.weather, "date", "temp_avg") == [("2026-07-20", 21.5)] and inputs.holidays.count() == 1
+    old = frame([("u0", "P0", "2026-07-02", "nightly-20260701", "2026-07-01")],
+                "user_id string, sku string, forecast_date date, model_run_id string, generated_at timestamp")
+    old.write.partitionBy("model_run_id").parquet(f"{root}/forecasts")
+    summary = nightly.run_stored(spark, root, as_of, 7, model.BoostedTrees(trees=2, depth=2)).first()
+    assert (summary["status"], summary["skus"], summary["forecasts"]) == ("ok", 4, 28)
+    assert table(spark.read.parquet(f"{root}/forecasts").select("model_run_id").distinct()) == [("nightly-20260726",)]
+    assert table(spark.read.parquet(f"{root}/signal_events"), "seq") == [(1,), (3,)]
+    paths = spark.read.parquet(f"{root}/gold_model_metrics").filter("chosen = 'boosted'").select("artifact_path").distinct().collect()
+    assert all(model.FittedTrees.load(r[0]).importances() for r in paths)
