@@ -41,6 +41,7 @@ OUT_TAGS = frozenset("nav footer aside form menu dialog head title".split())
 OUT_WORDS = re.compile(r"(?:^|[^a-z])(?:nav\w*|menu\w*|footer|sidebar|side|aside|ads?|adv\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|"
                        r"notification|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|comments?|comment\w*|repl(?:y|ies)|respond|discuss\w*|"
                        r"related|recommend\w*|breadcrumbs?|pagination|pager|login|signup|search|widget|masthead|disclaimer|complementary|contentinfo|navigation)(?:[^a-z]|$)")
+STATE = re.compile(r"(?:has|with|without|no|is|show|hide)[-_]", re.I)  # class names that tell of a page, not of an element
 MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post|entry|story|main|content)(?:[^a-z]|$)")
 
 
@@ -101,7 +102,8 @@ def parsed(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             stack.append((name, ""))
             continue
         flush()
-        marks = [re.sub(r"\d+", "", w.lower()) for m in NAMED.finditer(token[4]) for w in (m[2] or m[3] or m[4] or "").split()] if "=" in token[4] else []
+        marks = [re.sub(r"\d+", "", w.lower()) for m in NAMED.finditer(token[4]) for w in (m[2] or m[3] or m[4] or "").split()
+                 if not STATE.match(w)] if "=" in token[4] else []
         if not token[4].rstrip().endswith("/"):
             stack.append((name, ".".join([name, *sorted(set(marks))[:4]])))
     buffer.append(page[at:].partition("<")[0] if page[at:].startswith("<") else page[at:])
@@ -190,6 +192,8 @@ def tree_of(blocks: list[tuple[tuple[str, ...], str, int]]) -> list:
 
 def left_out(label: str, in_main: bool) -> bool:
     tag, _, marks = label.partition(".")
+    if tag in ("html", "body", "main", "article"):
+        return in_main and tag != "main" and bool(OUT_WORDS.search(marks))  # a reader's comment may be an article inside one
     return tag in OUT_TAGS or (tag == "header" and not in_main) or bool(marks and OUT_WORDS.search(marks))
 
 

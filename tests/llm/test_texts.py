@@ -125,6 +125,16 @@ def test_page_text():
     assert [t for p, t, _ in parsed(PAGE % "") if "/".join(p) in slots] == ["Head & more", "One bold text.", "Two <x>", "i1", "i2"]
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><article class="post no-comments"><p>x</p><article class="comment"><p>said</p></article></article></body>',
+    '<body><div class="sidebar">s</div><div id="content" class="with-ads"><p>x</p><div class="ad-box">buy</div></div></body>',
+    '<body><ul class="menu"><li><a href=a>long menu entry</a></ul><div><p>x</p></div><div class="newsletter">mail us every day</div></body>'])
+def test_page_layouts(page):
+    blocks = parsed(page)
+    slots = set(article_slots(tree_of(blocks)))
+    assert [t for p, t, _ in blocks if "/".join(p) in slots] == ["x"]
+
+
 def test_wrapper_generalises():
     pages = ["<body><div class=x><p>a</p><p>b</p></div></body>", "<body><div class=x><h1>t</h1><p>c</p></div></body>"]
     a, b = (tree_of(parsed(p)) for p in pages)
