@@ -4,12 +4,15 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import entry, oracle_sql, queries
+from salesflow.catalog.registry import ORACLES, QUERIES
+from salesflow.schemas import FEATURES
 from tools.check import canon, rows_of, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
-HEAVY = {"nightly_run", "recursive_forecast", "quantile_forecast", "feature_importance"}
-COMPARED = sorted(oracle_sql())
+COMPARED = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
 
@@ -33,9 +36,27 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(df.toArrow()) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(COMPARED) - HEAVY))
-def test_query_without_sql_runs(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
+@pytest.mark.parametrize("name, keys", [
+    ("quantile_forecast", ["user_id", "sku", "date"]), ("recursive_forecast", ["user_id", "sku"]),
+    ("nightly_run", ["user_id", "sku", "forecast_date", "model_run_id"])])
+def test_forecasts_have_one_ordered_band_a_day(spark, name, keys):
+    """Model values have no SQL; what must hold of any of them does."""
+    rows = queries()[name](spark, FOLDER)
+    day = next(c for c in rows.columns if c in ("date", "forecast_date"))
+    keys = list(dict.fromkeys([*keys, day]))
+    rows = rows.select(*keys, *[F.col(c).cast("double") for c in ("yhat", "yhat_lower", "yhat_upper")]).toPandas()
+    assert len(rows) and not rows.duplicated(keys).any()
+    assert ((0 <= rows.yhat_lower) & (rows.yhat_lower <= rows.yhat) & (rows.yhat <= rows.yhat_upper)).all()
+
+
+def test_importances_are_shares_of_all_features(spark):
+    rows = queries()["feature_importance"](spark, FOLDER)
+    per = rows.groupBy("user_id", "sku").agg(F.sum("importance").alias("all"), F.collect_set("factor").alias("f")).collect()
+    assert per and all(abs(r["all"] - 1) < 1e-6 and set(r["f"]) == set(FEATURES) for r in per)
+
+
+def test_queries_without_sql_are_the_models():
+    assert set(QUERIES) - set(ORACLES) == {"nightly_run", "recursive_forecast", "quantile_forecast", "feature_importance"}
 
 
 def test_every_oracle_has_a_query():
