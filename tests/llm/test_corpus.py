@@ -14,6 +14,7 @@ from salesflow.llm.mixture import mix, split
 from salesflow.llm.near_dup import near_duplicates
 from salesflow.llm.queries import ORACLES, QUERIES
 from salesflow.llm.suffix_levels import Index, remove_repeats
+from tools.check import rows_of, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -194,6 +195,15 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
             assert stage(spark, odd, folder).count() <= len(ODD) + 2 and stage(spark, odd.limit(0), folder).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    for file in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{FOLDER}/{file}'")
+    assert rows_of(QUERIES[name](spark, FOLDER).toArrow()) == rows_of(sql_rows(con, ORACLES[name]))
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_covers_its_table(spark, name):
