@@ -252,3 +252,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     comp = F.when(F.col("k").isNotNull(), F.coalesce("comp", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.coalesce(F.col("k") == comp, F.lit(True)).alias("kept"))
+
+
+# The same on DuckDB, with all shared shingles counted; for small tables.
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach (a, b) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least_of AS (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id, coalesce(least_id, doc_id) = doc_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""

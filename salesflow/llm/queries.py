@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from salesflow.llm import decontaminate as decon
+from salesflow.llm import decontaminate as decon, near_dup
 from salesflow.llm.html_wrapper import extract
 from salesflow.llm.kneser_ney import quality_scores
 from salesflow.llm.mixture import mix
-from salesflow.llm.near_dup import near_duplicates
 from salesflow.llm.pii import pii_report
 from salesflow.llm.quality_rules import quality_rules
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -45,9 +44,9 @@ def op4(spark, folder):
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op5_near_duplicates")
+@query("op5_near_duplicates", near_dup.SQL)
 def op5(spark, folder):
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
 
 
 @query("op8_decontaminate", decon.SQL)
