@@ -1,5 +1,9 @@
 """Interpolated modified Kneser-Ney model of characters, trained on trusted texts, one model a language.
 
+Trusted texts: the ids that the labels trust set bits in a bitmap of fixed size (2 MB whatever their number), which lets
+tasks pass over most other texts before those that are left meet the exact ids in a join; a full bitmap would pass more texts
+and change nothing.
+
 Counts: each task counts the n-grams of its texts (orders 1 to ORDER, padded at both ends), counts are added up by
 n-gram. Orders below the highest count the different symbols seen to their left instead. Discounts D1, D2, D3+ come from the
 counts of counts of each language and order. All of that is joins and sums over n-gram tables on the executors.
@@ -29,6 +33,7 @@ from salesflow.session import materialize
 ORDER, QUANTILE, SLACK = 4, 0.99, 1.05
 SHARD_ROWS = 1_000_000
 SLICE_CHARS = 1 << 20
+BITS, BUCKET = 24, 32768  # of the bitmap; bits in a row of Spark's bitmap aggregate
 START, END, DIGIT, SPACE = 1, 2, 3, 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,6 +92,25 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, rows, texts
 
 
+def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """Rows of docs (k, t, lang) whose id is in ``good`` (k)."""
+    bit = F.pmod(F.xxhash64("k"), F.lit(1 << BITS))
+    rows = good.groupBy(F.floor(bit / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(bit % BUCKET).alias("part")).collect()
+    marks = np.zeros(1 << BITS >> 3, np.uint8)  # at most 2 ** BITS bits
+    for r in rows:
+        marks[r.bucket * BUCKET // 8:(r.bucket + 1) * BUCKET // 8] = np.frombuffer(r.part, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(marks.tobytes())
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            bits = batch.column(3).to_numpy()
+            yield batch.filter(pa.array((known[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1))
+
+    likely = docs.select("k", "t", "lang", bit.alias("bit"))
+    return likely.mapInArrow(marked, likely.schema).drop("bit").join(good, "k", "left_semi")
+
+
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """(lang, n, h, ctx, suf, mid, c) of the n-grams of trusted (k, t, lang): the n-gram, its history, its ending, the shard key."""
 
@@ -216,8 +240,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     labels: (key, quality, toxic); texts of quality 1 that are not toxic are trusted.
     """
     held = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("lang"))
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(labels[key].alias("k")).distinct()
-    model = train(held.join(good, "k", "left_semi"))
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(labels[key].alias("k")).filter("k IS NOT NULL").distinct()
+    model = train(trusted_texts(held, good))
     scored = materialize(score(held, model, shard_rows).withColumn("perplexity", F.when(F.col("symbols") > 0, F.round(F.exp(-F.col("total") / F.col("symbols")), 6))).withColumn(
         "perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity"))), "scores")
     limits = scored.join(good, "k", "left_semi").groupBy("lang").agg(
