@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from salesflow.session import materialize
@@ -250,13 +251,15 @@ def article_slots(wrapper: list) -> list[str]:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, slots): the article's slots of each host, from pages (host, html)."""
 
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"]):
-                tree = tree_of(parsed(page))
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tree = tree_of(parsed(page.as_py()))
                 known[host] = merged(known[host], tree) if host in known else tree
-        yield pd.DataFrame({"host": list(known), "wrapper": [json.dumps(w) for w in known.values()]}, columns=["host", "wrapper"])
+        if known:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], ["host", "wrapper"])
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         trees = [json.loads(w) for w in sorted(group["wrapper"])]
@@ -265,7 +268,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             whole = merged(whole, tree)
         return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [article_slots(whole)]})
 
-    parts = pages.mapInPandas(within, "host string, wrapper string")
+    parts = pages.select("host", "html").mapInArrow(within, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(across, "host string, slots array<string>")
 
 
@@ -276,13 +279,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
                         F.lower(F.coalesce(F.regexp_extract(pages[url].cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"))
     known = materialize(wrappers(held.select("host", "html")), "wrappers")
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, slots in zip(batch["html"], batch["slots"]):
-                wanted = frozenset(slots) if slots is not None else frozenset()
-                out.append("\n".join(t for path, t, _ in parsed(page) if "/".join(path) in wanted))
-            yield pd.DataFrame({"k": batch["k"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
+            for page, slots in zip(batch.column(2), batch.column(3)):
+                wanted = frozenset(slots.as_py() or ())
+                out.append("\n".join(t for path, t, _ in parsed(page.as_py()) if "/".join(path) in wanted))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+                                             ["k", "url", "text", "n_chars"])
 
-    return held.join(known, "host", "left").select("k", "url", "html", "slots").mapInPandas(
+    return held.join(known, "host", "left").select("k", "url", "html", "slots").mapInArrow(
         texts, f"k {kind}, url string, text string, n_chars bigint").withColumnRenamed("k", key)

@@ -150,6 +150,7 @@ def test_extract(spark):
     assert [g[0] for g in got] == [1, 2, 2, 3, 4, 5, 6]
     assert got[1][1].endswith("i2\nThree") and got[3][1:] == ("", 0) and got[5][1] == "unclosed page"
     assert extract(df.limit(0)).count() == 0
+    assert extract(df.repartition(40)).count() == len(rows)  # tasks without rows
 
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
