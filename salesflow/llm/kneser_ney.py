@@ -32,7 +32,7 @@ from salesflow.session import materialize
 
 ORDER, QUANTILE, SLACK = 4, 0.99, 1.05
 SHARD_ROWS = 1_000_000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 BITS, BUCKET = 24, 32768  # of the bitmap; bits in a row of Spark's bitmap aggregate
 START, END, DIGIT, SPACE = 1, 2, 3, 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
