@@ -1,9 +1,9 @@
 """Quality rules: base counts of each text, and lines that too many documents of a host repeat.
 
 Every line is normalised (its words in lower case, white space dropped) and hashed. For each host (the ``source`` of
-a document) the documents that hold a line are counted; near copies of one text tend to have the same signature
-(their smallest five-word shingle hash), and documents of one host with the same signature count once, so that a text
-copied often does not turn its own lines into boilerplate. A line is above the limit if it is in at least
+a document) the documents that hold a line are counted; documents of one host with the same whole text count once, so
+that a text copied often does not turn its own lines into boilerplate. Pages that only share most of their text, such as
+those of one template, count each. A line is above the limit if it is in at least
 ``least`` documents and in more than ``share`` of the documents of its host. Lines above the limit are removed. A document
 is depleted, and rejected, if fewer than ``MIN_WORDS`` words or less than ``left`` of its words remain.
 
@@ -42,7 +42,7 @@ def line_table(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def facts_of(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """Base counts of each document, its signature, and hash and words of its lines that have a word."""
+    """Base counts of each document, and hash and words of its lines that have a word."""
     n = len(bounds) - 1
     words = Words(data, bounds, PLAIN)
     per_doc = lambda marks: np.add.reduceat(np.append(marks, 0), bounds[:-1]) * (bounds[1:] > bounds[:-1]) if len(marks) else np.zeros(n, np.int64)
@@ -74,17 +74,14 @@ def facts_of(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(mix(folded * np.uint64(3) + np.append(folded[1:], np.uint64(0)) * np.uint64(5)) if len(folded) else up, out=pairs[1:])
     last = first + count
     line = mix(sums[last] - sums[first] + np.uint64(31) * (pairs[np.maximum(last - 1, first)] - pairs[first]))
-    signature = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(signature, words.doc[at], mix(found[at]))
-    np.minimum.at(signature, words.doc[words.counts[words.doc] < REPEAT_WINDOW], words.hashes[words.counts[words.doc] < REPEAT_WINDOW])
     bins = lambda where, weights=None: np.bincount(where, weights, minlength=n).astype(np.int64)
     return {"n_words": words.counts, "word_chars": per_doc(chars.astype(np.int64)), "n_symbols": per_doc(SYMBOLS[data].astype(np.int64)),
-            "n_dup_lines": bins(doc[~fresh]), "n_repeat_words": bins(words.doc[hit]), "sig": signature,
+            "n_dup_lines": bins(doc[~fresh]), "n_repeat_words": bins(words.doc[hit]),
             "lines": line, "line_words": count, "line_counts": bins(doc)}
 
 
 def facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """k, host, base counts, signature, and lines array<struct<h,w>> of the lines with a word, for each row of docs."""
+    """k, host, hash of the text, base counts, and lines array<struct<h,w>> of the lines with a word, for each row of docs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -94,23 +91,25 @@ def facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
                 got = facts_of(data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first])
                 rest = [c.slice(first, last - first) for c in (batch.column(0), batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, *(pa.array(got[x], pa.int64()) for x in names), pa.array(signed(got["sig"])),
+                    [*rest, *(pa.array(got[x], pa.int64()) for x in names),
                      lists(signed(got["lines"]), got["line_counts"], pa.int64()), lists(got["line_words"], got["line_counts"], pa.int64())],
-                    ["k", "host", "v", *names, "sig", "lines", "line_words"])
+                    ["k", "host", "v", *names, "lines", "line_words"])
 
     kind = docs.schema[key].dataType.simpleString()
     body = docs[text].cast("string")
     return docs.select(docs[key].alias("k"), body.alias("t"), docs[host].cast("string").alias("host"), F.xxhash64(body).alias("v")).mapInArrow(
         each, f"k {kind}, host string, v bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-              "n_repeat_words bigint, sig bigint, lines array<bigint>, line_words array<bigint>")
+              "n_repeat_words bigint, lines array<bigint>, line_words array<bigint>")
 
 
 def frequent_lines(found: DataFrame, least: int, share: float) -> DataFrame:
-    """(host hash, line) above the limits, with the documents that hold it. Rows of one host and signature count once."""
-    hosts = found.groupBy("g", "sig").agg(F.lit(1).alias("one")).groupBy("g").agg(F.count("*").alias("docs"))
-    held = found.select("g", "sig", F.explode(F.array_distinct("lines")).alias("line"))
-    # Two steps: rows of a frequent line are dealt by line and signature first, so that no task gets all of them.
-    counts = held.groupBy("g", "line", "sig").agg(F.lit(1).alias("one")).groupBy("g", "line").agg(F.count("*").alias("n"))
+    """(host hash, line) above the limits, with the documents that hold it. Rows of one host and text count once; a null text is an empty one."""
+    no_text = F.xxhash64(F.lit(None).cast("string"))
+    found = found.select("g", "lines", F.when(F.col("v") == no_text, F.xxhash64(F.lit(""))).otherwise(F.col("v")).alias("v"))
+    hosts = found.groupBy("g", "v").agg(F.lit(1).alias("one")).groupBy("g").agg(F.count("*").alias("docs"))
+    held = found.select("g", "v", F.explode(F.array_distinct("lines")).alias("line"))
+    # Two steps: rows of a frequent line are dealt by line and text first, so that no task gets all of them.
+    counts = held.groupBy("g", "line", "v").agg(F.lit(1).alias("one")).groupBy("g", "line").agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") >= least).join(hosts, "g").filter(F.col("n") > share * F.col("docs")).select("g", "line", "n")
 
 

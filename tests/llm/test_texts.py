@@ -62,6 +62,14 @@ def test_copies_do_not_make_a_line_frequent(docs):
     assert all(r.kept and r.n_removed == 0 for r in quality_rules(docs(copies), least=10).collect())
 
 
+def test_template_pages_count_each(docs):
+    boilerplate = "\n".join(" ".join(f"b{n}x{j}" for j in range(12)) for n in range(15))
+    rows = [(i, f"{boilerplate}\n" + " ".join(f"w{i}x{j}" for j in range(18))) for i in range(100)]
+    got = quality_rules(docs(rows)).collect()
+    assert all(r.n_removed == 180 and not r.kept for r in got)
+    assert {r.doc_id: tuple(r)[1:8] for r in got} == brute.quality_rules([(*r, "h") for r in rows], 20, 0.05, 0.3)
+
+
 @pytest.mark.parametrize("report, plain, width", [(secret_report, brute.secrets, 4), (pii_report, brute.personal, 5)])
 def test_base_spans(docs, report, plain, width):
     rnd = random.Random(5)
