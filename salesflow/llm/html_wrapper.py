@@ -106,7 +106,7 @@ def parsed(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         marks = [re.sub(r"\d+", "", w.lower()) for m in NAMED.finditer(token[4]) for w in (m[2] or m[3] or m[4] or "").split()
                  if not STATE.match(w)] if "=" in token[4] else []
         if not token[4].rstrip().endswith("/"):
-            stack.append((name, ".".join([name, *sorted(set(marks))[:4]])))
+            stack.append((name, ".".join([name, *sorted(set(marks))])))
     buffer.append(page[at:].partition("<")[0] if page[at:].startswith("<") else page[at:])
     flush()
     return out

@@ -143,6 +143,16 @@ def test_page_layouts(page):
     assert [t for p, t, _ in blocks if "/".join(p) in slots] == ["x"]
 
 
+@pytest.mark.parametrize("marks", ['class="block box clearfix container sidebar"', 'class="a b c d" id=widget', 'class="a b c d" role="share"'])
+def test_all_words_of_an_element_count(marks):
+    blocks = parsed(f'<body><article><p>x</p><div {marks}><p>y</p></div></article><div {marks}>z</div></body>')
+    slots = set(article_slots(tree_of(blocks)))
+    assert [t for p, t, _ in blocks if "/".join(p) in slots] == ["x"]
+    blocks = parsed('<body><div class="a b c d e"><p>y</p></div><div class="col container entry-x full post"><p>x</p></div></body>')
+    slots = set(article_slots(tree_of(blocks)))
+    assert [t for p, t, _ in blocks if "/".join(p) in slots] == ["x"]
+
+
 def test_wrapper_generalises():
     pages = ["<body><div class=x><p>a</p><p>b</p></div></body>", "<body><div class=x><h1>t</h1><p>c</p></div></body>"]
     a, b = (tree_of(parsed(p)) for p in pages)
