@@ -6,7 +6,9 @@ subsequence of labels): what both have is aligned further down, what only one ha
 differs becomes an open slot, while one that is the same on every page so far stays fixed. Aligning all pages of a host, first within tasks
 and then across them, gives its wrapper. The wrapper decides which slots are the article: those below its article or
 main element, or else those of the element with most open text, never those of menus, headers, footers, sidebars,
-notices, adverts, forms or comments. A page's text is what its tokens put into these slots.
+notices, adverts, forms or comments. A page's text is what its tokens put into these slots. A page that puts nothing into
+them is of another template of its host: its own article, main or marked element is its article, or else the element with
+most of its text, without text that the wrapper has on every page.
 
 A null or empty page has no text. A url without host is of the host "". Pages that repeat count once and alike, every
 row gives one row; other columns are ignored. Unclosed, stray and truncated tags are repaired as browsers do.
@@ -208,8 +210,8 @@ def volume(node: list, in_main: bool = False) -> tuple[int, int]:
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
-def article_slots(wrapper: list) -> list[str]:
-    """Paths of the slots that hold the article."""
+def article_slots(wrapper: list, least: int = 0) -> list[str]:
+    """Paths of the slots that hold the article. An element without marks needs ``least`` open characters at least."""
     roots = {"article": [], "main": [], "marked": [], "open": []}
 
     def look(node: list, path: tuple[str, ...]):
@@ -225,7 +227,8 @@ def article_slots(wrapper: list) -> list[str]:
             roots["marked"].append((text, path, node))
         if node[0] and tag not in ("html",):
             own = sum(max(0, volume(x)[0] - 2 * volume(x)[1]) for x in node[2] if x[0] == "#" or x[0].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "pre", "blockquote"))
-            roots["open"].append((own, path, node))
+            if own >= least:
+                roots["open"].append((own, path, node))
         for x in node[2]:
             look(x, (*path, x[0]))
 
@@ -248,8 +251,40 @@ def article_slots(wrapper: list) -> list[str]:
     return sorted(out)
 
 
+def fixed_slots(wrapper: list) -> list[str]:
+    """Paths of the slots that every page has with the same text."""
+    fixed, other = set(), set()
+
+    def look(node: list, path: tuple[str, ...], always: bool):
+        for x in node[2]:
+            on_all = always and x[1] in "1+"
+            if x[0] == "#":
+                (fixed if on_all and x[2][0] is not None else other).add("/".join(path))
+            else:
+                look(x, (*path, x[0]), on_all)
+
+    look(wrapper, (), True)
+    return sorted(fixed - other)
+
+
+def article_texts(blocks: list[tuple[tuple[str, ...], str, int]], slots: frozenset[str], fixed: frozenset[str]) -> list[str]:
+    """Texts of a page in the article's slots of its host, or in those of the page itself if it has none of them."""
+    out = [t for path, t, _ in blocks if "/".join(path) in slots]
+    if out or all("/".join(path) in fixed for path, _, _ in blocks):
+        return out
+
+    def opened(node: list, path: tuple[str, ...] = ()) -> list:
+        if node[0] == "#":
+            return node if "/".join(path) in fixed else ["#", node[1], [None, *node[2][1:]]]
+        return [node[0], node[1], [opened(x, path if x[0] == "#" else (*path, x[0])) for x in node[2]]]
+
+    own = frozenset(article_slots(opened(tree_of(blocks)), 1))
+    found = [(path, t) for path, t, _ in blocks if "/".join(path) in own]
+    return [t for _, t in found] if any("/".join(path) not in fixed for path, _ in found) else []
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, slots): the article's slots of each host, from pages (host, html)."""
+    """(host, slots, fixed): the article's slots of each host and those alike on all its pages, from pages (host, html)."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
@@ -266,10 +301,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         whole = trees[0]
         for tree in trees[1:]:
             whole = merged(whole, tree)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [article_slots(whole)]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [article_slots(whole)], "fixed": [fixed_slots(whole)]})
 
     parts = pages.select("host", "html").mapInArrow(within, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(across, "host string, slots array<string>")
+    return parts.groupBy("host").applyInPandas(across, "host string, slots array<string>, fixed array<string>")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -282,11 +317,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, slots in zip(batch.column(2), batch.column(3)):
-                wanted = frozenset(slots.as_py() or ())
-                out.append("\n".join(t for path, t, _ in parsed(page.as_py()) if "/".join(path) in wanted))
+            for page, slots, fixed in zip(batch.column(2), batch.column(3), batch.column(4)):
+                out.append("\n".join(article_texts(parsed(page.as_py()), frozenset(slots.as_py() or ()), frozenset(fixed.as_py() or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                              ["k", "url", "text", "n_chars"])
 
-    return held.join(known, "host", "left").select("k", "url", "html", "slots").mapInArrow(
+    return held.join(known, "host", "left").select("k", "url", "html", "slots", "fixed").mapInArrow(
         texts, f"k {kind}, url string, text string, n_chars bigint").withColumnRenamed("k", key)

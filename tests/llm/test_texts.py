@@ -171,6 +171,24 @@ def test_extract(spark):
     assert extract(df.repartition(40)).count() == len(rows)  # tasks without rows
 
 
+def test_every_template_of_a_host_keeps_its_articles(spark):
+    frame = '<body><div class="nav"><a href=/>Home</a></div><div>The name of the site</div><div class=box><p>by %s</p></div>%s<footer>f</footer></body>'
+    bodies = ["<article><h1>A{0}</h1><p>text a{0} of an article, long enough</p></article>", "<main><p>text b{0} of main</p></main>",
+              "<div class=post><p>text c{0} of a post</p></div>", "<div class=story><p>text d{0} of a story</p></div>",
+              "<div class=plain><p>text e{0} without marks on it</p><p>more</p></div>", "<article></article>"]
+    rows = [(10 * i + n, "http://m.org/", frame % (f"x{i}" if i else "", bodies[n].format(n + 10 * i))) for i in range(1, 6) for n in range(5)]
+    rows += [(5, "http://m.org/", frame % ("", bodies[5])), (6, "http://m.org/", "<body><nav>only links</nav></body>")]
+    rows += [(7, "http://n.org/", "<body><article>one</article></body>"), (8, "http://n.org/", "<body><div class=plain><p>the only one</p></div></body>"),
+             (8, "http://n.org/", "<body><div class=plain><p>the only one</p></div></body>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract(df.repartition(4)).collect()}
+    for i in range(1, 6):
+        texts = [f"A{10 * i}\ntext a{10 * i} of an article, long enough", f"text b{10 * i + 1} of main", f"text c{10 * i + 2} of a post",
+                 f"text d{10 * i + 3} of a story", f"text e{10 * i + 4} without marks on it\nmore"]
+        assert [got[10 * i + n] for n in range(5)] == texts
+    assert [got[k] for k in (6, 7, 8)] == ["", "one", "the only one"]
+
+
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
