@@ -4,7 +4,9 @@ Candidates are runs of hex digits, and runs of base-64 characters that are not h
 window of WIDTH characters slides over a candidate; of each character the count in the window is kept, and a step
 changes only the counts of the character that enters and of the one that leaves. With S the sum of c * log2(c) over
 the counts, the entropy is log2(WIDTH) - S / WIDTH. A candidate whose best window reaches its class's limit is a
-secret, unless the allow-list knows it (plain words, numbers, placeholders) or a base span overlaps it.
+secret, unless the allow-list knows it (plain words, numbers, placeholders). Of a candidate that base spans cover in
+part, what lies outside of them is scanned in the same way; a rest shorter than a window is scanned with as much of the
+candidate beside it as a window holds, unless it is a name before "=".
 
 Null and empty texts have no spans. Every row gives one row, repeated rows alike; other columns are ignored.
 """
@@ -55,6 +57,29 @@ def best_window(value: Column, characters: str, width: int = WIDTH) -> Column:
     return F.when(F.length(value) >= width, F.aggregate(F.sequence(F.lit(1), F.length(value)), start, slide, lambda a: a.best)).otherwise(-1.0)
 
 
+def outside(span: Column, base: Column) -> Column:
+    """The parts of ``span`` that no base span covers, each with ``look``, the text its windows slide over.
+
+    ``base`` must be in order of start.
+    """
+    part = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    begin = F.struct(span.start.alias("upto"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    uncovered = F.aggregate(base, begin, lambda a, b: F.when((b.start >= span.end) | (b.end <= a.upto), a).otherwise(F.struct(
+        b.end.alias("upto"), F.when(b.start > a.upto, F.array_append(a.out, part(a.upto, b.start))).otherwise(a.out).alias("out"))),
+        lambda a: F.when(a.upto < span.end, F.array_append(a.out, part(a.upto, span.end))).otherwise(a.out))
+    cut = lambda start, end: F.substring(span.value, start - span.start + 1, end - start)
+
+    def looked(p: Column) -> Column:
+        short = p.end - p.start < WIDTH
+        first = F.when(short, F.greatest(span.start, p.start - WIDTH + 1)).otherwise(p.start)
+        last = F.when(short, F.least(span.end, p.end + WIDTH - 1)).otherwise(p.end)
+        return F.struct(p.start.alias("start"), p.end.alias("end"), cut(p.start, p.end).alias("value"), cut(first, last).alias("look"))
+
+    name = lambda p: (p.end - p.start < WIDTH) & (p.end < span.end) & p.value.endswith("=")
+    known = lambda p: p.value.rlike(ALLOWED) | F.btrim(p.value, F.lit("+/_=-")).rlike(ALLOWED)
+    return F.filter(F.transform(uncovered, looked), lambda p: ~name(p) & ~known(p))
+
+
 def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``base`` and ``added``, arrays of (start, order, end, kind, value) in order of start."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -71,8 +96,12 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     for order, (kind, spans) in enumerate((("entropy_hex", "_eh"), ("entropy_base64", "_eb")), 3):
         _, characters, least = CLASSES[kind]
         hexed = lambda s: s.value.rlike("^[0-9A-Fa-f]++$") if order == 4 else F.lit(False)
-        rest = F.filter(spans, lambda s: ~s.value.rlike(ALLOWED) & ~hexed(s) & ~overlaps(s, F.col("base")))
-        chosen.append(marked(kind, order, F.filter(rest, lambda s: best_window(s.value, characters) >= least)))
+        rest = F.filter(spans, lambda s: ~s.value.rlike(ALLOWED) & ~hexed(s))
+        whole = lambda s: F.array(F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), s.value.alias("look")))
+        rest = F.flatten(F.transform(rest, lambda s: F.when(overlaps(s, F.col("base")), outside(s, F.col("base"))).otherwise(whole(s))))
+        # A part of WIDTH hex digits or more is one of entropy_hex.
+        rest = F.filter(rest, lambda s: ~hexed(s) | (F.length(s.value) < WIDTH))
+        chosen.append(marked(kind, order, F.filter(rest, lambda s: best_window(s.look, characters) >= least)))
     return out.withColumn("added", F.array_sort(F.concat(*chosen))).drop("_eh", "_eb")
 
 

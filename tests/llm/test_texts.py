@@ -90,6 +90,18 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them_back(docs):
     assert got == {0: "entropy_base64:4:28", 1: "", 2: "entropy_hex:0:20", 3: "", 4: "", 5: "", 6: ""}
 
 
+def test_what_base_spans_leave_of_a_secret_is_found(docs):
+    access, digits, tail = "AKIA" + "QWERTYUIOPASDFGH", "0a1b2c3d4e5f60718293a4b5", "q7Zx9Lk2Vb8Nw4Rt6Yp1Hs3DmJ5cF0gTzXuEaQoI"
+    rows = [(0, f"{access}/{tail} end"), (1, f"{digits}_{tail}"), (2, f"{tail}-{digits}"), (3, f"{digits}-{tail[:12]}"), (4, f"org/repo/commit/{digits}"),
+            (5, f"{digits}/some-long-words-joined-by-dashes"), (6, f"mytoken={tail}"), (7, f"a {digits} b"), (8, f"{tail}_{digits}_{tail}"), (9, f"id1={access}")]
+    df = docs(rows)
+    assert {r.doc_id: r.text for r in without_secrets(df).collect()} == {
+        0: "[SECRET][SECRET] end", 1: "[SECRET][SECRET]", 2: "[SECRET][SECRET]", 3: "[SECRET][SECRET]", 4: "org/repo/commit/[SECRET]",
+        5: "[SECRET]/some-long-words-joined-by-dashes", 6: "my[SECRET]", 7: "a [SECRET] b", 8: "[SECRET][SECRET][SECRET]", 9: "id1=[SECRET]"}
+    got = {r.doc_id: r.spans for r in secret_report(df).collect()}
+    assert got[0] == "access:0:20,entropy_base64:20:61" and got[7] == "hex:2:26"
+
+
 def test_best_window_is_the_entropy_of_a_window(spark):
     import math
     from collections import Counter
