@@ -40,6 +40,18 @@ def _(s):
     return s.spark.read.schema("user_id string, date date, event_count bigint, large_event_count bigint").parquet(f"{out}/rows")
 
 
+@query("stream_events_daily_all", """
+    SELECT concat('r', user_id % 5) AS user_id, CAST(ts AS DATE) AS date, count(*) AS event_count,
+           count(*) FILTER (CAST(regexp_extract(props, '[0-9]+') AS INTEGER) >= 80) AS large_event_count
+    FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def _(s):
+    """All days, also those still open."""
+    out = scratch_path(s.spark, "stream-all-days")
+    finished(s, streams.stream_daily_counts(event_stream(s), f"{out}/bronze", f"{out}/rows", f"{out}/state"))
+    days = s.spark.read.schema("user_id string, event_count bigint, large_event_count bigint, date date").parquet(f"{out}/rows")
+    return days.select("user_id", "date", "event_count", "large_event_count")
+
+
 @query("stream_dedupe", "SELECT event_id, event_type, value FROM events")
 def _(s):
     """Every event arrives twice; one copy stays."""

@@ -43,13 +43,36 @@ def stream_dedupe(events: DataFrame, keys: list[str], time: str = "ingested_at",
 
 
 def stream_events_daily(events: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Local events per tenant and day, emitted when the day can no longer change."""
+    """Local events per tenant and day, emitted when the day can no longer change.
+
+    Later rows and days still open are left out; ``stream_daily_counts`` has them all.
+    """
     counted = events.withWatermark(time, delay).groupBy("user_id", F.window(time, "1 day").alias("_day")).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.count_if(F.coalesce("large_venue", F.lit(False))).alias("large_event_count"))
     return counted.select("user_id", F.to_date("_day.start").alias("date"), "event_count", "large_event_count")
 
 
+def stream_daily_counts(events: DataFrame, bronze: str, table: str, checkpoint: str, time: str = "ts") -> StreamingQuery:
+    """Local events per tenant and day in ``table``, one folder per day, with days still open and rows however late.
+
+    Events of a batch go to a Bronze folder of that batch, so a repeated batch replaces itself; the days they name are
+    then counted again from all of Bronze and replaced.
+    """
+    schema = "user_id string, large boolean, date date"
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("user_id", F.coalesce("large_venue", F.lit(False)).alias("large"), F.to_date(time).alias("date"))
+        rows.filter("date IS NOT NULL").write.mode("overwrite").partitionBy("date").parquet(f"{bronze}/batch={number}")
+        days = spark.read.schema(schema).parquet(f"{bronze}/batch={number}").select("date").distinct()
+        held = spark.read.schema(f"{schema}, batch bigint").parquet(bronze).join(days, "date", "left_semi")
+        counted = held.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("event_count"), F.count_if("large").alias("large_event_count"))
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merge_health(reports: DataFrame, table: str) -> None:
     """Newest report per signal of the stored table and ``reports``; repeating a batch changes nothing.
 

@@ -37,6 +37,17 @@ def test_days_close_behind_the_watermark(spark, tmp_path):
     assert table(spark.read.parquet(out)) == [("u1", "2026-07-01", 2, 0), ("u1", "2026-07-02", 1, 1)]
 
 
+def test_daily_counts_hold_late_and_open_days(spark, tmp_path):
+    out, bronze, state = (scratch_path(spark, x) for x in ("out", "bronze", "state"))
+    schema = "user_id string, ts timestamp, large_venue boolean"
+    for i, days in enumerate([(1, 1, 2, 20), (1, 20, 3)]):
+        land(tmp_path / "in", f"{i}.json", [{"user_id": "u1", "ts": f"2026-07-{d:02d}T05:00:00Z", "large_venue": d % 2 == 0} for d in days])
+        events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        streams.stream_daily_counts(events, bronze, out, state).awaitTermination()
+    assert table(spark.read.parquet(out), "user_id", "date", "event_count", "large_event_count") == [
+        ("u1", "2026-07-01", 3, 0), ("u1", "2026-07-02", 1, 1), ("u1", "2026-07-03", 1, 0), ("u1", "2026-07-20", 2, 2)]
+
+
 def test_copies_are_dropped_across_batches(spark, tmp_path):
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
     for name in ("a.json", "b.json"):
