@@ -39,8 +39,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; documents without id all stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Of the kept texts of one id the one with the smallest hash stays.
+    kept = near_duplicates(docs, text_hash=True).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    named = _decided(docs, kept, "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 

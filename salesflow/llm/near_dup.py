@@ -105,7 +105,7 @@ def most_parity(sizes, percent: int, root, exp, least):
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key k, n shingles, set hashes h1 h2, band keys and sketch (null without shingles) for each row."""
+    """key k, hash v of the text, n shingles, set hashes h1 h2, band keys and sketch (null without shingles) for each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +126,15 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     sketch = sketches_of(samples)
                     parity = parities_of([s for s in sets if len(s)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(signed(h1)), pa.array(signed(h2)), lists(bands.ravel(), full * BANDS, pa.int64()),
                      lists(sketch.ravel(), full * (BITS // 64), pa.int64()),
-                     lists(parity.ravel(), full * (SET_BITS // 64), pa.int64())], ["k", "n", "h1", "h2", "bands", "sketch", "parity"])
+                     lists(parity.ravel(), full * (SET_BITS // 64), pa.int64())], ["k", "v", "n", "h1", "h2", "bands", "sketch", "parity"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).mapInArrow(
-        each, f"k {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
+    body = docs[text].cast("string")
+    return docs.select(docs[key].alias("k"), body.alias("t"), F.xxhash64(body).alias("v")).mapInArrow(
+        each, f"k {kind}, v bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
 
 
 def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -205,8 +206,8 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("bucket", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles, component_id (smallest id reachable) and kept, one row per row of docs."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
+    """key, n_shingles, component_id (smallest id reachable) and kept, one row per row of docs; ``text_hash`` adds the text's hash."""
     found = materialize(signatures(docs, key, text), "signatures")
     sets = found.filter("n > 0 AND k IS NOT NULL")
     classes = materialize(sets.groupBy("h1", "h2").agg(F.min("k").alias("rep")), "classes")
@@ -247,11 +248,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             labels = components(links)
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
-    out = found.filter("n > 0").join(named, ["h1", "h2"], "left").select("k", "n", "comp").union(
-        found.filter("n = 0").select("k", "n", F.lit(None).alias("comp")))
+    out = found.filter("n > 0").join(named, ["h1", "h2"], "left").select("k", "v", "n", "comp").union(
+        found.filter("n = 0").select("k", "v", "n", F.lit(None).alias("comp")))
     comp = F.when(F.col("k").isNotNull(), F.coalesce("comp", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"),
-                      F.coalesce(F.col("k") == comp, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("k") == comp, F.lit(True)).alias("kept"), *([F.col("v").alias("text_hash")] if text_hash else []))
 
 
 # The same on DuckDB, with all shared shingles counted; for small tables.

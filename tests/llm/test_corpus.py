@@ -50,6 +50,13 @@ def test_near_duplicates_odd(odd):
     assert near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_the_kept_text_of_a_repeated_id_stays(spark, docs):
+    copied, own = " ".join(f"w{i}" for i in range(40)), {i: " ".join(f"x{i}y{j}" for j in range(40)) for i in range(5, 15)}
+    rows = [(3, copied)] + [(i, t) for i in own for t in (copied, own[i])]
+    got = corpus_pipeline.near_duplicate_stage(spark, docs(rows), FOLDER).collect()
+    assert {r.doc_id: r.text for r in got} == {3: copied} | own and len(got) == 11
+
+
 def test_remove_repeats(docs):
     rnd = random.Random(1)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
