@@ -1,12 +1,5 @@
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(__file__))
-
-LONG = "word " * 30000 + "end"
-ODD = [None, "", " \n\t", "x", "a\x00b c", "é ü \U0001f600 z", LONG, "same line here\n" * 3, "same line here\n" * 3]
+from odd_texts import ODD
 
 
 @pytest.fixture

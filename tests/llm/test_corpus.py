@@ -5,7 +5,7 @@ import random
 
 import brute
 import pytest
-from conftest import LONG, ODD
+from odd_texts import LONG, ODD
 
 import corpus_pipeline
 from salesflow.llm.decontaminate import decontaminate

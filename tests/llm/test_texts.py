@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD
+from odd_texts import ODD
 
 from salesflow.llm.html_wrapper import article_slots, extract, merged, parsed, tree_of
 from salesflow.llm.pii import pii_report
