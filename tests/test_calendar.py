@@ -1,4 +1,4 @@
-from conftest import table
+from rows import table
 from salesflow.operators import calendar
 
 SPAN = "user_id string, start_date date, end_date date"

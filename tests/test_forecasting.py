@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from rows import table
 from salesflow.plans import baseline, factors, forecast, selection
 from salesflow.schemas import FEATURES, MOMENTUM_FEATURES
 

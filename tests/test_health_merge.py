@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from rows import table
 from salesflow.operators import health, merge
 from salesflow.session import scratch_path
 from salesflow.sources import layers

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import table
+from rows import table
 from series import daily_sales
 from salesflow.operators import features, silver
 from salesflow.plans import model, nightly, selection

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from conftest import table
+from rows import table
 from salesflow import session
 
 

@@ -3,7 +3,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import table
+from rows import table
 from salesflow.operators import features, keyed, silver
 from salesflow.operators.keyed import latest
 

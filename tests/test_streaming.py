@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import table
+from rows import table
 from salesflow.session import scratch_path
 from salesflow.streaming import streams
 
