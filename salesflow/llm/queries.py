@@ -1,8 +1,10 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
 from salesflow.llm import decontaminate as decon, near_dup
+from salesflow.llm.bit_scatter import whiten
+from salesflow.llm.dialogue_repair import repair
 from salesflow.llm.html_wrapper import extract
 from salesflow.llm.kneser_ney import quality_scores
 from salesflow.llm.mixture import mix
@@ -65,3 +67,13 @@ def op10(spark, folder):
     import public_tokenizers
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_dialogue_repair")
+def op11(spark, folder):
+    return repair(table(spark, folder, "conversations"))
+
+
+@query("op12_whiten")
+def op12(spark, folder):
+    return whiten(table(spark, folder, "embeddings"))
