@@ -8,6 +8,7 @@ from salesflow.llm.dialogue_repair import repair
 from salesflow.llm.html_wrapper import extract
 from salesflow.llm.kneser_ney import quality_scores
 from salesflow.llm.mixture import mix
+from salesflow.llm.phrase_automata import remove_phrases
 from salesflow.llm.pii import pii_report
 from salesflow.llm.quality_rules import quality_rules
 from salesflow.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -77,3 +78,8 @@ def op11(spark, folder):
 @query("op12_whiten")
 def op12(spark, folder):
     return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_repeated_phrases")
+def op13(spark, folder):
+    return remove_phrases(table(spark, folder, "documents")).drop("spans")
