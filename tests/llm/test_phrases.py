@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from odd_texts import LONG, ODD
 
@@ -93,15 +94,36 @@ def test_phrases_with_text_ids(spark):
 
 
 def test_automaton_matches_words_not_letters():
-    import numpy as np
-
     words = [f"w{i}" for i in range(13)]
     machine = Automaton([(" ".join(words).encode(), 3)])
     bodies = [" ".join(words).encode(), " ".join(["x" + words[0], *words[1:]]).encode(), " ".join(["q", *words, *words[1:]]).encode()]
-    body, start, end = machine.located(bodies, np.array([13, 13, 26]), np.array([3, 9, 9]))
+    body, start, end = machine.located(bodies, np.array([3, 9, 9]))
     assert (body.tolist(), start.tolist(), end.tolist()) == ([2], [1], [14])
 
 
+@pytest.mark.parametrize("vocabulary", [2, 40])
+def test_automaton_equals_all_windows(vocabulary):
+    """Passages that share cores, more of them than are compared one by one, over few and over many words."""
+    rnd = random.Random(vocabulary)
+    word = lambda: f"w{rnd.randrange(vocabulary)}"
+    core = [word() for _ in range(6)]
+    passages = [([*[word() for _ in range(7)], *core, *[word() for _ in range(rnd.randint(0, 12))]], rnd.randrange(9)) for _ in range(60)]
+    windows = {}
+    for words, first in passages:
+        for i in range(len(words) - 12):
+            windows.setdefault(tuple(words[i:i + 13]), set()).add(first)
+    machine = Automaton([(" ".join(w).encode(), first) for w, first in passages])
+    bodies = [[word() for _ in range(rnd.randint(0, 9))] + rnd.choice(passages)[0][rnd.randint(0, 3):] + [word()] for _ in range(40)] + [["a"], []]
+    keys = np.array([rnd.randrange(10) for _ in bodies])
+    want = set()
+    for b, (words, key) in enumerate(zip(bodies, keys)):
+        for i in range(len(words) - 12):
+            if any(first < key for first in windows.get(tuple(words[i:i + 13]), ())):
+                want.update((b, j) for j in range(i, i + 13))
+    got = {(b, j) for b, s, e in zip(*machine.located([" ".join(w).encode() for w in bodies], keys)) for j in range(s, e)}
+    assert got == want
+
+
 def test_query_over_the_sample(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert rows_of(QUERIES["op13_repeated_phrases"](spark, FOLDER)) == expected(rows)
