@@ -20,7 +20,6 @@ each; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
@@ -28,10 +27,11 @@ from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from salesflow.llm.steps import tidy
 from salesflow.llm.textbytes import PLAIN, Words, batch_bytes, grams, mix, powers, signed, slices, within
-from salesflow.session import discard, materialize
+from salesflow.session import materialize
 
 WINDOW, K = 13, 6
 SPAN = WINDOW - K + 1
@@ -131,13 +131,6 @@ def arrays(column: pa.Array, first: int, last: int) -> list[np.ndarray]:
     return [np.array(v or [], np.int64) for v in column.slice(first, last - first).to_pylist()]
 
 
-def tidy(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove written tables, and let Spark remove the shuffle files of steps that are over."""
-    discard(*tables)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def comparable(ids: list) -> np.ndarray:
     return np.array(ids, np.int64 if all(isinstance(i, int) for i in ids) else object)
 
