@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
 
 
 def load() -> None:
-    from salesflow.catalog import features, forecasting, ingest, scalars, serving, sinks, storage, streams, validation  # noqa: F401
+    from salesflow.catalog import features, forecasting, ingest, scalars, serving, sinks, storage, streams, trees, validation  # noqa: F401
