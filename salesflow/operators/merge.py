@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from salesflow.functions.scalars import batch_id
 from salesflow.operators.keyed import latest, top_n
 from salesflow.session import discard, materialize
-from salesflow.sources.layers import drop_partition, exists
+from salesflow.sources.folders import drop_folder, exists
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -96,5 +96,5 @@ def delete_table(spark: SparkSession, path: str, schema: str, partition: str, co
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         discard(kept)
     for row in touched.filter("kept = 0").select(F.col(partition).cast("string")).toLocalIterator():
-        drop_partition(spark, path, partition, row[0])
+        drop_folder(spark, path, {partition: row[0]})
     discard(touched)

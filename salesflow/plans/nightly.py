@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salesflow.functions.scalars import batch_id
-from salesflow.operators import calendar, features, merge, silver
-from salesflow.plans import baseline, factors, forecast, model, selection
-from salesflow.schemas import BRONZE, CALENDAR_EVENTS, FORECAST_FACTORS, FORECASTS, PROFILES, SALES_RAW, SERIES
+from salesflow.operators import calendar, features, silver
+from salesflow.operators.zones import prune_zones
+from salesflow.plans import baseline, factors, forecast, model, selection, serving_tables
+from salesflow.schemas import BRONZE, CALENDAR_EVENTS, FORECASTS, PROFILES, SALES_RAW, SERIES
 from salesflow.session import materialize
+from salesflow.sources import snapshots
 from salesflow.sources.envelopes import split_signals
-from salesflow.sources.layers import exists, lookback, read_layer
+from salesflow.sources.layers import lookback, read_layer
 
 HORIZON = 30
 RUN_RETENTION_DAYS = 7
@@ -41,7 +43,7 @@ class Outputs:
     forecasts: DataFrame
     factors: DataFrame
     summary: DataFrame
-    model: model.Fitted | None = None
+    model: model.QuantileModel | None = None
 
 
 def train(gold: DataFrame, run_id: Column, trained_at: Column, estimator: model.Estimator | None = None,
@@ -55,7 +57,7 @@ def train(gold: DataFrame, run_id: Column, trained_at: Column, estimator: model.
     boosted = F.col("chosen") == selection.BOOSTED
     series = chosen.filter(boosted).select(*SERIES)
     shown = factors.top_factors(
-        model.importance_table(series, final.fitted), ranked.join(series, SERIES, "left_semi"))
+        model.series_importances(ranked.join(series, SERIES, "left_semi"), final), ranked.join(series, SERIES, "left_semi"))
     listed = shown.groupBy(*SERIES).agg(F.array_sort(F.collect_list(
         F.struct("rank", "factor", "importance", "direction"))).alias("_f")).select(
         *SERIES, F.transform("_f", lambda x: F.struct(
@@ -100,21 +102,27 @@ def run(inputs: Inputs, as_of: Column, horizon: int = HORIZON, estimator: model.
     points = forecast.dispatch(metrics, baseline.history_stats(daily), start, horizon, boosted)
     forecasts = materialize(forecast.forecast_rows(points, metrics, run_id, stamp), "forecasts")
     shown = forecast.factor_rows(metrics, run_id)
-    return Outputs(gold, metrics, forecasts, shown, run_summary(forecasts, shown, run_id), final.fitted)
+    return Outputs(gold, metrics, forecasts, shown, run_summary(forecasts, shown, run_id), final)
 
 
 def publish(spark: SparkSession, outputs: Outputs, root: str) -> None:
-    """Upsert a run into the serving tables and keep its model; a repeated run replaces itself."""
-    merge.upsert_table(spark, f"{root}/forecasts", outputs.forecasts,
-                       ["user_id", "sku", "forecast_date", "model_run_id"], "model_run_id")
-    merge.upsert_table(spark, f"{root}/forecast_factors", outputs.factors,
-                       ["user_id", "sku", "model_run_id", "factor"], "model_run_id")
-    path = F.lit(None).cast("string")
-    if outputs.model is not None and hasattr(outputs.model, "save"):
-        folder = f"{root}/models/{outputs.summary.first()['batch']}"
-        outputs.model.save(folder)
-        path = F.when(F.col("chosen") == selection.BOOSTED, folder)
-    outputs.metrics.withColumn("artifact_path", path).write.mode("overwrite").parquet(f"{root}/gold_model_metrics")
+    """Write a run to folders of its own and make it visible as a whole; a repeated run takes the place of the earlier one.
+
+    A run that is cut off leaves what was visible before. The metrics of a run are its own table, so those of the runs before stay.
+    """
+    run_id = outputs.summary.first()["batch"]
+    tables = serving_tables.run_tables(outputs.forecasts, outputs.factors)
+
+    def metrics(path: str) -> None:
+        kept = F.lit(None).cast("string")
+        if outputs.model is not None and hasattr(outputs.model.fitted, "save"):
+            folder = f"{path.rsplit('/', 1)[0]}/model"
+            outputs.model.save(folder)
+            kept = F.when(F.col("chosen") == selection.BOOSTED, folder)
+        outputs.metrics.withColumn("artifact_path", kept).write.parquet(path)
+
+    run = snapshots.write_run(spark, root, run_id, run_id, {**tables, "gold_model_metrics": metrics})
+    snapshots.publish(spark, root, run)
 
 
 def run_summary(forecasts: DataFrame, factors: DataFrame | None = None, run_id: Column | None = None) -> DataFrame:
@@ -165,15 +173,9 @@ def run_stored(spark: SparkSession, root: str, as_of: Column, horizon: int = HOR
 
 
 def prune(spark: SparkSession, root: str, as_of: Column) -> None:
-    """Keep a week of runs and the signals within the lookback."""
-    week = as_of.cast("timestamp") - F.expr(f"interval {RUN_RETENTION_DAYS} days")
-    merge.delete_table(spark, f"{root}/forecasts", FORECASTS, "model_run_id", F.col("generated_at") < week)
-    merge.delete_table(spark, f"{root}/forecast_factors", FORECAST_FACTORS, "model_run_id",
-                       F.col("model_run_id") < batch_id(F.date_sub(as_of, RUN_RETENTION_DAYS)))
+    """Keep a week of runs and the signals within the lookback. Neither opens a data file, but for signals of the days at the limit."""
+    first = spark.range(1).select(batch_id(F.date_sub(as_of, RUN_RETENTION_DAYS))).first()[0]
+    snapshots.prune(spark, root, first)
+    snapshots.vacuum(spark, root)
     old = as_of.cast("timestamp") - F.expr(f"interval {SIGNAL_LOOKBACK_DAYS} days")
-    if exists(spark, f"{root}/signal_events"):
-        stored = f"{root}/signal_events"
-        sources = [r.source for r in spark.read.schema(BRONZE).parquet(stored).select("source").distinct().collect()]  # the feeds
-        for source in sources:
-            merge.delete_table(spark, f"{stored}/source={source}", BRONZE.replace("source string, ", "") + ", observed_date date",
-                               "observed_date", F.col("ingested_at") < old)
+    prune_zones(spark, f"{root}/signal_events", f"{BRONZE}, observed_date date", ["source", "observed_date"], "ingested_at", old)

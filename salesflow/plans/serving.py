@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from salesflow.operators.health import seed_settings
 from salesflow.operators.keyed import flag_exists, missing_keys, page, page_per_key, top_n
 from salesflow.operators.merge import upsert
+from salesflow.operators.search import matches
 from salesflow.plans.selection import BASELINE
 from salesflow.schemas import SERIES
+from salesflow.session import materialize
 
 MIN_HISTORY_DAYS = 60
 HORIZONS = (7, 14, 30)
@@ -41,23 +43,24 @@ def insufficient(products: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> DataF
     return products.filter(F.coalesce("sales_days", F.lit(0)) < min_days)
 
 
-def current_points(forecasts: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+def current_points(forecasts: DataFrame, requests: DataFrame, as_of: Column, newest: DataFrame) -> DataFrame:
     """Points of the newest run of each requesting tenant up to the requested horizon."""
-    newest = latest_run(forecasts)
     wanted = requests.join(newest, "user_id")
     points = forecasts.drop("generated_at").join(wanted, ["user_id", "sku", "model_run_id"])
     return points.filter(F.col("forecast_date") <= F.date_add(as_of, F.col("horizon")))
 
 
-def series_flat(requests: DataFrame, forecasts: DataFrame, health: DataFrame, as_of: Column) -> DataFrame:
+def series_flat(requests: DataFrame, forecasts: DataFrame, health: DataFrame, as_of: Column, newest: DataFrame | None = None) -> DataFrame:
     """One row per requested series and forecast day; a series without points keeps one row.
 
-    ``requests``: user_id, position, sku, horizon, and whatever else tells requests apart.
+    ``requests``: user_id, position, sku, horizon, and whatever else tells requests apart. ``newest`` is ``latest_run`` of the
+    forecasts where the caller has it already.
     """
+    newest = latest_run(forecasts) if newest is None else newest
     keys = [c for c in requests.columns if c != "horizon"]
-    points = current_points(forecasts, requests, as_of).select(
+    points = current_points(forecasts, requests, as_of, newest).select(
         *keys, "forecast_date", "yhat", "yhat_lower", "yhat_upper", "model_version", "mape_backtest")
-    rows = requests.join(points, keys, "left").join(latest_run(forecasts), "user_id")
+    rows = requests.join(points, keys, "left").join(newest, "user_id")
     version = F.coalesce("model_version", F.lit(BASELINE))
     return rows.withColumn("_outage", any_degraded(health)).select(
         *keys, "model_run_id", "generated_at", version.alias("model_version"), "mape_backtest",
@@ -66,13 +69,14 @@ def series_flat(requests: DataFrame, forecasts: DataFrame, health: DataFrame, as
 
 
 def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFrame, health: DataFrame,
-                    as_of: Column) -> DataFrame:
+                    as_of: Column, newest: DataFrame | None = None) -> DataFrame:
     """One row per requested series with nested points and factors.
 
     Points of a series are bounded by the horizon and factors by five, so the arrays stay short.
     """
+    newest = latest_run(forecasts) if newest is None else newest
     keys = [c for c in requests.columns if c != "horizon"]
-    flat = series_flat(requests, forecasts, health, as_of)
+    flat = series_flat(requests, forecasts, health, as_of, newest)
     point = F.when(F.col("forecast_date").isNotNull(), F.struct(
         F.col("forecast_date").alias("date"), "yhat", "yhat_lower", "yhat_upper"))
     series = flat.groupBy(*keys, "model_run_id", "generated_at").agg(
@@ -80,7 +84,7 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
         F.max_by("mape_backtest", "forecast_date").alias("mape_backtest"), F.bool_or("degraded").alias("degraded"),
         F.array_sort(F.collect_list(point)).alias("points"))
     series = series.withColumn("model_version", F.coalesce("_version", "_any")).drop("_version", "_any")
-    wanted = requests.select(*SERIES).distinct().join(latest_run(forecasts).select("user_id", "model_run_id"), "user_id")
+    wanted = requests.select(*SERIES).distinct().join(newest.select("user_id", "model_run_id"), "user_id")
     shown = top_n(factors.join(wanted, [*SERIES, "model_run_id"]), [*SERIES, "model_run_id"],
                   [F.desc("importance"), F.col("factor")], 5)
     lists = shown.groupBy(*SERIES, "model_run_id").agg(F.transform(
@@ -93,7 +97,7 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
 def judge_requests(requests: DataFrame, products: DataFrame, forecasts: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> DataFrame:
     """Requests (request_id, user_id, skus, horizon) with ``outcome`` and ``named``, the SKUs it is about.
 
-    The outcome is ``ok`` or the first of: ``sku_count`` (blank ones left out, none or more than ten), ``horizon``,
+    ``forecasts`` tells which tenants have any, so the newest runs do. The outcome is ``ok`` or the first of: ``sku_count`` (blank ones left out, none or more than ten), ``horizon``,
     ``sku_not_found``, ``insufficient_history``, ``no_run``. Only lists within the bound are taken apart.
     """
     asked = requests.withColumn("skus", F.filter(F.transform("skus", lambda c: F.trim(c)), lambda c: c != ""))
@@ -117,10 +121,11 @@ def forecast_responses(requests: DataFrame, tables: dict[str, DataFrame], as_of:
     """One row per request: its outcome, and for good ones the run, when it was made, the series in the order asked for, and
     the health of all feeds. Tables of other tenants take no part: every join is on the tenant.
     """
-    judged = judge_requests(requests, tables["products"], tables["forecasts"], min_days)
+    newest = materialize(latest_run(tables["forecasts"]), "runs")  # a row per tenant
+    judged = judge_requests(requests, tables["products"], newest, min_days)
     good = judged.filter("outcome = 'ok'").select(
         "request_id", "user_id", "horizon", F.posexplode("skus").alias("position", "sku"))
-    series = assemble_series(good, tables["forecasts"], tables["forecast_factors"], tables["signal_status"], as_of)
+    series = assemble_series(good, tables["forecasts"], tables["forecast_factors"], tables["signal_status"], as_of, newest)
     answers = series.groupBy("request_id", "model_run_id", "generated_at").agg(F.array_sort(F.collect_list(F.struct(
         "position", "sku", "model_version", "mape_backtest", "degraded", "points", F.coalesce(
             "factors", F.array().cast(series.schema["factors"].dataType)).alias("factors")))).alias("series"))
@@ -133,8 +138,8 @@ def forecast_responses(requests: DataFrame, tables: dict[str, DataFrame], as_of:
 
 
 def search_products(products: DataFrame, text: str | None) -> DataFrame:
-    """Case-insensitive substring of the name."""
-    return products.filter(F.contains(F.lower("product_name"), F.lit(text.lower()))) if text else products
+    """Products whose name contains the pattern, in any case; ``search.search_names`` does it by an index."""
+    return products.filter(matches("product_name", text)) if text else products
 
 
 def products(tables: dict[str, DataFrame], tenant: str, search: str | None = None, limit: int = 50,

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table was ever written; asks the file system for one name, lists nothing."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+from salesflow.operators.zones import append_with_zones
+from salesflow.sources.folders import exists
 
 
 def read_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,18 +15,12 @@ def read_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def drop_partition(spark: SparkSession, path: str, partition: str, value: str | None) -> None:
-    """Remove the folder of one partition value."""
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    name = "__HIVE_DEFAULT_PARTITION__" if value is None else escape(value)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def append_bronze(df: DataFrame, path: str, day: str = "observed_at") -> None:
-    """Append envelopes, one folder per source and observed day, so that a reader of one source opens its files only."""
-    df.withColumn("observed_date", F.col(day).cast("date")).write.mode("append").partitionBy(
-        "source", "observed_date").parquet(path)
+    """Append envelopes, one folder per source and observed day, so that a reader of one source opens its files only.
+
+    The times of ingest of each folder are kept in a ledger, from which old rows are pruned.
+    """
+    append_with_zones(df.withColumn("observed_date", F.col(day).cast("date")), path, ["source", "observed_date"], "ingested_at")
 
 
 def overwrite_layer(df: DataFrame, path: str, partition: str | None = None) -> None:
