@@ -134,10 +134,13 @@ def _(s):
 
 @query("envelope_parse", """
     SELECT 'weather' AS source, user_id AS entity_key, date AS observed_at, date_trunc('second', ingested_at) AS ingested_at,
-           CAST(1 AS INTEGER) AS schema_version FROM signals""")
+           CAST(1 AS INTEGER) AS schema_version, user_id, value AS temp_avg, CAST(k AS DOUBLE) AS precip_mm FROM signals""")
 def _(s):
-    rows = envelopes.parse_envelope(weather_messages(s)).drop("payload")
-    return rows.withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
+    """The envelope's fields, and those of its payload as it arrives."""
+    rows = envelopes.parse_envelope(weather_messages(s))
+    body = F.from_json("payload", "user_id string, temp_avg double, precip_mm double")
+    return rows.withColumns({"ingested_at": F.col("ingested_at").cast("timestamp_ntz"), "p": body}).select(
+        "source", "entity_key", "observed_at", "ingested_at", "schema_version", "p.*")
 
 
 @query("payload_explode", """

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from salesflow.catalog.registry import query
-from salesflow.operators import health, keyed, merge
-from salesflow.plans import serving
+from salesflow.operators import health, keyed, merge, search
+from salesflow.plans import serving, serving_tables
 from salesflow.schemas import SERIES
+from salesflow.session import scratch_path
+from salesflow.sources import snapshots
 
 FACTOR_NAMES = ["temp_avg", "precip_mm", "event_count", "promo_flag", "dow", "month", "is_holiday"]
 
@@ -66,27 +70,41 @@ def _(s):
 
 
 FACTORS = {**NEWEST, "factors": """
-    SELECT DISTINCT user_id, sku, model_run_id, f.factor, (ascii(right(sku, 1)) * f.i) %% 10 / 10.0 AS importance
+    SELECT DISTINCT user_id, sku, model_run_id, f.factor, (ascii(right(sku, 1)) * f.i) %% 10 / 10.0 AS importance,
+           CASE WHEN f.i %% 2 = 0 THEN 'up' ELSE 'down' END AS direction
     FROM forecasts CROSS JOIN (SELECT unnest([%s]) AS factor, unnest(range(1, 8)) AS i) f""" % ", ".join(
     f"'{n}'" for n in FACTOR_NAMES), "shown": """
-    SELECT user_id, sku, string_agg(factor, '>' ORDER BY importance DESC, factor) AS factors FROM (
+    SELECT user_id, sku, model_run_id, string_agg(concat(factor, ':', CAST(importance AS DECIMAL(6, 4)), ':', direction), '>'
+                                                  ORDER BY importance DESC, factor) AS factors FROM (
         SELECT f.*, row_number() OVER (PARTITION BY f.user_id, f.sku ORDER BY importance DESC, factor) AS rn
-        FROM factors f JOIN newest n USING (user_id, model_run_id)) WHERE rn <= 5 GROUP BY user_id, sku"""}
+        FROM factors f JOIN newest n USING (user_id, model_run_id)) WHERE rn <= 5 GROUP BY user_id, sku, model_run_id"""}
+POINT = """string_agg(concat_ws('/', strftime(forecast_date, '%Y-%m-%d'), CAST(yhat AS DECIMAL(14, 2)), CAST(yhat_lower AS DECIMAL(14, 2)),
+                                CAST(yhat_upper AS DECIMAL(14, 2))), ' ' ORDER BY forecast_date)"""
+
+
+def shown_points(points):
+    """All points of a series as text."""
+    money = lambda c: c.cast("decimal(14, 2)").cast("string")
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(
+        "/", F.date_format(p["date"], "yyyy-MM-dd"), money(p["yhat"]), money(p["yhat_lower"]), money(p["yhat_upper"]))), " ")
+
+
+def shown_factors(factors):
+    """All factors of a series as text."""
+    return F.array_join(F.transform(factors, lambda f: F.concat_ws(
+        ":", f["factor"], f["importance"].cast("decimal(6, 4)").cast("string"), f["direction"])), ">")
 
 
-@query("forecast_serving", """
-    SELECT f.user_id, position, f.sku, model_run_id, max(model_version) AS model_version, bool_or(degraded) AS degraded,
-           count(forecast_date) AS points, min(forecast_date) AS first_day, max(forecast_date) AS last_day,
-           any_value(s.factors) AS factors
+@query("forecast_serving", f"""
+    SELECT f.user_id, position, f.sku, f.model_run_id, max(model_version) AS model_version, bool_or(degraded) AS degraded,
+           max(mape_backtest) AS mape_backtest, coalesce({POINT}, '') AS points, any_value(s.factors) AS factors
     FROM flat f LEFT JOIN shown s ON s.user_id = f.user_id AND s.sku = f.sku
-    GROUP BY f.user_id, position, f.sku, model_run_id""", FACTORS)
+    GROUP BY f.user_id, position, f.sku, f.model_run_id""", FACTORS)
 def _(s):
+    """Every point and factor of every series."""
     rows = serving.assemble_series(requests(s), published(s), factors(s), s.signal_status(), s.as_of())
-    days = F.transform("points", lambda p: p["date"])
-    return rows.select("user_id", "position", "sku", "model_run_id", "model_version", "degraded",
-                       F.size("points").cast("bigint").alias("points"), F.array_min(days).alias("first_day"),
-                       F.array_max(days).alias("last_day"),
-                       F.array_join(F.transform("factors", lambda f: f["factor"]), ">").alias("factors"))
+    return rows.select("user_id", "position", "sku", "model_run_id", "model_version", "degraded", "mape_backtest",
+                       shown_points(F.col("points")).alias("points"), shown_factors(F.col("factors")).alias("factors"))
 
 
 ASKED = {**NEWEST, "asked": """
@@ -119,19 +137,63 @@ def _(s):
     return judged.select("request_id", "user_id", F.array_join("skus", ",").alias("skus"), "horizon", "outcome")
 
 
-@query("forecast_responses", """
+@query("forecast_responses", f"""
     SELECT request_id, outcome, CASE WHEN outcome = 'ok' THEN model_run_id END AS model_run_id,
-           CASE WHEN outcome = 'ok' THEN generated_at END AS generated_at,
-           CASE WHEN outcome = 'ok' THEN len(skus) END AS series,
-           CASE WHEN outcome = 'ok' THEN (SELECT count(*) FROM signal_status) END AS feeds
-    FROM judged LEFT JOIN (SELECT user_id, arg_max(model_run_id, generated_at) AS model_run_id, max(generated_at) AS generated_at
-                           FROM served GROUP BY user_id) USING (user_id)""", ASKED)
-def _(s):
+           CASE WHEN outcome = 'ok' THEN generated_at END AS generated_at, md5(series) AS series,
+           CASE WHEN outcome = 'ok' THEN (SELECT string_agg(concat(signal, ':', status), ',' ORDER BY signal) FROM signal_status) END AS feeds
+    FROM judged LEFT JOIN served_runs USING (user_id) LEFT JOIN bodies USING (request_id)""", {**FACTORS, **ASKED, "served_runs": """
+    SELECT user_id, arg_max(model_run_id, generated_at) AS model_run_id, max(generated_at) AS generated_at FROM served GROUP BY user_id""",
+    "parts": """
+    SELECT request_id, user_id, unnest(skus) AS sku, unnest(range(len(skus))) AS position, horizon FROM judged WHERE outcome = 'ok'""",
+    "bodies": f"""
+    SELECT request_id, string_agg(concat_ws('|', position, sku, model_version, degraded, points, factors), ';' ORDER BY position) AS series FROM (
+        SELECT p.request_id, p.position, p.sku, coalesce(max(f.model_version), 'seasonal-naive') AS model_version,
+               (SELECT o FROM outage) OR starts_with(coalesce(max(f.model_version), 'seasonal-naive'), 'seasonal-naive') AS degraded,
+               coalesce({POINT}, '') AS points, coalesce(any_value(x.factors), '') AS factors
+        FROM parts p JOIN served_runs r USING (user_id) LEFT JOIN served f ON f.user_id = p.user_id AND f.sku = p.sku
+             AND f.model_run_id = r.model_run_id AND f.forecast_date <= (SELECT d FROM as_of) + p.horizon
+        LEFT JOIN shown x ON x.user_id = p.user_id AND x.sku = p.sku GROUP BY p.request_id, p.position, p.sku) GROUP BY request_id"""})
+def _(s):
+    """Every series of every answer in the order asked for, with all points and factors, as one text's hash."""
     tables = {"products": s.products(), "forecasts": published(s).filter("user_id <> 'r4'"), "forecast_factors": factors(s),
               "signal_status": s.signal_status()}
     rows = serving.forecast_responses(asked(s), tables, s.as_of(), 450)
-    return rows.select("request_id", "outcome", "model_run_id", "generated_at", F.size("series").cast("bigint").alias("series"),
-                       F.size("signal_health").cast("bigint").alias("feeds"))
+    one = lambda x: F.concat_ws("|", x["position"].cast("string"), x["sku"], x["model_version"], x["degraded"].cast("string"),
+                                shown_points(x["points"]), shown_factors(x["factors"]))
+    feeds = F.array_join(F.transform("signal_health", lambda h: F.concat_ws(":", h["signal"], h["status"])), ",")
+    return rows.select("request_id", "outcome", "model_run_id", "generated_at", F.md5(F.array_join(F.transform("series", one), ";")).alias("series"),
+                       feeds.alias("feeds"))
+
+
+@query("forecast_point_read", f"""
+    SELECT f.user_id, f.sku, f.model_run_id, coalesce({POINT}, '') AS points, any_value(s.factors) AS factors
+    FROM forecasts f JOIN newest n ON n.user_id = f.user_id AND n.model_run_id = f.model_run_id
+    JOIN (SELECT DISTINCT user_id, sku FROM (
+        SELECT user_id, sku, row_number() OVER (PARTITION BY user_id ORDER BY sku) AS rn FROM products) WHERE rn <= 10 AND user_id = 'r1') q
+      ON q.user_id = f.user_id AND q.sku = f.sku
+    LEFT JOIN shown s ON s.user_id = f.user_id AND s.sku = f.sku
+    WHERE f.forecast_date <= (SELECT d FROM as_of) + 30 GROUP BY f.user_id, f.sku, f.model_run_id""", FACTORS)
+def _(s):
+    """The first ten SKUs of a tenant from stored runs."""
+    root = stored_runs(s)
+    return point_read(s, root, [r.sku for r in serving.tenant_view(s.products(), "r1").orderBy("sku").limit(10).collect()])
+
+
+def stored_runs(s):
+    """Both runs of the forecast table as the nightly run stores them."""
+    root, shown = scratch_path(s.spark, "serving"), factors(s)
+    held = published(s).withColumns({c: F.col(c).cast("decimal(14, 2)") for c in ("yhat", "yhat_lower", "yhat_upper")}).withColumns(
+        {"mape_backtest": F.col("mape_backtest").cast("decimal(6, 2)"), "generated_at": F.col("generated_at").cast("timestamp")})
+    for run in [r.model_run_id for r in held.select("model_run_id").distinct().collect()]:
+        own = F.col("model_run_id") == run
+        tables = serving_tables.run_tables(held.filter(own), shown.filter(own).withColumn("importance", F.col("importance").cast("decimal(6, 4)")))
+        snapshots.publish(s.spark, root, snapshots.write_run(s.spark, root, run, run, tables))
+    return root
+
+
+def point_read(s, root, skus):
+    rows = serving_tables.serve(s.spark, root, "r1", skus, 30, s.signal_status(), s.as_of())
+    return rows.select("user_id", "sku", "model_run_id", shown_points(F.col("points")).alias("points"), shown_factors(F.col("factors")).alias("factors"))
 
 
 @query("degraded_flag", """
@@ -176,6 +238,24 @@ def _(s):
     return serving.search_products(s.products(), "RING").select(*SERIES, "product_name")
 
 
+@query("trigram_search", r"""
+    SELECT 'ring' AS pattern, user_id, sku, product_name FROM products WHERE product_name ILIKE '%ring%'
+    UNION ALL SELECT 'r_n', user_id, sku, product_name FROM products WHERE product_name ILIKE '%r_n%'
+    UNION ALL SELECT 'SMA%R', user_id, sku, product_name FROM products WHERE product_name ILIKE '%SMA%R%'
+    UNION ALL SELECT 'e', user_id, sku, product_name FROM products WHERE product_name ILIKE '%e%'""")
+def _(s):
+    """Names by patterns of one, two and three and more plain characters, from an index kept in two steps."""
+    names, path = s.stored("products", s.products).select(*SERIES, "product_name"), scratch_path(s.spark, "postings")
+    half = F.pmod(F.xxhash64(*SERIES), F.lit(2)) == 0
+    search.index_names(names.withColumn("product_name", F.when(half, F.col("product_name")).otherwise("an earlier name")), path)
+    search.index_names(names.filter(~half), path)
+    out = None
+    for text in ("ring", "r_n", "SMA%R", "e"):
+        found = search.search_names(s.spark, path, names, text).select(F.lit(text).alias("pattern"), *names.columns)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("sales_history", """
     SELECT user_id, sku, date, quantity, round(revenue, 4) AS revenue, promo_flag FROM silver
     WHERE date BETWEEN (SELECT d FROM as_of) - 90 AND (SELECT d FROM as_of) - 10""")
@@ -223,6 +303,15 @@ def _(s):
     return keyed.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], offset=100, limit=50)
 
 
+@query("seek_page", """
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01' OR (o_orderdate = TIMESTAMP '1996-06-01' AND o_orderkey > 100)
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def _(s):
+    """The page behind a given row, without the rows ahead of it."""
+    rows = s.table("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return keyed.seek(rows, [("o_orderdate", True), ("o_orderkey", False)], [datetime(1996, 6, 1), 100], 50)
+
+
 @query("page_scan", """
     SELECT event_id, ts, event_type, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS page FROM events""")
 def _(s):

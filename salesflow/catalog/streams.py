@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from salesflow.catalog.features import gold, rounded
 from salesflow.catalog.registry import query
-from salesflow.catalog.validation import checked_views
+from salesflow.catalog.validation import CHECKED, MAX_ROWS, MAX_SKUS, checked_views
 from salesflow.plans import forecast, model, nightly, selection
 from salesflow.schemas import PAYLOADS, SERIES
 from salesflow.session import materialize, scratch_path
 from salesflow.sources.envelopes import to_envelope
 from salesflow.sources.sample_tables import SALES_ORDER, TABLES
 from salesflow.streaming import streams
+from salesflow.streaming.views import versions
 
 
 def event_stream(s):
@@ -47,7 +48,7 @@ def _(s):
 def _(s):
     """All days, also those still open."""
     out = scratch_path(s.spark, "stream-all-days")
-    finished(s, streams.stream_daily_counts(event_stream(s), f"{out}/bronze", f"{out}/rows", f"{out}/state"))
+    finished(s, streams.stream_daily_counts(event_stream(s), f"{out}/rows", f"{out}/state"))
     days = s.spark.read.schema("user_id string, event_count bigint, large_event_count bigint, date date").parquet(f"{out}/rows")
     return days.select("user_id", "date", "event_count", "large_event_count")
 
@@ -62,16 +63,31 @@ def _(s):
     return s.spark.read.schema("event_id bigint, event_type string, value double").parquet(f"{out}/rows")
 
 
+@query("stream_versions", "SELECT event_id, event_type, value + 1 AS value, ts + INTERVAL 10 DAY AS sent FROM events")
+def _(s):
+    """Every event comes again ten days later with a newer value, and once more with an older one; the newest stays."""
+    out = scratch_path(s.spark, "stream-versions")
+    rows = s.table("events").select("event_id", "event_type", "value", F.col("ts").alias("sent"))
+    later = rows.withColumns({"sent": F.col("sent") + F.expr("interval 10 days"), "value": F.col("value") + 1})
+    older = rows.withColumns({"sent": F.col("sent") - F.expr("interval 1 day"), "value": F.col("value") - 1})
+    for copies in (rows, later.unionByName(older)):
+        copies.write.mode("append").parquet(f"{out}/in")
+        arriving = s.spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        finished(s, streams.stream_versions(arriving, f"{out}/store", f"{out}/state", ["event_id"], ["sent"]))
+    return versions(s.spark, f"{out}/store", "event_id bigint, event_type string, value double, sent timestamp_ntz")
+
+
 @query("stream_bronze", """
-    SELECT concat('r', user_id % 5, ':', event_id) AS entity_key, CAST(ts AS DATE) AS observed_at, CAST(1 AS INTEGER) AS schema_version
-    FROM events""")
+    SELECT concat('r', user_id % 5, ':', event_id) AS entity_key, CAST(ts AS DATE) AS observed_at, CAST(1 AS INTEGER) AS schema_version,
+           concat('r', user_id % 5) AS user_id, value FROM events""")
 def _(s):
     out = scratch_path(s.spark, "stream-bronze")
     rows = event_stream(s).withColumn("day", F.to_date("ts"))
     messages = to_envelope(rows, "events", ["user_id", "event_id"], ["user_id", "value"], "day", F.col("ts"))
     finished(s, streams.stream_bronze(messages, f"{out}/rows", f"{out}/state"))
     bronze = s.spark.read.parquet(f"{out}/rows")
-    return bronze.select("entity_key", "observed_at", "schema_version")
+    body = F.from_json("payload", "user_id string, value double")
+    return bronze.select("entity_key", "observed_at", "schema_version", body.alias("p")).select("entity_key", "observed_at", "schema_version", "p.*")
 
 
 @query("stream_health", """
@@ -90,6 +106,7 @@ def _(s):
 
 @query("sales_event_stream", """
     SELECT concat(user_id, ':', sku) AS key, upload_id, CAST(date AS DATE) AS date, CAST(quantity AS DOUBLE) AS quantity,
+           TRY_CAST(revenue AS DOUBLE) AS revenue, TRY_CAST(price AS DOUBLE) AS price,
            promo_flag IN ('true', '1', 'yes') AS promo_flag FROM checked WHERE field IS NULL""", checked_views(10 ** 9, 10 ** 9))
 def _(s):
     """Upload rows arrive as files and leave as messages; read back from their payload."""
@@ -100,7 +117,22 @@ def _(s):
     finished(s, streams.stream_sales_events(arriving, f"{out}/rows", f"{out}/state", s.as_of().cast("timestamp")))
     sent = s.spark.read.json(f"{out}/rows")
     body = F.from_json(F.get_json_object("value", "$.payload"), PAYLOADS["sales_csv"])
-    return sent.select("key", body.alias("p")).select("key", "p.upload_id", "p.date", "p.quantity", "p.promo_flag")
+    return sent.select("key", body.alias("p")).select("key", "p.upload_id", "p.date", "p.quantity", "p.revenue", "p.price", "p.promo_flag")
+
+
+@query("sales_event_errors", f"""
+    SELECT upload_id, CAST(row_no AS INTEGER) AS row, field, message FROM checked WHERE field IS NOT NULL AND row_no - 1 <= {MAX_ROWS}
+    UNION ALL SELECT upload_id, row, field, message FROM beyond""", CHECKED)
+def _(s):
+    """Uploads that arrive in four parts: the limits of an upload hold for the whole of it."""
+    out = scratch_path(s.spark, "stream-parts")
+    rows = s.stored("upload_rows", lambda: s.upload_rows().drop("seq"))
+    for part in range(4):  # two rows each, the last one the rest
+        at = F.least(F.floor((F.col("row_no") - 2) / 2), F.lit(3))
+        rows.filter(at == part).write.mode("append").parquet(f"{out}/in")
+        arriving = s.spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        finished(s, streams.stream_sales_events(arriving, f"{out}/rows", f"{out}/state", s.as_of().cast("timestamp"), MAX_ROWS, MAX_SKUS, f"{out}/errors"))
+    return s.spark.read.schema("upload_id string, row int, field string, message string").parquet(f"{out}/errors")
 
 
 def ranked_gold(s):
@@ -111,7 +143,7 @@ def ranked_gold(s):
 
 @query("quantile_forecast")
 def _(s):
-    """Boosted median and band on the holdout of every series."""
+    """Boosted median and the band of each row on the holdout of every series."""
     ranked = ranked_gold(s)
     fitted = model.fit_quantiles(ranked.filter("back > 60"))
     return fitted.predict(ranked.filter("back <= 60")).select(
@@ -120,10 +152,9 @@ def _(s):
 
 @query("feature_importance")
 def _(s):
-    """Share of each feature in the splits of the fitted trees, per series."""
+    """Share of each feature in the loss that the fitted trees' splits take from the rows of each series."""
     ranked = ranked_gold(s)
-    fitted = model.fit_quantiles(ranked)
-    return model.importance_table(ranked.select(*SERIES).distinct(), fitted.fitted)
+    return model.series_importances(ranked, model.fit_quantiles(ranked))
 
 
 @query("recursive_forecast")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salesflow.catalog.registry import query
-from salesflow.operators import scan, validation
+from salesflow.operators import days, scan, validation
 from salesflow.operators.keyed import top_n
+from salesflow.session import scratch_path
 
 MAX_ROWS, MAX_SKUS = 6, 3  # of the queries about the limits themselves
 
@@ -114,6 +115,16 @@ def _(s):
     return validation.product_stats(s.silver_sales())
 
 
+@query("day_bitmaps", """
+    SELECT user_id, sku, CAST(count(DISTINCT date) AS INTEGER) AS sales_days, max(date) AS last_sale_date FROM sales_raw GROUP BY 1, 2""")
+def _(s):
+    """Days with sales, kept over three uploads, one of which comes twice."""
+    path, sales = scratch_path(s.spark, "days"), s.stored("sales_days", lambda: s.sales_raw().select("user_id", "sku", "date"))
+    for part in (0, 1, 2, 1):
+        days.add_days(s.spark, sales.filter(F.pmod(F.xxhash64("date"), F.lit(3)) == part), path)
+    return days.day_stats(s.spark.read.schema(days.DAYS).parquet(path))
+
+
 @query("calendar_validate", """
     SELECT row_no, trim(label) AS label,
            CASE WHEN trim(label) = '' THEN 'label' WHEN s IS NULL THEN 'start_date' WHEN e IS NULL THEN 'end_date'

@@ -43,6 +43,41 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def after(order: list[tuple[str, bool]], last: list) -> Column:
+    """Rows behind the row with the order keys ``last``; ``order`` is (column, whether descending). NULL is the smallest value."""
+    behind = F.lit(False)
+    for (column, descending), value in reversed(list(zip(order, last))):
+        c = F.col(column)
+        equal = c.isNull() if value is None else c == F.lit(value)
+        if descending:
+            beyond = F.lit(False) if value is None else (c < F.lit(value)) | c.isNull()
+        else:
+            beyond = c.isNotNull() if value is None else c > F.lit(value)
+        behind = beyond | (equal & behind)
+    return F.coalesce(behind, F.lit(False))
+
+
+def seek(df: DataFrame, order: list[tuple[str, bool]], last: list | None = None, limit: int = 50) -> DataFrame:
+    """The page behind the row whose order keys are ``last``, the first page without.
+
+    ``order`` must tell rows apart. The bound on the first key reaches the scan and the rest is a top-k, so a page costs the
+    same wherever it is, and rows that are added meanwhile neither repeat nor hide others.
+    """
+    if last is not None:
+        (first, descending), value = order[0], last[0]
+        if value is not None:  # a filter that files can be skipped by
+            df = df.filter((F.col(first) <= F.lit(value)) | F.col(first).isNull() if descending else F.col(first) >= F.lit(value))
+        df = df.filter(after(order, last))
+    keys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c, descending in order]
+    return df.orderBy(*keys).limit(limit)
+
+
+def cursor(page_rows: DataFrame, order: list[tuple[str, bool]]) -> list | None:
+    """Order keys of the last row of a page, for the next one; None behind the last page."""
+    rows = page_rows.select(*[c for c, _ in order]).tail(1)
+    return list(rows[0]) if rows else None
+
+
 def pages(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Every row of an ordered table with its ``page``, counted from 0, for a reader that fetches them all.
 

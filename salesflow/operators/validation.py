@@ -64,26 +64,21 @@ def sku_cap(rows: DataFrame, max_skus: int) -> DataFrame:
     return top_n(seen, ["upload_id"], [F.col("first_row"), F.col("sku")], max_skus)
 
 
-def validate_sales(rows: DataFrame, max_rows: int | None = None, max_skus: int | None = None) -> DataFrame:
-    """Text rows with ``error`` (NULL = valid) and typed values.
-
-    ``rows`` carry upload_id, row_no (header = 1) and the contract columns as text. The limits of an upload
-    (MAX_ROWS, MAX_SKUS) hold where they are given. The rows beyond the row limit are
-    one row with the limit's error, whose other columns are NULL.
-    """
+def cleaned_sales(rows: DataFrame) -> DataFrame:
+    """Upload rows with all contract columns, trimmed."""
     for name in OPTIONAL:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(""))
-    rows = rows.withColumns({c: clean(F.col(c)) for c in [*REQUIRED, *OPTIONAL]})
+    return rows.withColumns({c: clean(F.col(c)) for c in [*REQUIRED, *OPTIONAL]})
+
+
+def row_limit_error(row: Column, max_rows: int) -> Column:
+    return error(row, "file", f"Row limit exceeded ({max_rows})")
+
+
+def with_errors(rows: DataFrame, max_skus: int | None) -> DataFrame:
+    """Cleaned rows with ``error``, the first broken rule of each; ``_allowed`` is NULL where the SKU is beyond the limit, and goes."""
     at = F.col("row_no")
-    beyond = None
-    if max_rows is not None:
-        rows, beyond = row_cap(rows, max_rows)
-    if max_skus is None:
-        rows = rows.withColumn("_allowed", F.lit(True))
-    else:
-        allowed = sku_cap(rows, max_skus).select("upload_id", "sku", F.lit(True).alias("_allowed"))
-        rows = rows.join(allowed, ["upload_id", "sku"], "left")
     quantity, revenue = number_error("quantity", True), number_error("revenue", False)
     price = number_error("price", False)
     problem = F.coalesce(
@@ -95,7 +90,26 @@ def validate_sales(rows: DataFrame, max_rows: int | None = None, max_skus: int |
         F.when(price.isNotNull(), error(at, "price", price)),
         F.when(flag(F.col("promo_flag")).isNull(), error(at, "promo_flag", "must be true/false/0/1")),
     )
-    rows = rows.withColumn("error", problem).drop("_allowed")
+    return rows.withColumn("error", problem).drop("_allowed")
+
+
+def validate_sales(rows: DataFrame, max_rows: int | None = None, max_skus: int | None = None) -> DataFrame:
+    """Text rows with ``error`` (NULL = valid) and typed values.
+
+    ``rows`` carry upload_id, row_no (header = 1) and the contract columns as text. The limits of an upload
+    (MAX_ROWS, MAX_SKUS) hold where they are given. The rows beyond the row limit are
+    one row with the limit's error, whose other columns are NULL.
+    """
+    rows = cleaned_sales(rows)
+    beyond = None
+    if max_rows is not None:
+        rows, beyond = row_cap(rows, max_rows)
+    if max_skus is None:
+        rows = rows.withColumn("_allowed", F.lit(True))
+    else:
+        allowed = sku_cap(rows, max_skus).select("upload_id", "sku", F.lit(True).alias("_allowed"))
+        rows = rows.join(allowed, ["upload_id", "sku"], "left")
+    rows = with_errors(rows, max_skus)
     if beyond is None:
         return rows
     return rows.unionByName(beyond.select(

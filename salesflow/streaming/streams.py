@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from salesflow.operators.keyed import latest
-from salesflow.operators.validation import valid_sales, validate_sales
+from salesflow.operators.validation import cleaned_sales, error_rows, row_limit_error, valid_sales, with_errors
 from salesflow.sources.envelopes import parse_envelope, route, to_envelope
-from salesflow.sources.layers import exists
+from salesflow.sources.folders import exists
+from salesflow.streaming.views import apply_once, merge_versions
 
 
 def envelope_stream(spark: SparkSession, path: str | None = None, **kafka: str) -> DataFrame:
@@ -37,7 +39,7 @@ def stream_bronze(messages: DataFrame, out: str, checkpoint: str) -> StreamingQu
 def stream_dedupe(events: DataFrame, keys: list[str], time: str = "ingested_at", delay: str = "1 day") -> DataFrame:
     """First copy of each key while the watermark remembers it.
 
-    This bounds what republishing adds; the newest copy per day is still decided by the batch rule.
+    This bounds what republishing adds; ``stream_versions`` remembers all keys and keeps the newest copy.
     """
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
@@ -53,26 +55,27 @@ def stream_events_daily(events: DataFrame, time: str = "ts", delay: str = "1 day
     return counted.select("user_id", F.to_date("_day.start").alias("date"), "event_count", "large_event_count")
 
 
-def stream_daily_counts(events: DataFrame, bronze: str, table: str, checkpoint: str, time: str = "ts") -> StreamingQuery:
+def stream_daily_counts(events: DataFrame, table: str, checkpoint: str, time: str = "ts") -> StreamingQuery:
     """Local events per tenant and day in ``table``, one folder per day, with days still open and rows however late.
 
-    Events of a batch go to a Bronze folder of that batch, so a repeated batch replaces itself; the days they name are
-    then counted again from all of Bronze and replaced.
+    A batch is counted by itself and its counts are added once to the days it names (``views.apply_once``); earlier rows are not
+    read again.
     """
-    schema = "user_id string, large boolean, date date"
 
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("user_id", F.coalesce("large_venue", F.lit(False)).alias("large"), F.to_date(time).alias("date"))
-        rows.filter("date IS NOT NULL").write.mode("overwrite").partitionBy("date").parquet(f"{bronze}/batch={number}")
-        days = spark.read.schema(schema).parquet(f"{bronze}/batch={number}").select("date").distinct()
-        held = spark.read.schema(f"{schema}, batch bigint").parquet(bronze).join(days, "date", "left_semi")
-        counted = held.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("event_count"), F.count_if("large").alias("large_event_count"))
-        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+        counted = batch.groupBy("user_id", F.to_date(time).alias("date")).agg(
+            F.count(F.lit(1)).alias("event_count"), F.count_if(F.coalesce("large_venue", F.lit(False))).alias("large_event_count"))
+        apply_once(counted, number, table, ["user_id"], "date")
 
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_versions(events: DataFrame, store: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """The newest version of every key in ``store`` (``views.merge_versions``), however long ago its first copy came."""
+    return events.writeStream.foreachBatch(lambda batch, _: merge_versions(batch, store, keys, order)).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merge_health(reports: DataFrame, table: str) -> None:
     """Newest report per signal of the stored table and ``reports``; repeating a batch changes nothing.
 
@@ -115,20 +118,81 @@ def stream_route(messages: DataFrame, events_out: str, health_table: str, checkp
         availableNow=True).start()
 
 
-def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at: Column) -> StreamingQuery:
-    """Valid rows of arriving uploads as sales messages keyed by tenant and SKU.
+UPLOAD_STATE = "skus array<string>, beyond boolean"
+FORGET_AFTER_MS = 7 * 24 * 3600 * 1000  # an upload without rows for so long is over
 
-    The limits of an upload belong to the upload as a whole and are checked where it is complete
-    (``validate_sales``), not here, where a batch may hold a part of it. ``ingested_at`` stamps the messages, so that a
-    repeated batch writes the same ones.
+
+def limit_uploads(rows: DataFrame, max_rows: int | None, max_skus: int | None) -> DataFrame:
+    """A stream of upload rows with ``_allowed`` (NULL: the SKU is beyond the limit) and ``_beyond`` (the row is beyond the row limit).
+
+    The SKUs an upload has been granted, in order of appearance, and whether its row limit has been reported are carried from
+    batch to batch. Of the rows beyond the row limit the first one is given, once; what else is held is at most the limits' size.
+    SKUs of one batch appear in the order of row numbers.
+    """
+    names = rows.columns
+
+    def judge(key, chunks, state):
+        skus, beyond = ([*state.get[0]], state.get[1]) if state.exists else ([], False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, first = [], None
+        for chunk in chunks:
+            if max_rows is not None:
+                over = chunk[chunk["row_no"] - 1 > max_rows]
+                if len(over):
+                    low = over.loc[[over["row_no"].idxmin()]]
+                    first = low if first is None or low["row_no"].iloc[0] < first["row_no"].iloc[0] else first
+                    chunk = chunk[chunk["row_no"] - 1 <= max_rows]
+            held.append(chunk)
+        if max_skus is not None:
+            named = pd.concat([c[["row_no", "sku"]] for c in held])
+            named = named[named["sku"] != ""].sort_values(["row_no", "sku"], kind="stable")
+            granted = set(skus)
+            for sku in named["sku"].drop_duplicates():
+                if sku not in granted and len(skus) < max_skus:
+                    skus.append(sku)
+                    granted.add(sku)
+        for chunk in held:
+            allowed = True if max_skus is None else chunk["sku"].isin(skus).where(lambda c: c, None)
+            yield chunk.assign(_allowed=allowed, _beyond=False)[[*names, "_allowed", "_beyond"]]
+        if first is not None and not beyond:
+            beyond = True
+            yield first.assign(_allowed=True, _beyond=True)[[*names, "_allowed", "_beyond"]]
+        state.update((skus, beyond))
+        state.setTimeoutDuration(FORGET_AFTER_MS)
+
+    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], "_allowed boolean", "_beyond boolean"])
+    return rows.groupBy("upload_id").applyInPandasWithState(judge, out, UPLOAD_STATE, "append", "ProcessingTimeTimeout")
+
+
+def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at: Column, max_rows: int | None = None,
+                        max_skus: int | None = None, errors_out: str | None = None) -> StreamingQuery:
+    """Valid rows of arriving uploads as sales messages keyed by tenant and SKU, and to ``errors_out`` what ``error_rows`` has.
+
+    An upload may arrive in parts; its limits hold for the whole of it (``limit_uploads``). ``ingested_at`` stamps the messages,
+    and both outputs have a folder per batch, so that a repeated batch writes the same.
     """
+    rows = cleaned_sales(rows)
+    limited = max_rows is not None or max_skus is not None
+    if limited:
+        rows = limit_uploads(rows, max_rows, max_skus)
 
     def store(batch: DataFrame, number: int) -> None:
-        valid = valid_sales(validate_sales(batch))
-        messages = to_envelope(valid, "sales_csv", ["user_id", "sku"],
+        if limited:
+            over = F.col("_beyond")
+            judged = with_errors(batch, max_skus).withColumn("error", F.when(over, row_limit_error(F.col("row_no"), max_rows)).otherwise(
+                F.col("error"))).drop("_beyond")
+        else:
+            judged = with_errors(batch.withColumn("_allowed", F.lit(True)), None)
+        judged.persist()
+        messages = to_envelope(valid_sales(judged), "sales_csv", ["user_id", "sku"],
                                ["user_id", "upload_id", "sku", "date", "quantity", "revenue", "price", "promo_flag"],
                                "date", ingested_at)
         messages.write.mode("overwrite").json(f"{out}/batch={number}")
+        if errors_out:
+            error_rows(judged).write.mode("overwrite").parquet(f"{errors_out}/batch={number}")
+        judged.unpersist()
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

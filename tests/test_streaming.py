@@ -1,10 +1,13 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from rows import table
+from salesflow.operators.validation import error_rows, valid_sales, validate_sales
 from salesflow.session import scratch_path
 from salesflow.streaming import streams
+from salesflow.streaming.views import versions
 
 
 def land(folder, name, messages):
@@ -38,12 +41,12 @@ def test_days_close_behind_the_watermark(spark, tmp_path):
 
 
 def test_daily_counts_hold_late_and_open_days(spark, tmp_path):
-    out, bronze, state = (scratch_path(spark, x) for x in ("out", "bronze", "state"))
+    out, state = (scratch_path(spark, x) for x in ("out", "state"))
     schema = "user_id string, ts timestamp, large_venue boolean"
     for i, days in enumerate([(1, 1, 2, 20), (1, 20, 3)]):
         land(tmp_path / "in", f"{i}.json", [{"user_id": "u1", "ts": f"2026-07-{d:02d}T05:00:00Z", "large_venue": d % 2 == 0} for d in days])
         events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        streams.stream_daily_counts(events, bronze, out, state).awaitTermination()
+        streams.stream_daily_counts(events, out, state).awaitTermination()
     assert table(spark.read.parquet(out), "user_id", "date", "event_count", "large_event_count") == [
         ("u1", "2026-07-01", 3, 0), ("u1", "2026-07-02", 1, 1), ("u1", "2026-07-03", 1, 0), ("u1", "2026-07-20", 2, 2)]
 
@@ -57,6 +60,43 @@ def test_copies_are_dropped_across_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
+def test_versions_of_a_key_arrive_over_runs(spark, tmp_path):
+    store, state = scratch_path(spark, "store"), scratch_path(spark, "state")
+    schema = "k string, ingested_at timestamp, v int"
+    for i, (day, v) in enumerate([("2026-07-01", 1), ("2026-07-11", 2), ("2026-06-01", 0)]):
+        land(tmp_path / "in", f"{i}.json", [{"k": "x", "ingested_at": f"{day}T05:00:00Z", "v": v}, {"k": f"only {i}", "ingested_at": f"{day}T05:00:00Z", "v": v}])
+        events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        streams.stream_versions(events, store, state, ["k"], ["ingested_at"]).awaitTermination()
+    assert table(versions(spark, store, schema), "k", "v") == [("only 0", 1), ("only 1", 2), ("only 2", 0), ("x", 2)]
+
+
+NAMES = ["upload_id", "user_id", "row_no", "date", "sku", "product_name", "quantity", "revenue", "price", "promo_flag"]
+
+
+def upload(seed):
+    """Rows of some uploads with faults, blank SKUs and SKUs that come back."""
+    rnd, rows = random.Random(seed), []
+    for u in range(5):
+        for n in range(2, rnd.randint(6, 26)):
+            rows.append([f"up{u}", "u1", n, rnd.choice(["2026-07-01", "bad"]), rnd.choice(["A", " B", "C ", "D", "E", " "]), "Mug",
+                         rnd.choice(["3", "-1", "x"]), "9", "", rnd.choice(["", "yes", "maybe"])])
+    return rows
+
+
+def test_an_upload_in_four_parts_has_the_errors_of_the_whole(spark, tmp_path):
+    schema = ", ".join(f"{n} {'int' if n == 'row_no' else 'string'}" for n in NAMES)
+    for limits in ((12, 3), (None, 2), (15, None)):
+        rows, out, errors, state = upload(limits[0] or 1), scratch_path(spark, "out"), scratch_path(spark, "errors"), scratch_path(spark, "state")
+        folder = tmp_path / f"in{limits}"
+        for part in range(4):
+            land(folder, f"{part}.json", [dict(zip(NAMES, r)) for r in rows if min((r[2] - 2) // 5, 3) == part])
+            arriving = spark.readStream.schema(schema).json(str(folder))
+            streams.stream_sales_events(arriving, out, state, F.lit("2026-07-02").cast("timestamp"), *limits, errors).awaitTermination()
+        whole = validate_sales(spark.createDataFrame(rows, schema), *limits)
+        assert table(spark.read.parquet(errors), "upload_id", "row", "field", "message") == table(error_rows(whole))
+        assert spark.read.json(out).count() == valid_sales(whole).count()
+
+
 def test_health_keeps_the_newest_report(spark, tmp_path):
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
     schema = "signal string, status string, reported_at timestamp"
