@@ -119,7 +119,7 @@ def stream_route(messages: DataFrame, events_out: str, health_table: str, checkp
 
 
 UPLOAD_STATE = "skus array<string>, beyond boolean"
-FORGET_AFTER_MS = 7 * 24 * 3600 * 1000  # an upload without rows for so long is over
+FORGET_AFTER = 7  # days: an upload without rows for so long is over
 
 
 def limit_uploads(rows: DataFrame, max_rows: int | None, max_skus: int | None) -> DataFrame:
@@ -130,14 +130,16 @@ def limit_uploads(rows: DataFrame, max_rows: int | None, max_skus: int | None) -
     SKUs of one batch appear in the order of row numbers.
     """
     names = rows.columns
+    arriving = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 hour")
 
     def judge(key, chunks, state):
-        skus, beyond = ([*state.get[0]], state.get[1]) if state.exists else ([], False)
         if state.hasTimedOut:
             state.remove()
             return
-        held, first = [], None
+        skus, beyond = ([*state.get[0]], state.get[1]) if state.exists else ([], False)
+        held, first, now = [], None, 0
         for chunk in chunks:
+            now = max(now, int(chunk["_arrived"].max().timestamp() * 1000))
             if max_rows is not None:
                 over = chunk[chunk["row_no"] - 1 > max_rows]
                 if len(over):
@@ -160,10 +162,10 @@ def limit_uploads(rows: DataFrame, max_rows: int | None, max_skus: int | None) -
             beyond = True
             yield first.assign(_allowed=True, _beyond=True)[[*names, "_allowed", "_beyond"]]
         state.update((skus, beyond))
-        state.setTimeoutDuration(FORGET_AFTER_MS)
+        state.setTimeoutTimestamp(now + FORGET_AFTER * 24 * 3600 * 1000)
 
     out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], "_allowed boolean", "_beyond boolean"])
-    return rows.groupBy("upload_id").applyInPandasWithState(judge, out, UPLOAD_STATE, "append", "ProcessingTimeTimeout")
+    return arriving.groupBy("upload_id").applyInPandasWithState(judge, out, UPLOAD_STATE, "append", "EventTimeTimeout")
 
 
 def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at: Column, max_rows: int | None = None,
