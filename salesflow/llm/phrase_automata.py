@@ -8,8 +8,8 @@
 3. Automata. The windows of confirmed passages are dealt into shards by their anchor and compiled with pyahocorasick over
    numbers of exact words, so that a hash never decides what is removed. Each document's stretches around recurring anchors
    go, as text, to the shards of their anchors and stream through. A shard of too many phrases is dealt into parts that each
-   see its stretches; a shard of too many stretches is copied to several tasks that share them. The counts that decide
-   this come from the confirmation. A task holds one automaton and one batch of stretches.
+   see its stretches; a shard of too many stretches is copied to several tasks that share them. What decides this has been
+   counted before. A task holds one automaton and one batch of stretches.
 4. A located phrase whose first document has a smaller id is removed.
 
 All steps deal by hashes; no list is longer than a document. Nulls and texts without words have nothing to remove
@@ -37,7 +37,7 @@ WINDOW, K = 13, 6
 SPAN = WINDOW - K + 1
 PHRASES = 200_000  # in one automaton, at most: about 100 MB
 VARIANTS = 16  # pieces with one core before they are entered window by window
-LOCATED = 1_000_000  # occurrences of windows that one task gets, about
+STRETCHES = 200_000  # anchors whose stretches one task gets, about
 SLOT = 20  # bits of an anchor's hash that a window's second hash ends in
 SHARE = 12  # bits for the part and for the task in the number of a task's group
 APART = b"\xff"  # no UTF-8 text holds this byte: a word that is in no phrase
@@ -369,13 +369,14 @@ def located_spans(texts: DataFrame, passages: DataFrame, plan: DataFrame, shards
     return ordered.mapInArrow(each, f"k {kind}, v bigint, start bigint, end bigint")
 
 
-def dealt(confirmed: DataFrame, per_automaton: int, per_task: int) -> tuple[int, DataFrame]:
-    """Number of shards, and the parts and tasks of each, from what was counted."""
+def dealt(confirmed: DataFrame, loads: DataFrame, per_automaton: int, per_task: int) -> tuple[int, DataFrame]:
+    """Number of shards, and the parts and tasks of each, from the phrases and the stretches (``loads``: slot, n) that were counted."""
     shards = max(1, min(1 << SLOT, -(-2 * confirmed.count() // per_automaton)))
-    shard = F.pmod(F.col("h2").bitwiseAND((1 << SLOT) - 1), F.lit(shards))
-    share = lambda n, limit: F.least(F.ceil(n / limit), F.lit((1 << SHARE) - 1)).alias
-    return shards, materialize(confirmed.groupBy(shard.alias("shard")).agg(
-        share(F.count("*"), per_automaton)("parts"), share(F.sum("n"), per_task)("tasks")), "shards")
+    shard = lambda slot: F.pmod(slot, F.lit(shards)).alias("shard")
+    share = lambda n, limit, name: F.least(F.ceil(n / limit), F.lit((1 << SHARE) - 1)).alias(name)
+    parts = confirmed.groupBy(shard(F.col("h2").bitwiseAND((1 << SLOT) - 1))).agg(share(F.count("*"), per_automaton, "parts"))
+    tasks = loads.groupBy(shard(F.col("slot"))).agg(share(F.sum("n"), per_task, "tasks"))
+    return shards, materialize(parts.join(tasks, "shard"), "shards")
 
 
 RESULT = "n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
@@ -409,7 +410,7 @@ def without_spans(texts: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(each, f"k {kind}, {RESULT}")
 
 
-def remove_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", per_automaton: int = PHRASES, per_task: int = LOCATED) -> DataFrame:
+def remove_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", per_automaton: int = PHRASES, per_task: int = STRETCHES) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and spans (the removed runs of words), one row per row of docs."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     body = docs[text].cast("string")
@@ -419,15 +420,17 @@ def remove_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     tidy(spark)
     grams = materialize(found.join(recurring, "g", "left_semi").groupBy("k").agg(F.collect_set("g").alias("grams")), "grams")
     tidy(spark, found, recurring)
+    each = grams.select(F.explode("grams").alias("g")).groupBy(F.shiftrightunsigned("g", 64 - SLOT).alias("slot"))
+    loads = materialize(each.agg(F.count("*").alias("n")), "loads")  # at most 2 ** SLOT rows
     texts = materialize(held_texts(held, grams, kind), "texts")
     tidy(spark, grams)
     some = texts.filter("grams IS NOT NULL")
-    counted = window_rows(some, kind).groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
-    confirmed = materialize(counted.filter("first < last").select("h1", "h2", "first", "n"), "confirmed")
+    counted = window_rows(some, kind).groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    confirmed = materialize(counted.filter("first < last").select("h1", "h2", "first"), "confirmed")
     tidy(spark)
     passages = materialize(passages_of(some, confirmed, kind), "passages")
-    shards, plan = dealt(confirmed, per_automaton, per_task)
-    tidy(spark, confirmed)
+    shards, plan = dealt(confirmed, loads, per_automaton, per_task)
+    tidy(spark, confirmed, loads)
     spans = materialize(located_spans(some, passages, plan, shards, kind), "spans")
     tidy(spark, passages, plan)
     whole = texts.filter("grams IS NULL").select("k", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256",
