@@ -124,15 +124,14 @@ def _(s):
     SELECT upload_id, CAST(row_no AS INTEGER) AS row, field, message FROM checked WHERE field IS NOT NULL AND row_no - 1 <= {MAX_ROWS}
     UNION ALL SELECT upload_id, row, field, message FROM beyond""", CHECKED)
 def _(s):
-    """Uploads that arrive in four parts: the limits of an upload hold for the whole of it."""
+    """Uploads that arrive in two parts: the limits of an upload hold for the whole of it."""
     out = scratch_path(s.spark, "stream-parts")
     rows = s.stored("upload_rows", lambda: s.upload_rows().drop("seq"))
-    for part in range(4):  # two rows each, the last one the rest
-        at = F.least(F.floor((F.col("row_no") - 2) / 2), F.lit(3))
-        rows.filter(at == part).write.mode("append").parquet(f"{out}/in")
+    for part in (F.col("row_no") <= 4, F.col("row_no") > 4):
+        rows.filter(part).write.mode("append").parquet(f"{out}/in")
         arriving = s.spark.readStream.schema(rows.schema).parquet(f"{out}/in")
         finished(s, streams.stream_sales_events(arriving, f"{out}/rows", f"{out}/state", s.as_of().cast("timestamp"), MAX_ROWS, MAX_SKUS, f"{out}/errors"))
-    return s.spark.read.schema("upload_id string, row int, field string, message string").parquet(f"{out}/errors")
+    return s.spark.read.schema("upload_id string, row int, field string, message string").parquet(f"{out}/errors").drop("batch")
 
 
 def ranked_gold(s):

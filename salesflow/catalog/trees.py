@@ -47,7 +47,7 @@ def placed(s):
 
 @query("leaf_quantiles", """
     SELECT p.user_id, p.sku, p.date, q.q10, q.q50, q.q90 FROM placed p JOIN bands q USING (a, b)""", {**PLACED, "grid": f"""
-    SELECT unnest({GRID}) AS g""", "share_a": f"""
+    SELECT CAST(unnest({GRID}) AS DOUBLE) AS g""", "share_a": f"""
     SELECT a, g, avg(CASE WHEN quantity - roll_mean_28 <= g OR g = {GRID[-1]} THEN 1.0 ELSE 0.0 END) AS share FROM placed CROSS JOIN grid
     GROUP BY a, g""", "share_b": f"""
     SELECT b, g, avg(CASE WHEN quantity - roll_mean_28 <= g OR g = {GRID[-1]} THEN 1.0 ELSE 0.0 END) AS share FROM placed CROSS JOIN grid

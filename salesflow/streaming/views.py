@@ -98,4 +98,4 @@ def merge_versions(batch: DataFrame, store: str, keys: list[str], order: list[st
 
 def versions(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """The newest version of every key of a store."""
-    return spark.read.schema(schema).parquet(f"{store}/rows")
+    return spark.read.schema(schema).parquet(f"{store}/rows").drop("bucket")
