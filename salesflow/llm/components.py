@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from salesflow.session import materialize
+from salesflow.session import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.select("a", "b").distinct(), "edges")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    labels = materialize(labels, "labels")
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
         hook = materialize(hook.join(hook.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", "top"), "hooks")
-        labels = materialize(labels.join(hook.withColumnRenamed("a", "comp"), "comp", "left").select(
+        renamed = materialize(labels.join(hook.withColumnRenamed("a", "comp"), "comp", "left").select(
             "node", F.coalesce("top", "comp").alias("comp")), "labels")
-        edges = edges.join(hook, "a").select(F.col("top").alias("x"), "b").join(hook.select(F.col("a").alias("b"), F.col("top").alias("y")), "b")
-        edges = materialize(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        moved = edges.join(hook, "a").select(F.col("top").alias("x"), "b").join(hook.select(F.col("a").alias("b"), F.col("top").alias("y")), "b")
+        left = materialize(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(edges, hook, labels)
+        edges, labels = left, renamed
+    discard(edges)
     return labels

@@ -10,7 +10,9 @@ so a source's words meet its target to the word. Each source thus has an exact n
 over the output shards splits these quotas: at each node the left half's share of every source is drawn from a
 multivariate hypergeometric distribution, the right half gets the rest, so the shards' quotas add up exactly. A source's
 slots, permuted pass by pass, then go to the shards in runs of their quotas: disjoint blocks. Within a shard, rows
-are ordered by a hash (``place``), a local shuffle. All draws follow from SEED, so reruns agree.
+are ordered by a hash (``place``), a local shuffle. All draws follow from SEED, so reruns agree. Quotas of a billion slots and
+more are drawn source by source, counts that large by the normal law; they add up exactly all the same. Targets and quotas
+have one row a source, and one task sees them all.
 
 Null and empty texts have size 0; a source without words has target 0. Every row gives one row; rows that repeat an id
 are dealt together. Other columns are ignored. Positions among a source's blocks are counted in two steps (BUCKETS
@@ -19,6 +21,8 @@ ranges of the permuted order, then within a range), so no task holds a source.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,6 +31,7 @@ from salesflow.session import materialize
 
 WEIGHTS, CAP = (1, 2, 3), 3
 BLOCK_DOCS, BUCKETS, SHARDS, SEED = 32, 256, 16, 7
+LIBRARY = 10 ** 9  # NumPy draws from fewer than so many
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -47,6 +52,31 @@ def targets(sizes: DataFrame) -> DataFrame:
         F.least(F.col("water") * F.col("weight"), (CAP * F.col("source_size")).cast("double")).alias("target"))
 
 
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` drawn ones are good; beyond the library's range by the normal law, cut to what can be."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    if max(good, bad) < LIBRARY:
+        return int(draw.hypergeometric(good, bad, take))
+    whole = good + bad
+    mean = take * good / whole
+    return min(max(round(mean + math.sqrt(mean * (bad / whole) * ((whole - take) / (whole - 1))) * draw.standard_normal()), low), high)
+
+
+def hypergeometric_parts(draw: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` drawn ones are of each kind."""
+    rest = int(have.sum())
+    if rest < LIBRARY:
+        return draw.multivariate_hypergeometric(have, take, method="marginals")
+    parts = []
+    for own in have.tolist():
+        rest -= own
+        parts.append(hypergeometric(draw, own, rest, take))
+        take -= parts[-1]
+    return np.array(parts, np.int64)
+
+
 def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(g, shard, quota) from (g, quota): exact parts of each source's quota for every shard.
 
@@ -62,7 +92,7 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         middle = (low + high) // 2
         have = rows["quota"].to_numpy()
         draw = np.random.Generator(np.random.PCG64([seed, low, high]))
-        left = draw.multivariate_hypergeometric(have, int(have.sum()) * (middle - low) // (high - low), method="marginals")
+        left = hypergeometric_parts(draw, have, int(have.sum()) * (middle - low) // (high - low))
         return pd.concat([rows.assign(quota=left, high=middle), rows.assign(quota=have - left, low=middle)])
 
     for _ in range(int(shards - 1).bit_length()):

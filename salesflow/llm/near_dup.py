@@ -10,9 +10,11 @@ are confirmed on their full sets.
 
 Documents with the same set are one class, and only its smallest id goes on. In a bucket of many classes no pairs are
 written out wholesale: each member is checked against one of the bucket, links are confirmed, components formed, and
-only members of different components are compared again: three times against another member, at last in blocks of
-bounded size, where sketches decide which pairs are written. So groups of near copies cost a few checks a member, and
-no pair that shares a bucket is left unchecked.
+only members of different components are compared again, three times against another member. What then is still apart in
+one bucket is joined by an exact filter: with shingles ordered from the rarest on, two linked sets share one among the first
+seventh of the smaller and the first quarter of the larger. A passage that many texts share is at the end of that order,
+and texts that have hardly anything else are linked by then; so the pairs that come out are few, whatever the bucket's size,
+and no linked pair that shares a bucket is lost.
 
 Null or empty texts and texts without a word have no shingles and are linked with nothing. Rows that repeat an id
 with the same text get the same result; rows that repeat it with other texts are one document, linked with
@@ -25,18 +27,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from salesflow.llm.components import components
+from salesflow.llm.steps import tidy
 from salesflow.llm.textbytes import FOLDED, Words, batch_bytes, grams, lists, mix, signed, slices
-from salesflow.session import discard, materialize
+from salesflow.session import materialize
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS, SET_BITS = 28, 3, 512, 1024
 SIGMAS = 5.5
-BLOCK = 256
+PER_COPY = 500  # pairs of one document that meet one copy of its row
 ROUNDS = 3
 _draw = np.random.Generator(np.random.PCG64(20240229))
 FLIPS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -158,56 +160,67 @@ def apart(left: str, right: str) -> F.Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b) joined with ``right`` on b and with ``left`` on a. An ``a`` of many pairs is dealt out by b, and its row copied as often."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).alias("copies")).filter("copies > 1")
+    own = F.coalesce(F.col("copies"), F.lit(1).cast("bigint"))
+    dealt = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), own)).drop("copies")
+    copied = left.join(hot, "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), own - 1))).drop("copies")
+    return dealt.join(right, "b").join(copied, ["a", "copy"]).drop("copy")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
     left = reps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
     right = reps.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = joined(pairs, left, right)
     return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("sa", "sb") <= most_bits(percent))
                        & (apart("pa", "pb") <= most_parity(F.col("na") + F.col("nb"), percent, F.sqrt, F.exp, F.least))).select("a", "b")
 
 
+def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """k and full shingle set of the documents named in ``wanted`` (k)."""
+    held = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).join(wanted, "k", "left_semi")
+    return set_rows(held, "k", "t")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Those pairs whose full sets are similar enough; sets are made for the documents in question only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    held = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).join(wanted, F.col("k") == F.col("w"), "left_semi")
-    sets = materialize(set_rows(held, "k", "t"), "sets")
-    both = pairs.join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b").join(
-        sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a")
+    sets = materialize(sets_of(docs, key, text, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()), "sets")
+    left, right = sets.select(F.col("k").alias("a"), F.col("items").alias("x")), sets.select(F.col("k").alias("b"), F.col("items").alias("y"))
+    both = joined(pairs, left, right)
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).filter(
-        (F.col("a") != F.col("b")) & (100 * F.col("i") >= percent * F.col("u"))).select("a", "b").distinct()
+    found = materialize(both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).filter(
+        (F.col("a") != F.col("b")) & (100 * F.col("i") >= percent * F.col("u"))).select("a", "b").distinct(), "links")
+    tidy(found.sparkSession, sets)
+    return found
 
 
-def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components whose sketches allow a link, compared in blocks.
+def prefix_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Pairs of members (k, comp) of different components that can be linked, by their rarest shingles.
 
-    A bucket of m members is dealt into m / BLOCK blocks, and each pair of blocks is one task's group.
+    Of the smaller set of a linked pair at least 2 t / (1 + t) is shared, of the larger one t. So the rarest shared shingle is among
+    the first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger, in any order that is the
+    same for all. Rows that repeat an id have each text's set.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "comp", "n", "sketch", "parity")
-    limit = most_bits(percent)
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k", ignore_index=True)
-        k, comp, n, own = (group[c].to_numpy() for c in ("k", "comp", "n", "own"))
-        words, whole = (np.stack(group[c].to_numpy()).view(np.uint64) for c in ("sketch", "parity"))
-        twice = group["i"].iloc[0] == group["j"].iloc[0]
-        ok = (comp[:, None] != comp) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-        x, y = np.nonzero(np.triu(ok if twice else ok & (own[:, None] != own), 1))
-        good = np.bitwise_count(words[x] ^ words[y]).sum(axis=1) <= limit
-        x, y = x[good], y[good]
-        good = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1) <= most_parity(n[x] + n[y], percent, np.sqrt, np.exp, np.minimum)
-        return pd.DataFrame({"a": k[x[good]], "b": k[y[good]]})
-
-    kind = rows.schema["k"].dataType.simpleString()
-    return spread.groupBy("bucket", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    sets = sets_of(docs, key, text, members.select("k")).join(members, "k")
+    items = materialize(sets.filter(F.size("items") > 0).select(
+        "k", "comp", F.xxhash64("items").alias("set"), F.size("items").alias("n"), F.explode("items").alias("item")), "shingles")
+    rare = items.groupBy("item").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("k", "set").orderBy("times", "item")
+    n, least, smaller = F.col("n"), F.ceil(F.col("n") * percent / 100 - 1e-9), F.ceil(F.col("n") * (2 * percent / (100 + percent)) - 1e-9)
+    ranked = items.join(rare, "item").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= n - least + 1)
+    ranked = materialize(ranked.select("k", "comp", "n", "item", (F.col("at") <= n - smaller + 1).alias("early")), "rarest")
+    x, y = ranked.alias("x"), ranked.filter("early").alias("y")
+    met = F.expr("x.item = y.item AND x.comp <> y.comp") & (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    pairs = materialize(x.join(y, met).select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct(), "met")
+    tidy(pairs.sparkSession, items, ranked)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable) and kept, one row per row of docs; ``text_hash`` adds the text's hash."""
+    spark = docs.sparkSession
     found = materialize(signatures(docs, key, text), "signatures")
     sets = found.filter("n > 0 AND k IS NOT NULL")
     classes = materialize(sets.groupBy("h1", "h2").agg(F.min("k").alias("rep")), "classes")
@@ -217,8 +230,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = materialize(entries.join(full.select("bucket", "lead"), "bucket"), "members")
     small = materialize(reps.select("k", "n", "sketch", "parity").join(members.select("k").distinct(), "k", "left_semi"), "reps")
 
-    stars = members.filter("k <> lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct()
-    links = materialize(confirmed(materialize(likely(stars, small, percent), "likely"), docs, key, text, percent), "links")
+    stars = materialize(members.filter("k <> lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct(), "stars")
+    first = materialize(likely(stars, small, percent), "likely")
+    links = confirmed(first, docs, key, text, percent)
+    tidy(spark, stars, first)
     labels = components(links)
     seen = None
     for turn in range(1, ROUNDS + 2):
@@ -231,21 +246,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         if rest.isEmpty():
             break
         if turn <= ROUNDS:
-            pairs = rest.filter("comp <> lead.comp").select(
-                F.least("k", "lead.k").alias("a"), F.greatest("k", "lead.k").alias("b")).distinct()
-            pairs = likely(pairs, small, percent)
+            met = materialize(rest.filter("comp <> lead.comp").select(
+                F.least("k", "lead.k").alias("a"), F.greatest("k", "lead.k").alias("b")).distinct(), "met")
         else:
-            pairs = block_pairs(rest.select("bucket", "k", "comp").join(small, "k"), percent)
+            met = prefix_pairs(rest.select("k", "comp").distinct(), docs, key, text, percent)
+        pairs = likely(met, small, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "likely")
+        tidy(spark, rest, met)
         seen = pairs if seen is None else seen.union(pairs)
         if pairs.isEmpty():
             continue
-        more = materialize(confirmed(pairs, docs, key, text, percent), "links")
+        more = confirmed(pairs, docs, key, text, percent)
         if not more.isEmpty():
             links = links.union(more)
-            labels = components(links)
+            before, labels = labels, components(links)
+            tidy(spark, before)
+    tidy(spark, members, small)
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     out = found.filter("n > 0").join(named, ["h1", "h2"], "left").select("k", "v", "n", "comp").union(

@@ -4,14 +4,15 @@ import os
 import random
 
 import brute
+import numpy as np
 import pytest
 from odd_texts import LONG, ODD
 
 import corpus_pipeline
 from salesflow.llm.decontaminate import decontaminate
 from salesflow.llm.kneser_ney import quality_scores, train
-from salesflow.llm.mixture import mix, split
-from salesflow.llm.near_dup import near_duplicates
+from salesflow.llm.mixture import hypergeometric_parts, mix, split
+from salesflow.llm.near_dup import near_duplicates, prefix_pairs
 from salesflow.llm.queries import ORACLES, QUERIES
 from salesflow.llm.suffix_levels import Index, remove_repeats
 from tools.check import rows_of, sql_rows
@@ -42,6 +43,32 @@ def test_near_duplicates(docs):
     assert len({v[1] for v in want.values()}) < len(rows) - 10
 
 
+def test_texts_around_one_passage_are_compared_by_what_is_rare(docs):
+    """One bucket of many texts that share a passage and little else; some of them are linked."""
+    rnd = random.Random(31)
+    passage, rows = words(rnd, 40, 900), []
+    for i in range(150):
+        own = words(rnd, rnd.choice([3, 6, 9, 14, 25]), 100000)
+        rows.append((i, " ".join(passage + own)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(passage + own[:-1] + ["changed"])))
+    want = brute.near_duplicates(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(docs(rows)).collect()}
+    assert got == want and len({v[1] for v in want.values()}) > 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rarest_shingles_meet_for_every_linked_pair(spark, docs, seed):
+    rnd = random.Random(seed)
+    passage = words(rnd, 30, 900)
+    rows = [(i, " ".join(passage[:rnd.randint(0, 30)] + words(rnd, rnd.randint(0, 12), 60))) for i in range(120)]
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "k bigint, comp bigint")
+    met = {(r.a, r.b) for r in prefix_pairs(members, docs(rows), "doc_id", "text", 75).collect()}
+    sets = {d: {" ".join(x) for x in brute.shingles(t)} for d, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked and linked <= met
+
+
 def test_near_duplicates_odd(odd):
     got = near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 2
@@ -131,6 +158,21 @@ def test_split_gives_exact_quotas(spark):
     assert set(got.groupby("shard").quota.sum()) <= {129, 130}
 
 
+@pytest.mark.parametrize("have", [[10 ** 9, 5, 0, 3 * 10 ** 11], [10 ** 12] * 4, [2 * 10 ** 9, 1], [7, 10 ** 10]])
+def test_quotas_of_billions(have):
+    draw = np.random.default_rng(1)
+    for take in (0, 1, sum(have) // 3, sum(have)):
+        parts = hypergeometric_parts(draw, np.array(have, np.int64), take)
+        assert parts.sum() == take and (parts >= 0).all() and (parts <= have).all()
+        assert all(abs(p - take * h / sum(have)) <= 8 * (h + 1) ** 0.5 for p, h in zip(parts.tolist(), have))
+
+
+def test_split_of_billions(spark):
+    quotas = spark.createDataFrame([("a", 4 * 10 ** 10), ("b", 37), ("c", 10 ** 9)], "g string, quota bigint")
+    got = split(quotas, 8, 1).toPandas()
+    assert got.groupby("g").quota.sum().to_dict() == {"a": 4 * 10 ** 10, "b": 37, "c": 10 ** 9}
+
+
 def kn_rows(n=120):
     rnd = random.Random(11)
     good = [(i, " ".join(rnd.choice(["the", "cat", "sat", "on", "mat", "and", "ran"]) for _ in range(rnd.randint(20, 60)))) for i in range(n)]
