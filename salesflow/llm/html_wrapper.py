@@ -3,15 +3,17 @@
 A page becomes a tree of block elements with text slots. Siblings that follow each other with the same label, or runs of up to
 PERIOD labels that repeat, become one repeated group. Two trees of a host are aligned child by child (longest common
 subsequence of labels): what both have is aligned further down, what only one has becomes optional, and a text that
-differs becomes an open slot, while one that is the same on every page so far stays fixed. Aligning all pages of a host, first within tasks
-and then across them, gives its wrapper. The wrapper decides which slots are the article: those below its article or
+differs becomes an open slot, while one that is the same on every page so far stays fixed. Aligning all pages of a host gives its
+wrapper: pages are dealt by hash into PARTS parts of a host and aligned in the order of their hashes, then the parts' wrappers in
+order, so the result is the same however the table is laid out, and no task holds more than one wrapper and a batch of trees. The wrapper decides which slots are the article: those below its article or
 main element, or else those of the element with most open text, never those of menus, headers, footers, sidebars,
 notices, adverts, forms or comments. A page's text is what its tokens put into these slots. A page that puts nothing into
 them is of another template of its host: its own article, main or marked element is its article, or else the element with
 most of its text, without text that the wrapper has on every page.
 
 A null or empty page has no text. A url without host is of the host "". Pages that repeat count once and alike, every
-row gives one row; other columns are ignored. Unclosed, stray and truncated tags are repaired as browsers do.
+row gives one row; other columns are ignored. Unclosed, stray and truncated tags are repaired as browsers do; elements nested
+deeper than DEPTH count as parts of the one at that depth, their text included.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from salesflow.session import materialize
 
 PERIOD = 4
+DEPTH = 200  # block elements around a text
+PARTS = 64  # of a host
+CELLS, BAND = 250_000, 64  # children are aligned in full up to so many pairs, beyond that within a band
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|svg|iframe|select|button)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
@@ -50,21 +55,23 @@ MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post|entry|story|ma
 
 def parsed(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """Blocks of a page in order: path of labels of the block elements around it, text, and characters inside links."""
-    out, stack, buffer, links = [], [], [], 0
+    out, stack, labels, buffer, links = [], [], [], [], 0
     in_link = 0
 
     def flush():
         nonlocal links
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            out.append((tuple(x[1] for x in stack if x[1]), text, min(links, len(text))))
+            out.append((tuple(labels[:DEPTH]), text, min(links, len(text))))
         buffer.clear()
         links = 0
 
     def close(upto: int):
         nonlocal in_link
-        if any(x[1] for x in stack[upto:]):
+        blocks = sum(bool(x[1]) for x in stack[upto:])
+        if blocks:
             flush()
+            del labels[-blocks:]
         in_link -= sum(x[0] == "a" for x in stack[upto:])
         del stack[upto:]
 
@@ -108,7 +115,8 @@ def parsed(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         marks = [re.sub(r"\d+", "", w.lower()) for m in NAMED.finditer(token[4]) for w in (m[2] or m[3] or m[4] or "").split()
                  if not STATE.match(w)] if "=" in token[4] else []
         if not token[4].rstrip().endswith("/"):
-            stack.append((name, ".".join([name, *sorted(set(marks))])))
+            labels.append(".".join([name, *sorted(set(marks))]))
+            stack.append((name, labels[-1]))
     buffer.append(page[at:].partition("<")[0] if page[at:].startswith("<") else page[at:])
     flush()
     return out
@@ -130,8 +138,22 @@ def merged(a: list, b: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """Children of two nodes in one list; those that only one node has are optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b)]
+    first = 0
+    while first < min(len(a), len(b)) and a[first][0] == b[first][0]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last][0] == b[-1 - last][0]:
+        last += 1
+    head = [merged(x, y) for x, y in zip(a[:first], b)]
+    tail = [merged(x, y) for x, y in zip(a[len(a) - last:], b[len(b) - last:])]
+    if first + last == len(a) == len(b):
+        return head + tail
+    x, y = a[first:len(a) - last], b[first:len(b) - last]
+    return folded(head + (between if len(x) * len(y) <= CELLS else in_band)(x, y) + tail)
+
+
+def between(a: list, b: list) -> list:
+    """Alignment by a longest common subsequence of labels."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -147,7 +169,20 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append(optional(b[j]))
             j += 1
-    return folded(out)
+    return out
+
+
+def in_band(a: list, b: list) -> list:
+    """Alignment of very many children: each with the next one of its label that is at most BAND places ahead."""
+    out, j = [], 0
+    for node in a:
+        at = next((k for k in range(j, min(j + BAND, len(b))) if b[k][0] == node[0]), None)
+        if at is None:
+            out.append(optional(node))
+            continue
+        out += [optional(x) for x in b[j:at]] + [merged(node, b[at])]
+        j = at + 1
+    return out + [optional(x) for x in b[j:]]
 
 
 def folded(children: list) -> list:
@@ -286,24 +321,34 @@ def article_texts(blocks: list[tuple[tuple[str, ...], str, int]], slots: frozens
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, slots, fixed): the article's slots of each host and those alike on all its pages, from pages (host, html)."""
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tree = tree_of(parsed(page.as_py()))
-                known[host] = merged(known[host], tree) if host in known else tree
-        if known:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], ["host", "wrapper"])
+                [batch.column(0), pa.array([json.dumps(tree_of(parsed(page.as_py()))) for page in batch.column(1)], pa.string())], ["host", "tree"])
+
+    def aligned_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = whole = None
+        for batch in batches:
+            for host, part, tree in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (host, part) == key:
+                    whole = merged(whole, json.loads(tree))
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([json.dumps(whole)])], names)
+                key, whole = (host, part), json.loads(tree)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([json.dumps(whole)])], names)
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        trees = [json.loads(w) for w in sorted(group["wrapper"])]
-        whole = trees[0]
-        for tree in trees[1:]:
-            whole = merged(whole, tree)
+        whole = None
+        for tree in group.sort_values("part")["tree"]:
+            whole = json.loads(tree) if whole is None else merged(whole, json.loads(tree))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "slots": [article_slots(whole)], "fixed": [fixed_slots(whole)]})
 
-    parts = pages.select("host", "html").mapInArrow(within, "host string, wrapper string")
+    names = ["host", "part", "tree"]
+    rows = pages.select("host", "html").mapInArrow(trees, "host string, tree string").withColumn("h", F.xxhash64("tree")).distinct()
+    dealt = rows.withColumn("part", F.pmod("h", F.lit(PARTS))).repartition("host", "part").sortWithinPartitions("host", "part", "h", "tree")
+    parts = dealt.select("host", "part", "tree").mapInArrow(aligned_trees, "host string, part bigint, tree string")
     return parts.groupBy("host").applyInPandas(across, "host string, slots array<string>, fixed array<string>")
 
 

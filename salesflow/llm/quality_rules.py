@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from salesflow.llm.textbytes import FOLDED, PLAIN, Words, batch_bytes, grams, lists, mix, signed, slices, span_hashes
+from salesflow.llm.textbytes import FOLDED, PLAIN, Words, batch_bytes, grams, lists, mix, powers, signed, slices, span_hashes
 from salesflow.session import materialize
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -67,13 +67,10 @@ def facts_of(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     fresh = np.zeros(len(raw), bool)
     fresh[earliest] = True
     folded = Words(data, bounds, FOLDED).hashes
-    up = np.arange(len(folded), dtype=np.uint64)
+    up, down = powers(len(folded) + 1)
     sums = np.zeros(len(folded) + 1, np.uint64)
-    np.cumsum(mix(folded), out=sums[1:])
-    pairs = np.zeros(len(folded) + 1, np.uint64)  # neighbours, so that the order of words counts
-    np.cumsum(mix(folded * np.uint64(3) + np.append(folded[1:], np.uint64(0)) * np.uint64(5)) if len(folded) else up, out=pairs[1:])
-    last = first + count
-    line = mix(sums[last] - sums[first] + np.uint64(31) * (pairs[np.maximum(last - 1, first)] - pairs[first]))
+    np.cumsum(mix(folded) * up[:len(folded)], out=sums[1:])  # each word counts with its place in the line
+    line = mix((sums[first + count] - sums[first]) * down[first] + mix(count.astype(np.uint64)))
     bins = lambda where, weights=None: np.bincount(where, weights, minlength=n).astype(np.int64)
     return {"n_words": words.counts, "word_chars": per_doc(chars.astype(np.int64)), "n_symbols": per_doc(SYMBOLS[data].astype(np.int64)),
             "n_dup_lines": bins(doc[~fresh]), "n_repeat_words": bins(words.doc[hit]),

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from odd_texts import ODD
+from pyspark.sql import functions as F
 
 from salesflow.llm.html_wrapper import article_slots, extract, merged, parsed, tree_of
 from salesflow.llm.pii import pii_report
@@ -62,6 +63,16 @@ def test_copies_do_not_make_a_line_frequent(docs):
     assert all(r.kept and r.n_removed == 0 for r in quality_rules(docs(copies), least=10).collect())
 
 
+def test_lines_of_the_same_words_in_another_order_are_not_one(docs):
+    """Also where the neighbours are the same: a b a c a and a c a b a."""
+    orders = ["a b a c a", "a c a b a", "b a c a a", "x y x z x y", "x z x y x y"]
+    rows = [(i, orders[i % 5] + "\n" + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)]
+    want = brute.quality_rules([(*r, "h") for r in rows], 13, 0.05, 0.3)
+    assert {r.doc_id: tuple(r)[1:8] for r in quality_rules(docs(rows), least=13).collect()} == want
+    assert all(r.kept and r.n_removed == 0 for r in quality_rules(docs(rows), least=13).collect())
+    assert all(r.n_removed for r in quality_rules(docs(rows), least=12).collect())
+
+
 def test_template_pages_count_each(docs):
     boilerplate = "\n".join(" ".join(f"b{n}x{j}" for j in range(12)) for n in range(15))
     rows = [(i, f"{boilerplate}\n" + " ".join(f"w{i}x{j}" for j in range(18))) for i in range(100)]
@@ -204,8 +215,73 @@ def test_every_template_of_a_host_keeps_its_articles(spark):
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
+def long_texts():
+    rnd = random.Random(12)
+    han = "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(30000))
+    thai = "".join(chr(0x0E01 + rnd.randrange(46)) for _ in range(9000))
+    mixed = "".join(rnd.choice([han[i % 999], "ab", " ", "It's ", "12", "--", "e\u0301", "\U0001f600", "<|endoftext|>", "\n\n"]) for i in range(9000))
+    return [han, thai, mixed, "a" * 5000, "ab" * 4000 + " " + "z" * 3000, "\U0001f600" * 3000]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_counts_of_texts_without_white_space_and_of_another_tokenizer(docs, name):
+    path = TOKENIZER.replace("word_bpe_49k.json", name)
+    tokenizer = load(open(path, encoding="utf-8").read())
+    texts = long_texts()
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk, overlap in ((700, 16), (2048, 256), (64, 2)) if name.startswith("word") else ():
+        assert [spliced(tokenizer, t, chunk, overlap) for t in texts] == want
+    some = [*texts, "two  spaces\n\n\nand\ttabs", " lead and trail ", "", None]
+    plain = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in some]
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs(list(enumerate(some))), path, chunk=1000).collect()}
+    assert got == dict(enumerate(plain))
+
+
+def test_long_texts_without_white_space_take_time_in_proportion():
+    import time
+
+    tokenizer, spent = load(open(TOKENIZER, encoding="utf-8").read()), []
+    text = "".join(chr(0x4E00 + random.Random(5).randrange(3000) + i % 7) for i in range(160000))
+    for size in (20000, 160000):
+        started = time.perf_counter()
+        spliced(tokenizer, text[:size], 4000)
+        spent.append(time.perf_counter() - started)
+    assert spent[1] < 30 * spent[0] + 0.5
+
+
+def host_pages(n=60):
+    """Pages of one host in two templates, with parts that some have, lists of many lengths and repeated rows."""
+    rnd, rows = random.Random(14), []
+    prose = lambda k: " ".join(f"w{rnd.randrange(500)}" for _ in range(k))
+    for i in range(n):
+        menu = "<nav>" + "".join(f"<a href=x>m{j}</a>" for j in range(4)) + "</nav>"
+        extra = f"<div class=note>{prose(5)}</div>" if i % 3 else ""
+        items = "<ul>" + "".join(f"<li>{prose(3)}</li>" for _ in range(i % 5)) + "</ul>"
+        tag = "article" if i % 4 else "section"
+        rows.append((i, "http://h.example/p", f"<html><body>{menu}<div>{extra}<{tag}><h1>{prose(3)}</h1><p>{prose(30)}</p>{items}<p>{prose(12)}</p></{tag}></div>"
+                                              f"<footer>all the same</footer></body></html>"))
+    return rows + rows[:5]
+
+
+def test_texts_do_not_depend_on_the_layout_of_the_table(spark):
+    df = spark.createDataFrame(host_pages(), "page_id bigint, url string, html string")
+    found = [sorted(map(tuple, extract(df.repartition(n)).collect())) for n in (1, 4, 40)]
+    found.append(sorted(map(tuple, extract(df.orderBy(F.desc("page_id")).coalesce(2)).collect())))
+    assert all(f == found[0] for f in found) and all(r[3] for r in found[0])
+
+
+def test_very_deep_and_very_wide_pages(spark):
+    deep = lambda k, t: "<div>" * k + f"<p>{t}</p>" + "</div>" * k
+    pages = [(i, "http://deep.example/", deep(k, f"text number {i} of a deep page")) for i, k in enumerate((1500, 1501, 30000, 3))]
+    wide = ["".join(f"<{'h2' if (i * (j + 3)) % 7 < 3 else 'p'}>{i} {j}</{'h2' if (i * (j + 3)) % 7 < 3 else 'p'}>" for i in range(1500)) for j in range(3)]
+    pages += [(10 + i, "http://wide.example/", f"<article>{w}</article>") for i, w in enumerate(wide)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"text number {i} of a deep page" for i in range(4))
+    assert all(got[10 + j].split("\n") == [f"{i} {j}" for i in range(1500)] for j in range(3))
+
+
 def test_token_counts(docs, odd):
-    tokenizer = load(TOKENIZER)
+    tokenizer = load(open(TOKENIZER, encoding="utf-8").read())
     texts = ["Hello, world! it's 12 o'clock", "<|endoftext|> a<|startoftext|>b", "x" * 900 + " " + "y z " * 300, "ÀÉ ñ́ é!! ...a", "'s't", "a b\x1cc\x85d"]
     got = {r.doc_id: r for r in token_counts(docs(list(enumerate(texts))), TOKENIZER, chunk=200).collect()}
     for i, t in enumerate(texts):
