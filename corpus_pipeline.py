@@ -1,8 +1,9 @@
 """A corpus pipeline over the documents table: quality rules, near duplicates, benchmark passages, secrets, mixing.
 
 Every stage takes all documents its predecessor kept and acts on its decisions. A stage's output is written as Parquet and
-read again as the next one's input. A document is its id and text; rows that repeat both share one decision, and the
-near-duplicate stage leaves one row an id. Nulls, empty tables and further columns are handled as the operators say.
+read again as the next one's input. A document is its id and text; rows that repeat both share one decision (they are kept if any of
+them is, and lose the least list of lines), and the near-duplicate stage leaves one row an id, the least by all its columns.
+Nulls, empty tables and further columns are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above the limits are cut out of the others."""
-    kept = quality_rules(docs).filter("kept").select("doc_id", "text_hash", F.col("removed").alias(REMOVED)).dropDuplicates(["doc_id", "text_hash"])
+    kept = quality_rules(docs).filter("kept").groupBy("doc_id", "text_hash").agg(F.min(F.sort_array("removed")).alias(REMOVED))
     joined = _decided(docs, kept, "inner").select("a.*", f"b.{REMOVED}")
     return _resized(without_lines(joined.drop("_hash"), "text", REMOVED).drop(REMOVED)).select(*docs.columns)
 
@@ -41,8 +42,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group stays; documents without id all stay."""
     # Of the kept texts of one id the one with the smallest hash stays.
     kept = near_duplicates(docs, text_hash=True).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    named = _decided(docs, kept, "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    named = _decided(docs, kept, "left_semi").select(*docs.columns)
+    # Rows that repeat an id and its text: the same one of them on every run.
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return one.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
