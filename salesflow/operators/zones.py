@@ -22,15 +22,16 @@ def schema_of(folders: list[str]) -> str:
     return ", ".join([*[f"{c} string" for c in folders], FACTS])
 
 
-def add_zones(rows: DataFrame, path: str, folders: list[str], time: str, void: bool = False) -> None:
+def add_zones(rows: DataFrame, path: str, folders: list[str], time: str | None, void: bool = False) -> None:
     """Enter rows that are about to be written; with ``void`` they are all that their folders hold from now on."""
+    at = F.lit(None).cast("timestamp") if time is None else F.col(time).cast("timestamp")
     found = rows.groupBy(*[F.col(c).cast("string").alias(c) for c in folders]).agg(
-        F.min(time).cast("timestamp").alias("lo"), F.max(time).cast("timestamp").alias("hi"), F.count_if(F.col(time).isNull()).alias("undated"))
+        F.min(at).alias("lo"), F.max(at).alias("hi"), F.count_if(at.isNull()).alias("undated"))
     entered = found.withColumns({"version": F.lit(clock.time_ns()), "void": F.lit(void)})
     entered.coalesce(1).write.mode("append").parquet(f"{path}/_zones")
 
 
-def append_with_zones(df: DataFrame, path: str, folders: list[str], time: str) -> None:
+def append_with_zones(df: DataFrame, path: str, folders: list[str], time: str | None) -> None:
     """Append rows, one folder per value of ``folders``, and their zones. The zones come first: they may name too much, never too little.
 
     Rows are dealt by folder before they are written, so a write leaves few files whatever the number of tasks.

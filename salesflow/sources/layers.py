@@ -18,9 +18,11 @@ def read_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_bronze(df: DataFrame, path: str, day: str = "observed_at") -> None:
     """Append envelopes, one folder per source and observed day, so that a reader of one source opens its files only.
 
-    The times of ingest of each folder are kept in a ledger, from which old rows are pruned.
+    The times of ingest of each folder are kept in a ledger, from which old rows are pruned; rows without that column are
+    entered as undated and are never old.
     """
-    append_with_zones(df.withColumn("observed_date", F.col(day).cast("date")), path, ["source", "observed_date"], "ingested_at")
+    rows = df.withColumn("observed_date", F.col(day).cast("date"))
+    append_with_zones(rows, path, ["source", "observed_date"], "ingested_at" if "ingested_at" in df.columns else None)
 
 
 def overwrite_layer(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from rows import table
 from series import daily_sales
 from salesflow.operators import features, silver
-from salesflow.plans import model, nightly, selection
-from salesflow.schemas import FEATURES, SALES_RAW, SERIES
+from salesflow.plans import model, nightly, selection, serving_tables
+from salesflow.schemas import FEATURES, FORECAST_FACTORS, SALES_RAW, SERIES
 from salesflow.session import materialize
-from salesflow.sources.layers import append_bronze, read_layer
+from salesflow.sources import snapshots
+from salesflow.sources.layers import append_bronze
 
 DAY = "2026-07-26"
 SMALL = model.BoostedTrees(trees=8, depth=4)
@@ -134,8 +135,8 @@ def test_whole_nightly_run(spark, frame):
     root = str(spark.conf.get("spark.checkpoint.dir")) + "/serving"
     for _ in range(2):
         nightly.publish(spark, outputs, root)
-    assert spark.read.parquet(f"{root}/forecasts").count() == 120
-    assert read_layer(spark, f"{root}/gold_model_metrics", "user_id string, sku string, chosen string").count() == 4
+    assert serving_tables.stored(spark, root, "forecasts").count() == 120
+    assert serving_tables.stored(spark, root, "gold_model_metrics").count() == 4
 
 
 def test_run_over_stored_tables(spark, frame, tmp_path):
@@ -152,12 +153,19 @@ def test_run_over_stored_tables(spark, frame, tmp_path):
     append_bronze(signals.withColumn("schema_version", F.lit(1)), f"{root}/signal_events")
     inputs = nightly.stored_inputs(spark, root, as_of)
     assert table(inputs.weather, "date", "temp_avg") == [("2026-07-20", 21.5)] and inputs.holidays.count() == 1
-    old = frame([("u0", "P0", "2026-07-02", "nightly-20260701", "2026-07-01")],
-                "user_id string, sku string, forecast_date date, model_run_id string, generated_at timestamp")
-    old.write.partitionBy("model_run_id").parquet(f"{root}/forecasts")
+    for run in ("nightly-20260701", "nightly-20260725"):  # one beyond a week, one within
+        day = f"{run[8:12]}-{run[12:14]}-{run[14:]}"
+        old = frame([("u0", "P0", "2026-07-29", run, "boosted:1", None, None, None, None, day)],
+                    "user_id string, sku string, forecast_date date, model_run_id string, model_version string, yhat double, yhat_lower double, "
+                    "yhat_upper double, mape_backtest double, generated_at timestamp")
+        old = old.withColumns({c: F.col(c).cast("decimal(14, 2)") for c in ("yhat", "yhat_lower", "yhat_upper")}).withColumn(
+            "mape_backtest", F.col("mape_backtest").cast("decimal(6, 2)"))
+        factors = spark.createDataFrame([], FORECAST_FACTORS)
+        snapshots.publish(spark, root, snapshots.write_run(spark, root, run, run, serving_tables.run_tables(old, factors)))
     summary = nightly.run_stored(spark, root, as_of, 7, model.BoostedTrees(trees=2, depth=2)).first()
     assert (summary["status"], summary["skus"], summary["forecasts"]) == ("ok", 4, 28)
-    assert table(spark.read.parquet(f"{root}/forecasts").select("model_run_id").distinct()) == [("nightly-20260726",)]
+    held = serving_tables.stored(spark, root, "forecasts")
+    assert table(held.select("model_run_id").distinct()) == [("nightly-20260725",), ("nightly-20260726",)] and held.count() == 29
     assert table(spark.read.parquet(f"{root}/signal_events"), "seq") == [(1,), (3,)]
-    paths = spark.read.parquet(f"{root}/gold_model_metrics").filter("chosen = 'boosted'").select("artifact_path").distinct().collect()
+    paths = serving_tables.stored(spark, root, "gold_model_metrics").filter("chosen = 'boosted'").select("artifact_path").distinct().collect()
     assert all(model.QuantileModel.load(spark, r[0]).errors.grid for r in paths)
