@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from salesflow.operators.keyed import latest
+from salesflow.operators.keyed import latest, top_n
 from salesflow.operators.validation import cleaned_sales, error_rows, row_limit_error, valid_sales, with_errors
 from salesflow.sources.envelopes import parse_envelope, route, to_envelope
-from salesflow.sources.folders import exists
+from salesflow.sources.folders import exists, names_in, remove
 from salesflow.streaming.views import apply_once, merge_versions
 
 
@@ -118,76 +119,78 @@ def stream_route(messages: DataFrame, events_out: str, health_table: str, checkp
         availableNow=True).start()
 
 
-UPLOAD_STATE = "skus array<string>, beyond boolean"
 FORGET_AFTER = 7  # days: an upload without rows for so long is over
+UPLOAD_STATE = "upload_id string, skus array<string>, beyond boolean, arrived date, batch bigint"
 
 
-def limit_uploads(rows: DataFrame, max_rows: int | None, max_skus: int | None) -> DataFrame:
-    """A stream of upload rows with ``_allowed`` (NULL: the SKU is beyond the limit) and ``_beyond`` (the row is beyond the row limit).
+def limit_uploads(rows: DataFrame, number: int, state: str, max_rows: int | None, max_skus: int | None) -> DataFrame:
+    """Rows of a batch with ``_allowed`` (NULL: the SKU is beyond the limit) and ``_beyond`` (the row is beyond the row limit).
 
-    The SKUs an upload has been granted, in order of appearance, and whether its row limit has been reported are carried from
-    batch to batch. Of the rows beyond the row limit the first one is given, once; what else is held is at most the limits' size.
-    SKUs of one batch appear in the order of row numbers.
+    The SKUs an upload has been granted, in order of appearance, and whether its row limit has been reported are kept under
+    ``state``, a folder per day and batch, with one row for each upload of the batch; the newest row of an upload holds. Of the rows
+    beyond the row limit the first one is given, once. SKUs of one batch appear in the order of row numbers. A batch that comes
+    again sees what it saw and writes the same; folders that no upload needs any more are removed.
     """
-    names = rows.columns
-    arriving = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 hour")
-
-    def judge(key, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        skus, beyond = ([*state.get[0]], state.get[1]) if state.exists else ([], False)
-        held, first, now = [], None, 0
-        for chunk in chunks:
-            now = max(now, int(chunk["_arrived"].max().timestamp() * 1000))
-            if max_rows is not None:
-                over = chunk[chunk["row_no"] - 1 > max_rows]
-                if len(over):
-                    low = over.loc[[over["row_no"].idxmin()]]
-                    first = low if first is None or low["row_no"].iloc[0] < first["row_no"].iloc[0] else first
-                    chunk = chunk[chunk["row_no"] - 1 <= max_rows]
-            held.append(chunk)
-        if max_skus is not None:
-            named = pd.concat([c[["row_no", "sku"]] for c in held])
-            named = named[named["sku"] != ""].sort_values(["row_no", "sku"], kind="stable")
-            granted = set(skus)
-            for sku in named["sku"].drop_duplicates():
-                if sku not in granted and len(skus) < max_skus:
-                    skus.append(sku)
-                    granted.add(sku)
-        for chunk in held:
-            allowed = True if max_skus is None else chunk["sku"].isin(skus).where(lambda c: c, None)
-            yield chunk.assign(_allowed=allowed, _beyond=False)[[*names, "_allowed", "_beyond"]]
-        if first is not None and not beyond:
-            beyond = True
-            yield first.assign(_allowed=True, _beyond=True)[[*names, "_allowed", "_beyond"]]
-        state.update((skus, beyond))
-        state.setTimeoutTimestamp(now + FORGET_AFTER * 24 * 3600 * 1000)
-
-    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], "_allowed boolean", "_beyond boolean"])
-    return arriving.groupBy("upload_id").applyInPandasWithState(judge, out, UPLOAD_STATE, "append", "EventTimeTimeout")
+    spark = rows.sparkSession
+    today = date.today()
+    oldest = (today - timedelta(days=FORGET_AFTER)).isoformat()
+    none = F.array().cast("array<string>")
+    over = F.lit(False) if max_rows is None else F.col("row_no") - 1 > max_rows
+    each = rows.groupBy("upload_id").agg(F.coalesce(F.bool_or(over), F.lit(False)).alias("_over"))
+    if exists(spark, state):
+        stored = spark.read.schema(UPLOAD_STATE).parquet(state).filter((F.col("arrived") >= F.lit(oldest)) & (F.col("batch") < number))
+        known = stored.groupBy("upload_id").agg(F.max(F.struct("batch", "skus", "beyond")).alias("_s")).select(
+            "upload_id", F.col("_s.skus").alias("_had"), F.col("_s.beyond").alias("_reported"))
+        each = each.join(known, "upload_id", "left").withColumns({
+            "_had": F.coalesce("_had", none), "_reported": F.coalesce("_reported", F.lit(False))})
+    else:
+        each = each.withColumns({"_had": none, "_reported": F.lit(False)})
+    if max_skus is not None:
+        seen = rows.filter(~over & (F.col("sku") != "")).groupBy("upload_id", "sku").agg(F.min("row_no").alias("_first"))
+        fresh = seen.join(each.select("upload_id", "_had"), "upload_id").filter(~F.array_contains("_had", F.col("sku")))
+        first = top_n(fresh.drop("_had"), ["upload_id"], [F.col("_first"), F.col("sku")], max_skus, position="_at")
+        lists = first.groupBy("upload_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("_at", "sku"))), lambda x: x["sku"]).alias("_new"))
+        each = each.join(lists, "upload_id", "left").withColumn(
+            "_had", F.slice(F.concat("_had", F.coalesce("_new", none)), 1, max_skus))
+    folder = f"{state}/arrived={today.isoformat()}/batch={number}"
+    each.select("upload_id", F.col("_had").alias("skus"), (F.col("_reported") | F.col("_over")).alias("beyond"), "_reported").write.mode(
+        "overwrite").parquet(folder)
+    for name in names_in(spark, state):
+        if name.startswith("arrived=") and name < f"arrived={oldest}":
+            remove(spark, f"{state}/{name}")
+    now = spark.read.schema("upload_id string, skus array<string>, _reported boolean").parquet(folder)
+    joined = rows.join(now, "upload_id", "left")
+    allowed = F.lit(True) if max_skus is None else F.when(F.array_contains("skus", F.col("sku")), True)
+    within = joined.filter(~over).select(*rows.columns, allowed.alias("_allowed"), F.lit(False).alias("_beyond"))
+    if max_rows is None:
+        return within
+    first = joined.filter(over & ~F.coalesce("_reported", F.lit(False))).groupBy("upload_id").agg(
+        F.min_by(F.struct(*[c for c in rows.columns if c != "upload_id"]), "row_no").alias("_r"))
+    return within.unionByName(first.select(
+        "upload_id", *[f"_r.{c}" for c in rows.columns if c != "upload_id"], F.lit(True).alias("_allowed"), F.lit(True).alias("_beyond")))
 
 
 def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at: Column, max_rows: int | None = None,
                         max_skus: int | None = None, errors_out: str | None = None) -> StreamingQuery:
     """Valid rows of arriving uploads as sales messages keyed by tenant and SKU, and to ``errors_out`` what ``error_rows`` has.
 
-    An upload may arrive in parts; its limits hold for the whole of it (``limit_uploads``). ``ingested_at`` stamps the messages,
-    and both outputs have a folder per batch, so that a repeated batch writes the same.
+    An upload may arrive in parts; its limits hold for the whole of it (``limit_uploads``, whose state is beside the stream's own in
+    ``checkpoint``). ``ingested_at`` stamps the messages, and both outputs have a folder per batch, so that a repeated batch writes
+    the same.
     """
     rows = cleaned_sales(rows)
     limited = max_rows is not None or max_skus is not None
-    if limited:
-        rows = limit_uploads(rows, max_rows, max_skus)
 
     def store(batch: DataFrame, number: int) -> None:
         if limited:
             over = F.col("_beyond")
-            judged = with_errors(batch, max_skus).withColumn("error", F.when(over, row_limit_error(F.col("row_no"), max_rows)).otherwise(
-                F.col("error"))).drop("_beyond")
+            judged = with_errors(limit_uploads(batch, number, f"{checkpoint}/uploads", max_rows, max_skus), max_skus).withColumn(
+                "error", F.when(over, row_limit_error(F.col("row_no"), max_rows)).otherwise(F.col("error"))).drop("_beyond")
         else:
             judged = with_errors(batch.withColumn("_allowed", F.lit(True)), None)
-        judged.persist()
+        if errors_out:
+            judged.persist()
         messages = to_envelope(valid_sales(judged), "sales_csv", ["user_id", "sku"],
                                ["user_id", "upload_id", "sku", "date", "quantity", "revenue", "price", "promo_flag"],
                                "date", ingested_at)

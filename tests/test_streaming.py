@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rows import table
 from salesflow.operators.validation import error_rows, valid_sales, validate_sales
 from salesflow.session import scratch_path
+from salesflow.sources.folders import names_in
 from salesflow.streaming import streams
 from salesflow.streaming.views import versions
 
@@ -97,6 +98,22 @@ def test_an_upload_in_four_parts_has_the_errors_of_the_whole(spark, tmp_path):
         assert spark.read.json(out).count() == valid_sales(whole).count()
 
 
+def test_upload_limits_take_no_python_and_a_repeated_batch_is_judged_the_same(spark):
+    state = scratch_path(spark, "uploads")
+    batches = [[("u", 2, "A"), ("u", 3, "B"), ("v", 2, "C")], [("u", 4, "C"), ("u", 5, "A"), ("u", 9, "B"), ("v", 3, "D")]]
+    frames = [spark.createDataFrame(b, "upload_id string, row_no int, sku string") for b in batches]
+    judge = lambda n: streams.limit_uploads(frames[n], n, state, 6, 2)
+    shown = lambda df: table(df, "upload_id", "row_no", "_allowed", "_beyond")
+    assert shown(judge(0)) == [("u", 2, True, False), ("u", 3, True, False), ("v", 2, True, False)]
+    second = judge(1)
+    assert "Python" not in second._jdf.queryExecution().toString() and "Pandas" not in second._jdf.queryExecution().toString()
+    want = shown(second)
+    assert want == [("u", 4, None, False), ("u", 5, True, False), ("u", 9, True, True), ("v", 3, True, False)]
+    assert shown(judge(1)) == want
+    spark.range(1).write.parquet(f"{state}/arrived=2020-01-01/batch=0")
+    assert shown(judge(1)) == want and not any("2020" in n for n in names_in(spark, state))
+
+
 def test_health_keeps_the_newest_report(spark, tmp_path):
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
     schema = "signal string, status string, reported_at timestamp"
