@@ -18,7 +18,7 @@ def rounded(df, *columns, digits=4):
     SELECT user_id, sku, date, quantity, round(revenue, 4) AS revenue, price, promo_flag, ingested_at,
            l_orderkey, l_linenumber FROM deduped""")
 def _(s):
-    kept = silver.dedupe_latest(s.sales_raw().drop("product_name", "category", "part_key"), SALES_ORDER)
+    kept = silver.dedupe_latest(s.sales_newest(), SALES_ORDER)
     return rounded(kept, "revenue")
 
 
@@ -29,7 +29,7 @@ def _(s):
 
 @query("sales_gap_flag", "SELECT user_id, sku, date, gap_flag FROM silver")
 def _(s):
-    days = s.sales_raw().select(*SERIES_DAY).distinct()
+    days = s.sales_days().select(*SERIES_DAY)
     return silver.flag_gaps(days)
 
 
@@ -112,7 +112,7 @@ def _(s):
            event_count, large_event_count FROM gold""")
 def _(s):
     cal = calendar.calendar_daily(s.spans(), s.profiles(), s.holidays(), s.calendar_events())
-    keys = s.sales_raw().select(*SERIES_DAY).distinct()
+    keys = s.sales_days().select(*SERIES_DAY)
     return features.join_signals(keys, s.weather(), cal, s.trends(), s.events_daily())
 
 
@@ -161,5 +161,5 @@ def _(s):
     WHERE date > (SELECT d FROM as_of) - 3""")
 def _(s):
     """Requested minus found: series without a sale in the last three days."""
-    recent = s.sales_raw().filter(F.col("date") > F.date_sub(s.as_of(), 3))
+    recent = s.sales_days().filter(F.col("date") > F.date_sub(s.as_of(), 3))
     return keyed.missing_keys(s.products().select(*SERIES), recent, SERIES)

@@ -209,7 +209,7 @@ def _(s):
 
 @query("sales_span", "SELECT user_id, sku, min(date) AS first_date, max(date) AS last_date FROM sales_raw GROUP BY 1, 2")
 def _(s):
-    return s.sales_raw().groupBy(*SERIES).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return s.sales_days().groupBy(*SERIES).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 @query("history_arrays", """

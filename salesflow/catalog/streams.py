@@ -175,7 +175,7 @@ def _future(s):
 
 def nightly_inputs(s):
     return nightly.Inputs(
-        sales=s.sales_raw().drop("product_name", "category", "part_key"), profiles=s.profiles(), holidays=s.holidays(),
+        sales=s.sales_newest(), profiles=s.profiles(), holidays=s.holidays(),
         breaks=s.calendar_events(), weather=s.weather_raw(), trends=s.trends_raw(), events=s.events_raw(),
         sales_order=SALES_ORDER, signal_order=["ingested_at", "seq"])
 

@@ -62,11 +62,14 @@ class Sample:
         """Last day with sales, as a scalar subquery over one column."""
         return self.table("lineitem").agg(F.max(F.to_date("l_shipdate"))).scalar()
 
-    def sales_raw(self) -> DataFrame:
-        lines, orders, part = self.table("lineitem"), self.table("orders"), self.table("part")
-        tenants = self.table("supplier").join(
+    def tenants(self) -> DataFrame:
+        """Supplier keys with the tenant of their region."""
+        return self.table("supplier").join(
             self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
         ).select("s_suppkey", region_user(F.col("n_regionkey")).alias("user_id"))
+
+    def sales_raw(self) -> DataFrame:
+        lines, orders, part, tenants = self.table("lineitem"), self.table("orders"), self.table("part"), self.tenants()
         return (
             lines.join(orders, lines.l_orderkey == orders.o_orderkey)
             .join(part, lines.l_partkey == part.p_partkey)
@@ -82,9 +85,47 @@ class Sample:
             )
         )
 
+    def sales_days(self) -> DataFrame:
+        """Every series and day of ``sales_raw`` with the line that was ingested last and the smallest part key, on storage.
+
+        Order lines meet orders and parts with keys and days only; the tenants are written first, so their size is known and the
+        lines need no exchange for them.
+        """
+        def build() -> DataFrame:
+            tenants = self.stored("tenants", self.tenants)
+            orders = self.table("orders").select("o_orderkey", F.col("o_orderdate").alias("ingested_at"))
+            part = self.table("part").select("p_partkey", F.col("p_brand").alias("sku"))
+            lines = self.table("lineitem").select(
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("date"))
+            rows = lines.join(tenants, lines.l_suppkey == tenants.s_suppkey).drop("l_suppkey", "s_suppkey").join(
+                orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+            days = rows.groupBy("user_id", "sku", "date").agg(
+                F.max(F.struct("ingested_at", "l_orderkey", "l_linenumber")).alias("_n"), F.min("p_partkey").alias("part_key"))
+            return days.select("user_id", "sku", "date", "_n.*", "part_key")
+
+        return self.stored("days", build)
+
+    def sales_newest(self) -> DataFrame:
+        """The rows of ``sales_raw`` that are newest for their series and day by ingest time, order and line.
+
+        Lines are looked up by the keys of ``sales_days``, so quantities and prices of all others are never moved. Copies of a line
+        are all kept; the rest of SALES_ORDER decides between them.
+        """
+        part, lines, own = self.table("part"), self.table("lineitem"), self.tenants().withColumnRenamed("user_id", "_user")
+        newest = self.sales_days().select(
+            "user_id", "sku", "date", "ingested_at", F.col("l_orderkey").alias("_key"), F.col("l_linenumber").alias("_line"))
+        day = F.to_date("l_shipdate")
+        found = lines.join(newest, (F.col("l_orderkey") == F.col("_key")) & F.col("l_linenumber").eqNullSafe(F.col("_line"))
+                           & day.eqNullSafe(F.col("date")))
+        found = found.join(part, (F.col("l_partkey") == F.col("p_partkey")) & F.col("p_brand").eqNullSafe(F.col("sku")))
+        found = found.join(own, (F.col("l_suppkey") == F.col("s_suppkey")) & F.col("_user").eqNullSafe(F.col("user_id")))
+        return found.select(
+            "user_id", "sku", "date", F.col("l_quantity").alias("quantity"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.col("p_retailprice").alias("price"),
+            (F.col("p_type") == "PROMO").alias("promo_flag"), "ingested_at", "l_orderkey", "l_linenumber")
+
     def silver_sales(self) -> DataFrame:
-        raw = self.sales_raw().drop("product_name", "category", "part_key")
-        return silver.to_silver(raw, SALES_ORDER)
+        return self.stored("silver", lambda: silver.to_silver(self.sales_newest(), SALES_ORDER))
 
     def signals(self) -> DataFrame:
         """Feed rows with every typed field the sources need; NULL where a source has none."""
@@ -168,9 +209,14 @@ class Sample:
             F.date_add("_d.high", extra_days).alias("end_date"))
 
     def products(self) -> DataFrame:
-        return self.sales_raw().groupBy("user_id", "sku").agg(
-            F.min_by("product_name", "part_key").alias("product_name"), F.min_by("category", "part_key").alias("category"),
-            F.count_distinct("date").cast("int").alias("sales_days"), F.max("date").alias("last_sale_date"))
+        """Series with the name and category of their smallest part key; a part key that comes twice is read by its brand."""
+        part = self.table("part").select("p_partkey", "p_brand", F.col("p_name").alias("product_name"), F.col("p_type").alias("category"))
+        series = self.sales_days().groupBy("user_id", "sku").agg(
+            F.min("part_key").alias("part_key"), F.count("date").cast("int").alias("sales_days"), F.max("date").alias("last_sale_date"))
+        named = part.join(series, (F.col("p_partkey") == F.col("part_key")) & F.col("p_brand").eqNullSafe(F.col("sku")))
+        return named.groupBy("user_id", "sku").agg(
+            F.min("product_name").alias("product_name"), F.min("category").alias("category"),
+            F.max("sales_days").alias("sales_days"), F.max("last_sale_date").alias("last_sale_date"))
 
     def upload_rows(self) -> DataFrame:
         """Order lines as text rows of an uploaded file, one file per order, with faults in some rows."""
