@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salesflow.functions.scalars import after_first, ics_date
 from salesflow.session import materialize
@@ -21,10 +21,11 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     # Readers pass over files without bytes; the list of files, which the reader holds anyway, still names them.
     same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
     named = spark.createDataFrame([(f,) for f in raw.inputFiles()], "file string").select("file", same("file").alias("_f"))
-    read = raw.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8(whole).alias("utf8"), F.make_valid_utf8(whole).alias("text"))
-    rows = named.join(read.withColumn("_f", same("path")), "_f", "left").select(
-        F.coalesce("path", "file").alias("upload_id"), F.coalesce("utf8", F.lit(True)).alias("utf8"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff", "").alias("text"))
+    path = F.col("_metadata.file_path")
+    read = raw.select(path.alias("upload_id"), F.is_valid_utf8(whole).alias("utf8"), F.make_valid_utf8(whole).alias("text"))
+    unread = named.join(raw.select(same(path).alias("_f")), "_f", "left_anti").select(  # by name; no text is moved
+        F.col("file").alias("upload_id"), F.lit(True).alias("utf8"), F.lit("").alias("text"))
+    rows = read.unionByName(unread).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff", ""))
     return rows.withColumn("width", (F.length(first) - F.length(F.replace(first, F.lit(","))) + 1).cast("int"))
 
 
@@ -45,8 +46,11 @@ def read_csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_csv_headers(records: DataFrame, held: DataFrame) -> DataFrame:
-    """One row per file of ``held``: position and names of its header, whether it is UTF-8 and whether it is empty."""
-    firsts = records.groupBy("upload_id").agg(F.min("_id").alias("_id"))
+    """One row per file of ``held``: position and names of its header, whether it is UTF-8 and whether it is empty.
+
+    The first positions are written, so that their size is known and the records, which are wide, need no exchange to meet them.
+    """
+    firsts = materialize(records.groupBy("upload_id").agg(F.min("_id").alias("_id")), "firsts")
     name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")))
     named = records.join(firsts, ["upload_id", "_id"]).select(
         "upload_id", F.col("_id").alias("_first"), F.transform("values", name).alias("header"))
@@ -74,7 +78,7 @@ def read_named(spark: SparkSession, paths: str | list[str], names: list[str], re
                calendar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(data records of intact files with the named columns as text, errors of the other files)."""
     records = read_csv_records(spark, paths)
-    heads = read_csv_headers(records, read_files(spark, paths)).withColumn("_problem", file_problem(required, calendar))
+    heads = materialize(read_csv_headers(records, read_files(spark, paths)).withColumn("_problem", file_problem(required, calendar)), "heads")
     intact = heads.filter("_problem is null").select("upload_id", "_first", "header")
     rows = records.join(intact, "upload_id").filter(F.col("_id") > F.col("_first")).select(
         "upload_id", (F.col("_id") - F.col("_first") + 1).cast("int").alias("row_no"), *[field(n).alias(n) for n in names])
@@ -108,23 +112,23 @@ def split_ics(texts: DataFrame, key: str = "upload_id", text: str = "value") ->
 
     Lines count once they are trimmed; only a whole line begins or ends an entry. The last summary, start and end of
     an entry hold; without a summary or a start it is left out. The end stamp is exclusive, so the last
-    day is one day earlier; without an end it is the first day.
+    day is one day earlier; without an end it is the first day. A text is taken apart in its own row, so a task holds one file's
+    lines at a time.
     """
     strip = lambda c: F.regexp_replace(c, r"^\s++|\s++$", "")
-    lines = texts.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n", -1)).alias("_i", "_raw")).select(key, "_i", strip(F.col("_raw")).alias("_l"))
-    before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    ends, begins = F.col("_l") == "END:VEVENT", F.col("_l") == "BEGIN:VEVENT"
-    numbered = lines.withColumn("_entry", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
-    within = Window.partitionBy(key, "_entry").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    inside = numbered.withColumn("_in", F.coalesce(F.max(begins).over(within), F.lit(False)))
+    lines = texts.select(key, F.transform(F.split(F.col(text), r"\r\n|\r|\n", -1), strip).alias("_lines"))
+    marked = lines.select(key, "_lines", F.filter(F.transform("_lines", lambda c, i: F.when(c == "END:VEVENT", i)), lambda i: i.isNotNull()).alias("_ends"))
+    entry = lambda end, before: F.struct(
+        (end + 1).alias("row_no"), F.slice("_lines", before + 2, end - before - 1).alias("_own"))
+    entries = marked.select(key, F.inline(F.transform("_ends", lambda end, n: entry(end, F.coalesce(F.get("_ends", n - 1), F.lit(-1))))))
+    begin = F.array_position("_own", "BEGIN:VEVENT").cast("int")
+    inside = entries.filter(begin > 0).select(key, "row_no", F.slice("_own", begin + 1, F.size("_own")).alias("_own"))
 
     def last(name: str) -> Column:
-        there = F.col("_in") & F.startswith("_l", F.lit(name))
-        return F.max_by(F.when(there, strip(after_first(F.col("_l")))), F.when(there, F.col("_i")))
+        return strip(after_first(F.get(F.reverse(F.filter("_own", lambda c: F.startswith(c, F.lit(name)))), F.lit(0))))
 
-    found = inside.groupBy(key, "_entry").agg(
-        F.max(F.when(ends, F.col("_i") + 1)).cast("int").alias("row_no"), last("SUMMARY").alias("label"), last("DTSTART").alias("_start"),
-        last("DTEND").alias("_end")).filter("row_no is not null and label <> '' and _start <> ''")
+    found = inside.select(key, "row_no", last("SUMMARY").alias("label"), last("DTSTART").alias("_start"), last("DTEND").alias("_end")).filter(
+        "label <> '' and _start <> ''")
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     iso = lambda c: F.when(F.length(digits(c)) >= 8, F.regexp_replace(
         F.substring(digits(c), 1, 8), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise("")

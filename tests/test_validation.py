@@ -179,3 +179,14 @@ def test_ics_lines_count_as_a_whole(spark, tmp_path):
     good = validation.validate_calendar(rows)
     assert table(good, "row_no", "label", "start_date") == [(2, "Break", "2031-03-01"), (5, "about BEGIN:VEVENT and END:VEVENT", "2031-01-01")]
     assert table(broken, "row", "message") == [(0, "File is not valid UTF-8 text")]
+
+
+def test_texts_and_records_stay_in_their_tasks(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    entries = plan(files.read_ics(spark, write(tmp_path / "c.ics", "BEGIN:VEVENT\nSUMMARY:a\nDTSTART:20260701\nEND:VEVENT\n")))
+    assert "Window" not in entries and "hashpartitioning(upload_id" not in entries
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    write(folder / "a.csv", "date,sku,product_name,quantity,revenue\n2026-07-01,A,Mug,1,2\n")
+    rows, _ = files.read_sales_csv(spark, str(folder))
+    assert "Aggregate" not in plan(rows) and rows.count() == 1  # headers are read from storage, records meet them where they are
