@@ -112,7 +112,7 @@ def _(s):
     """Upload rows arrive as files and leave as messages; read back from their payload."""
     out = scratch_path(s.spark, "stream-sales")
     rows = s.upload_rows()
-    rows.write.json(f"{out}/in")
+    rows.write.option("compression", "gzip").json(f"{out}/in")
     arriving = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).json(f"{out}/in")
     finished(s, streams.stream_sales_events(arriving, f"{out}/rows", f"{out}/state", s.as_of().cast("timestamp")))
     sent = s.spark.read.json(f"{out}/rows")

@@ -177,7 +177,7 @@ def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at:
 
     An upload may arrive in parts; its limits hold for the whole of it (``limit_uploads``, whose state is beside the stream's own in
     ``checkpoint``). ``ingested_at`` stamps the messages, and both outputs have a folder per batch, so that a repeated batch writes
-    the same.
+    the same. Messages repeat their field names on every line, so they are written compressed.
     """
     rows = cleaned_sales(rows)
     limited = max_rows is not None or max_skus is not None
@@ -194,7 +194,7 @@ def stream_sales_events(rows: DataFrame, out: str, checkpoint: str, ingested_at:
         messages = to_envelope(valid_sales(judged), "sales_csv", ["user_id", "sku"],
                                ["user_id", "upload_id", "sku", "date", "quantity", "revenue", "price", "promo_flag"],
                                "date", ingested_at)
-        messages.write.mode("overwrite").json(f"{out}/batch={number}")
+        messages.write.mode("overwrite").option("compression", "gzip").json(f"{out}/batch={number}")
         if errors_out:
             error_rows(judged).write.mode("overwrite").parquet(f"{errors_out}/batch={number}")
         judged.unpersist()

@@ -148,3 +148,13 @@ def test_valid_sales_rows_become_messages(spark, tmp_path):
                                 F.lit("2026-07-02").cast("timestamp")).awaitTermination()
     got = spark.read.json(out).select("key", F.get_json_object("value", "$.payload.quantity").cast("double").alias("q")).collect()
     assert [(r["key"], r["q"]) for r in got] == [("u1:A", 3.0)]
+
+
+def test_messages_are_written_compressed(spark, tmp_path):
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    land(tmp_path / "in", "a.json", [dict(zip(NAMES, ["f", "u1", 2, "2026-07-01", "A", "Mug", "3", "9", "", ""]))])
+    schema = ", ".join(f"{n} {'int' if n == 'row_no' else 'string'}" for n in NAMES)
+    arriving = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    streams.stream_sales_events(arriving, out, state, F.lit("2026-07-02").cast("timestamp")).awaitTermination()
+    parts = [n for n in names_in(spark, f"{out}/batch=0") if n.startswith("part-")]
+    assert parts and all(n.endswith(".json.gz") for n in parts) and spark.read.json(out).count() == 1
