@@ -11,10 +11,12 @@ are confirmed on their full sets.
 Documents with the same set are one class, and only its smallest id goes on. In a bucket of many classes no pairs are
 written out wholesale: each member is checked against one of the bucket, links are confirmed, components formed, and
 only members of different components are compared again, three times against another member. What then is still apart in
-one bucket is joined by an exact filter: with shingles ordered from the rarest on, two linked sets share one among the first
-seventh of the smaller and the first quarter of the larger. A passage that many texts share is at the end of that order,
-and texts that have hardly anything else are linked by then; so the pairs that come out are few, whatever the bucket's size,
-and no linked pair that shares a bucket is lost.
+one bucket is compared by its sketches, all with all but the members of the bucket's largest component among themselves:
+members are dealt into blocks of bounded size, every two blocks meet in one cell, and a cell hands out only pairs that
+their sketches allow. So no linked pair that shares a bucket is lost. Texts that are all a little too different from each other
+(copies with many edits, or a passage with as much text of their own) leave no way round comparing each with each: the comparisons
+in a bucket grow with its members times those outside its largest component, at 24 words of 64 bits each; rows moved are
+a BLOCK-th of that, and neither a row per comparison nor their shingles are ever written.
 
 Null or empty texts and texts without a word have no shingles and are linked with nothing. Rows that repeat an id
 with the same text get the same result; rows that repeat it with other texts are one document, linked with
@@ -40,6 +42,8 @@ BANDS, ROWS, BITS, SET_BITS = 28, 3, 512, 1024
 SIGMAS = 5.5
 PER_COPY = 500  # pairs of one document that meet one copy of its row
 ROUNDS = 3
+BLOCK = 1024  # members of a bucket that meet as many others in one cell
+STEP = 1 << 15  # comparisons made at once
 _draw = np.random.Generator(np.random.PCG64(20240229))
 FLIPS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,12 +200,90 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: i
     return found
 
 
+def cells(rest: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members (bucket, k, comp) with size and sketches, one copy for each cell (bucket, i, j) they are compared in.
+
+    Those outside the bucket's largest component are dealt into blocks 0 to outer - 1, those inside into the blocks behind. Block i
+    meets block j in one cell for i <= j and i < outer. A bucket of at most ``block`` members is one block.
+    """
+    sizes = rest.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+        F.max(F.struct("m", "comp")).alias("home"), F.sum("m").alias("m"))
+    whole, blocks = F.col("m") <= block, lambda m: F.ceil(m / block).cast("bigint")
+    spread = sizes.select(
+        "bucket", F.when(~whole, F.col("home.comp")).alias("home"), F.when(whole, 1).otherwise(blocks(F.col("m") - F.col("home.m"))).alias("outer"),
+        F.when(whole, 0).otherwise(blocks(F.col("home.m"))).alias("inner"))
+    dealt = rest.join(spread, "bucket").withColumn("at", F.when(
+        F.col("comp") == F.col("home"), F.col("outer") + F.pmod(F.xxhash64("k"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("k"), F.col("outer"))))
+    others = F.when(F.col("at") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+    return copies.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "k", "comp").join(reps, "k")
+
+
+def allowed(x: tuple, y: tuple | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` of the pairs of different components whose sizes and sketches allow a link; without ``y``, of pairs in ``x``.
+
+    Either is (component, size, sketches, whole-set sketches).
+    """
+    (comp, n, sketch, parity), bits = x, most_bits(percent)
+    comp_y, n_y, sketch_y, parity_y = x if y is None else y
+    step, found = max(1, STEP // max(1, len(n_y))), []
+    for first in range(0, len(n), step):
+        last, behind = first + step, first if y is None else 0
+        low, high = np.minimum(n[first:last, None], n_y[None, behind:]), np.maximum(n[first:last, None], n_y[None, behind:])
+        a, b = np.nonzero((comp[first:last, None] != comp_y[None, behind:]) & (100 * low >= percent * high))
+        a, b = a + first, b + behind
+        if y is None:
+            a, b = a[a < b], b[a < b]
+        near = np.bitwise_count(sketch[a] ^ sketch_y[b]).sum(axis=1, dtype=np.int64) <= bits
+        a, b = a[near], b[near]
+        differ = np.bitwise_count(parity[a] ^ parity_y[b]).sum(axis=1, dtype=np.int64)
+        near = differ <= most_parity((n[a] + n_y[b]).astype(float), percent, np.sqrt, np.exp, np.minimum)
+        found.append((a[near], b[near]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def block_pairs(rest: DataFrame, reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components whose sizes and sketches allow a link."""
+
+    def compare(cell: pa.Table) -> pa.RecordBatch:
+        words = lambda name: cell[name].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cell), -1)
+        comp, n = cell["comp"].combine_chunks().dictionary_encode().indices.to_numpy(), cell["n"].to_numpy()
+        sketch, parity = words("sketch"), words("parity")
+        k, at = cell["k"].combine_chunks(), cell["at"].to_numpy()
+        left = np.nonzero(at == cell["i"][0].as_py())[0]
+        right = np.nonzero(at == cell["j"][0].as_py())[0]
+        of = lambda rows: (comp[rows], n[rows], sketch[rows], parity[rows])
+        same = cell["i"][0] == cell["j"][0]
+        a, b = allowed(of(left), None if same else of(right), percent)
+        return pa.RecordBatch.from_arrays([k.take(pa.array(left[a])), k.take(pa.array(right[b]))], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last cell may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            keys = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
+            bounds = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist()]
+            for first, last in zip(bounds, bounds[1:]):
+                if last - first > 1:
+                    yield compare(rows.slice(first, last - first))
+            held = rows.slice(bounds[-1])
+        if held is not None and len(held) > 1:
+            yield compare(held)
+
+    kind = rest.schema["k"].dataType.simpleString()
+    by = ["bucket", "i", "j"]
+    met = cells(rest, reps, block).repartition(*by).sortWithinPartitions(*by).mapInArrow(each, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
 def prefix_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Pairs of members (k, comp) of different components that can be linked, by their rarest shingles.
 
     Of the smaller set of a linked pair at least 2 t / (1 + t) is shared, of the larger one t. So the rarest shared shingle is among
     the first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger, in any order that is the
     same for all. Rows that repeat an id have each text's set.
+    near_duplicates does without: in a group of edited copies the rarest shingles that are shared are shared by nearly all.
     """
     sets = sets_of(docs, key, text, members.select("k")).join(members, "k")
     items = materialize(sets.filter(F.size("items") > 0).select(
@@ -248,9 +330,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         if turn <= ROUNDS:
             met = materialize(rest.filter("comp <> lead.comp").select(
                 F.least("k", "lead.k").alias("a"), F.greatest("k", "lead.k").alias("b")).distinct(), "met")
+            pairs = likely(met, small, percent)
         else:
-            met = prefix_pairs(rest.select("k", "comp").distinct(), docs, key, text, percent)
-        pairs = likely(met, small, percent)
+            pairs = met = materialize(block_pairs(rest.select("bucket", "k", "comp"), small, percent), "met")
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "likely")

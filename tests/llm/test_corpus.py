@@ -9,12 +9,14 @@ import pytest
 from odd_texts import LONG, ODD
 
 import corpus_pipeline
+from salesflow.llm import near_dup
 from salesflow.llm.decontaminate import decontaminate
 from salesflow.llm.kneser_ney import quality_scores, train
 from salesflow.llm.mixture import hypergeometric_parts, mix, split
 from salesflow.llm.near_dup import near_duplicates, prefix_pairs
 from salesflow.llm.queries import ORACLES, QUERIES
 from salesflow.llm.suffix_levels import Index, remove_repeats
+from salesflow.session import materialize
 from tools.check import rows_of, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -69,6 +71,44 @@ def test_rarest_shingles_meet_for_every_linked_pair(spark, docs, seed):
     assert linked and linked <= met
 
 
+def edited_copies(rnd, copies, most):
+    base, rows = words(rnd, 60, 100000), []
+    for i in range(copies):
+        copy = list(base)
+        for place in rnd.sample(range(60), rnd.randint(1, most)):
+            copy[place] = f"z{rnd.randrange(100000)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_edited_copies_are_compared_without_rows_for_shingles_or_pairs(docs, monkeypatch):
+    """Many copies of one text, most of them too different from each other: no step writes their shingles or their pairs."""
+    rows, written = edited_copies(random.Random(9), 150, 5), {}
+
+    def counted(df, name, *more):
+        out = materialize(df, name, *more)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    want = brute.near_duplicates(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(docs(rows)).collect()} == want and len({v[1] for v in want.values()}) > 20
+    assert max(written.values()) <= near_dup.BANDS * len(rows), written
+
+
+@pytest.mark.parametrize("block", [7, 40, 1024])
+def test_blocks_of_a_bucket_meet_for_every_linked_pair(spark, docs, block):
+    rows, rnd = edited_copies(random.Random(block), 90, 4), random.Random(2)
+    comp = {i: rnd.choice([0, 0, 0, i]) for i, _ in rows}
+    reps = near_dup.signatures(docs(rows), "doc_id", "text").select("k", "n", "sketch", "parity")
+    rest = spark.createDataFrame([(b, i, comp[i]) for b in (5, 6) for i in comp] + [(7, 3, 3)], "bucket bigint, k bigint, comp bigint")
+    met = [(r.a, r.b) for r in near_dup.block_pairs(rest, reps, 75, block).collect()]
+    sets = {d: {" ".join(x) for x in brute.shingles(t)} for d, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(met) == len(set(met)) and linked and linked <= set(met) and all(a < b and comp[a] != comp[b] for a, b in met)
+    assert len(met) < 90 * 89 / 4
+
+
 def test_near_duplicates_odd(odd):
     got = near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 2
