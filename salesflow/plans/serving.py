@@ -72,14 +72,15 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
                     as_of: Column, newest: DataFrame | None = None) -> DataFrame:
     """One row per requested series with nested points and factors.
 
-    Points of a series are bounded by the horizon and factors by five, so the arrays stay short.
+    Points of a series are bounded by the horizon and factors by five, so the arrays stay short. They are made once for a series and
+    horizon, however many requests name it.
     """
     newest = latest_run(forecasts) if newest is None else newest
-    keys = [c for c in requests.columns if c != "horizon"]
-    flat = series_flat(requests, forecasts, health, as_of, newest)
+    asked = requests.select(*SERIES, "horizon", F.col("horizon").alias("_days")).distinct()
+    flat = series_flat(asked, forecasts, health, as_of, newest)
     point = F.when(F.col("forecast_date").isNotNull(), F.struct(
         F.col("forecast_date").alias("date"), "yhat", "yhat_lower", "yhat_upper"))
-    series = flat.groupBy(*keys, "model_run_id", "generated_at").agg(
+    series = flat.groupBy(*SERIES, "_days", "model_run_id", "generated_at").agg(
         F.max_by("model_version", "forecast_date").alias("_version"), F.max("model_version").alias("_any"),
         F.max_by("mape_backtest", "forecast_date").alias("mape_backtest"), F.bool_or("degraded").alias("degraded"),
         F.array_sort(F.collect_list(point)).alias("points"))
@@ -91,7 +92,12 @@ def assemble_series(requests: DataFrame, forecasts: DataFrame, factors: DataFram
         F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("o"), "factor", "importance", "direction"))),
         lambda x: F.struct(x["factor"].alias("factor"), x["importance"].alias("importance"),
                            x["direction"].alias("direction"))).alias("factors"))
-    return series.join(lists, [*SERIES, "model_run_id"], "left")
+    # Written, so that its size is known: a small table is broadcast and requests stay where they are.
+    series = materialize(series.join(lists, [*SERIES, "model_run_id"], "left"), "series")
+    q, a = requests.alias("q"), series.alias("a")
+    met = F.expr("q.user_id = a.user_id AND q.sku <=> a.sku AND q.horizon <=> a._days")
+    return q.join(a, met).select(*[f"q.{c}" for c in requests.columns if c != "horizon"], *[
+        f"a.{c}" for c in series.columns if c not in (*SERIES, "_days")])
 
 
 def judge_requests(requests: DataFrame, products: DataFrame, forecasts: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> DataFrame:
@@ -122,7 +128,8 @@ def forecast_responses(requests: DataFrame, tables: dict[str, DataFrame], as_of:
     the health of all feeds. Tables of other tenants take no part: every join is on the tenant.
     """
     newest = materialize(latest_run(tables["forecasts"]), "runs")  # a row per tenant
-    judged = judge_requests(requests, tables["products"], newest, min_days)
+    requests = materialize(requests, "requests")  # read twice by the judgement, and that by what follows
+    judged = materialize(judge_requests(requests, tables["products"], newest, min_days), "judged").repartition("request_id")
     good = judged.filter("outcome = 'ok'").select(
         "request_id", "user_id", "horizon", F.posexplode("skus").alias("position", "sku"))
     series = assemble_series(good, tables["forecasts"], tables["forecast_factors"], tables["signal_status"], as_of, newest)

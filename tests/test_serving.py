@@ -53,6 +53,22 @@ def test_requested_order_and_series_without_points(tables, frame):
     assert len(series[1]["points"]) == 3
 
 
+def test_series_are_made_once_however_many_requests_name_them(tables, frame, monkeypatch):
+    sizes, keep = {}, serving.materialize
+
+    def counted(df, name, *more):
+        out = keep(df, name, *more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(serving, "materialize", counted)
+    got = ask(frame, tables, *[("u1", ["MUG", "TEE", "MUG"], h) for h in (7, 30)] * 20)
+    assert sizes["series"] == 4 and len(got) == 40
+    for i, r in got.items():
+        assert [x["sku"] for x in r["series"]] == ["MUG", "TEE", "MUG"] and [x["position"] for x in r["series"]] == [0, 1, 2]
+        assert [len(x["points"]) for x in r["series"]] == ([2, 0, 2] if i % 2 == 0 else [3, 0, 3])
+
+
 def test_outage_degrades(tables, frame):
     tables["signal_status"] = frame([("trends", "stale")], "signal string, status string")
     assert ask(frame, tables, ("u1", ["MUG"], 7))[0]["series"][0]["degraded"] is True
